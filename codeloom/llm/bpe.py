@@ -45,6 +45,9 @@ class MergeTable:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, symbols = spec["model"], _byte_symbols()
+        split = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+            raise ValueError(f"{path} is not a plain byte-level vocabulary")
         raw = {t: bytes(symbols[c] for c in t) for t in model["vocab"] if all(c in symbols for c in t)}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.n_ids = 1 + max([*model["vocab"].values(), *self.specials.values()])

@@ -1,13 +1,25 @@
 """The operators' queries over their whole tables, and SQL for those that SQL can express."""
 
+from codeloom.llm.op1_html import op1_html_extraction
 from codeloom.llm.op2_bpe import op2_bpe_round_trip
+from codeloom.llm.op3_chat import op3_chat_format
+from codeloom.llm.op5_topk import op5_exact_top_k
 from codeloom.llm.op8_counts import op8_token_counts
+from codeloom.llm.op9_packing import op9_best_fit_packing
 from codeloom.llm.op10_audio import op10_telephony_audio
+from codeloom.runtime import shipped
 
 QUERIES = {
-    "op2_bpe_round_trip": op2_bpe_round_trip,
-    "op8_token_counts": op8_token_counts,
-    "op10_telephony_audio": op10_telephony_audio,
+    f.__name__: shipped(f)
+    for f in (
+        op1_html_extraction,
+        op2_bpe_round_trip,
+        op3_chat_format,
+        op5_exact_top_k,
+        op8_token_counts,
+        op9_best_fit_packing,
+        op10_telephony_audio,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
