@@ -3,6 +3,8 @@
 from codeloom.llm.op1_html import op1_html_extraction
 from codeloom.llm.op2_bpe import op2_bpe_round_trip
 from codeloom.llm.op3_chat import op3_chat_format
+from codeloom.llm.op4_jaccard import SQL as OP4_SQL
+from codeloom.llm.op4_jaccard import op4_jaccard_join
 from codeloom.llm.op5_topk import op5_exact_top_k
 from codeloom.llm.op8_counts import op8_token_counts
 from codeloom.llm.op9_packing import op9_best_fit_packing
@@ -15,6 +17,7 @@ QUERIES = {
         op1_html_extraction,
         op2_bpe_round_trip,
         op3_chat_format,
+        op4_jaccard_join,
         op5_exact_top_k,
         op8_token_counts,
         op9_best_fit_packing,
@@ -22,4 +25,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": OP4_SQL}
