@@ -143,7 +143,7 @@ def sketch(parts: DataFrame) -> np.ndarray:
     """Sum of the tasks' counts, in rounds of ``FAN_IN`` tasks, so that no group grows."""
     tasks = parts.agg(F.max("task")).first()[0]
     while tasks is not None and tasks > 0:
-        parts = common.keep(parts.groupBy((F.col("task") / FAN_IN).cast("int").alias("task"), "part").applyInArrow(_add, "task int, part int, counts binary"))
+        parts = common.keep(parts.withColumn("task", (F.col("task") / FAN_IN).cast("int")).groupBy("task", "part").applyInArrow(_add, "task int, part int, counts binary"))
         tasks //= FAN_IN
     out = np.zeros((1 << CELL_BITS - PART_BITS, 1 << PART_BITS), np.uint32)
     for row in parts.select("part", "counts").toLocalIterator():  # 8 MB, whatever the input
