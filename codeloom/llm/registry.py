@@ -7,6 +7,7 @@ from codeloom.llm.op4_jaccard import SQL as OP4_SQL
 from codeloom.llm.op4_jaccard import op4_jaccard_join
 from codeloom.llm.op5_topk import op5_exact_top_k
 from codeloom.llm.op6_toxicity import op6_toxicity
+from codeloom.llm.op7_pii import op7_pii
 from codeloom.llm.op8_counts import op8_token_counts
 from codeloom.llm.op9_packing import op9_best_fit_packing
 from codeloom.llm.op10_audio import op10_telephony_audio
@@ -21,6 +22,7 @@ QUERIES = {
         op4_jaccard_join,
         op5_exact_top_k,
         op6_toxicity,
+        op7_pii,
         op8_token_counts,
         op9_best_fit_packing,
         op10_telephony_audio,
