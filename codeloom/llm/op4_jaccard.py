@@ -26,7 +26,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,6 +259,29 @@ class SignatureTree:
                 self.links.append((i, j))
 
 
+def may_hold(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, text`` of all rows whose id is in ``wanted``, and of few others.
+
+    A bitmap of fixed size (8 MB) over hashed ids spares the texts of most other rows the shuffle of
+    the join that follows; where it fills up it lets more rows pass and nothing is lost.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
+    parts = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros((1 << 11, 1 << 12), np.uint8)
+    for row in parts.toLocalIterator():
+        bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            held = shared.value[at >> 15, (at & 32767) >> 3] >> (at & 7).astype(np.uint8) & 1
+            yield batch.select([0, 1]).filter(pa.array(held.astype(bool)))
+
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), common.texts().alias("text"))
+    return rows.withColumn("at", place).mapInArrow(run, "doc_id long, text string")
+
+
 def verified(members: DataFrame, docs: DataFrame, threshold: int, width: int, block: int) -> DataFrame:
     """Links ``a, b`` that hold: ``members`` has ``doc_id, h, n, cluster``, one row for each set."""
     spark = docs.sparkSession
@@ -277,24 +299,29 @@ def verified(members: DataFrame, docs: DataFrame, threshold: int, width: int, bl
     tasks = nodes.join(other, "cluster").filter(near).withColumn("task", F.xxhash64("cluster", "level", "part", "level2", "part2"))
     alone = (F.col("level") == F.col("level2")) & (F.col("part") == F.col("part2"))
     sides = tasks.select("task", "cluster", "level", "part", F.lit(0).alias("side")).union(tasks.filter(~alone).select("task", "cluster", F.col("level2").alias("level"), F.col("part2").alias("part"), F.lit(1).alias("side")))
+    deals = placed.join(sides, ["cluster", "level", "part"]).groupBy("doc_id", "h").agg(F.collect_list(F.struct("task", "side")).alias("deals"))
+    deals = common.keep(deals)
 
     def sets(batches):
         for batch in batches:
-            blobs = [b""] * batch.num_rows
+            names, blobs, tasks, places = [], [], [], []
+            known, dealt = batch.column(1).to_pylist(), batch.column(2)
             for k, tokens in shingle_sets(batch.column(0), width):
-                blobs[k] = tokens.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), *batch.columns[1:]], ["tokens", "h", "cluster", "level", "part"])
+                # repeated rows of an id may hold other texts: the set's hash tells them apart
+                if tokens.size and set_hash(tokens) == known[k]:
+                    for d in dealt[k].as_py():
+                        names.append(known[k])
+                        blobs.append(tokens.tobytes())
+                        tasks.append(d["task"])
+                        places.append(d["side"])
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(places, pa.int32()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["task", "side", "h", "tokens"])
 
-    schema = "tokens binary, h long, cluster long, level long, part long"
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.texts().alias("text"))
-    # repeated rows of an id may hold other texts: the set's hash decides below
-    with_sets = text.join(placed, "doc_id").select("text", "h", "cluster", F.col("level").cast("long").alias("level"), F.col("part").cast("long").alias("part")).mapInArrow(sets, schema)
-    with_sets = common.keep(with_sets)
+    dealt = may_hold(docs, deals).join(deals, "doc_id").select("text", "h", "deals").mapInArrow(sets, "task long, side int, h long, tokens binary")
 
     def tree(_key, group):
         seen, names, blobs, side = set(), [], [], []
         for h, blob, s in zip(group.column("h").to_pylist(), group.column("tokens").to_pylist(), group.column("side").to_pylist(), strict=True):
-            if h not in seen and set_hash(np.frombuffer(blob, np.uint64)) == h:
+            if h not in seen:
                 seen.add(h)
                 names.append(h)
                 blobs.append(np.frombuffer(blob, np.uint64))
@@ -307,7 +334,6 @@ def verified(members: DataFrame, docs: DataFrame, threshold: int, width: int, bl
             t.among(t.node(rows[0]))
         return pa.Table.from_arrays([pa.array([names[i] for i, _ in t.links], pa.int64()), pa.array([names[j] for _, j in t.links], pa.int64())], names=["a", "b"])
 
-    dealt = with_sets.join(sides.withColumn("level", F.col("level").cast("long")).withColumn("part", F.col("part").cast("long")), ["cluster", "level", "part"]).select("task", "side", "h", "tokens")
     return dealt.groupBy("task").applyInArrow(tree, "a long, b long")
 
 
@@ -317,9 +343,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block:
     rows = described.filter(F.col("task").isNull()).select("doc_id", "n", "h")
     counts = sketch(described.filter(F.col("task").isNotNull()).select("task", "part", "counts"))
     reps = common.keep(rows.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    candidates = components(chains(prefixes(docs, counts, threshold, width), threshold))
+    edges = common.keep(chains(prefixes(docs, counts, threshold, width), threshold))
+    common.release(docs.sparkSession)
+    candidates = components(edges)
     members = reps.join(candidates.select(F.col("node").alias("h"), F.col("component").alias("cluster")), "h")
     links = common.keep(verified(members, docs, threshold, width, block))
+    common.release(docs.sparkSession)
     named = links.join(reps.select(F.col("h").alias("a"), F.col("doc_id").alias("x")), "a").join(reps.select(F.col("h").alias("b"), F.col("doc_id").alias("y")), "b")
     classes = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
     known = common.keep(reps.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", F.coalesce("component", "doc_id").alias("component_id")))
