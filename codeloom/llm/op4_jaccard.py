@@ -266,7 +266,7 @@ def may_hold(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     the join that follows; where it fills up it lets more rows pass and nothing is lost.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
-    parts = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    parts = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
     bits = np.zeros((1 << 11, 1 << 12), np.uint8)
     for row in parts.toLocalIterator():
         bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
