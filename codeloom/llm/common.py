@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_BYTES = 2 << 20  # of texts that are worked on together in a Python worker
+GROUP_BYTES = 1 << 20  # of texts that are worked on together in a Python worker
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

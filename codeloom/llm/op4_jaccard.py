@@ -69,6 +69,9 @@ def shingle_sets(column: pa.Array, width: int = 5):
     """Row number and sorted distinct shingle hashes (uint64) of each row."""
     raw, at = common.raw_texts(column)
     for i, j in common.groups(at):
+        if j == i + 1 and at[j] - at[i] > 2 * common.GROUP_BYTES:
+            yield i, _shingles(_long_words(raw[at[i] : at[j]]), width)
+            continue
         size = np.diff(at[i : j + 1])
         buf = np.full(int(size.sum()) + j - i, 32, np.uint8)
         keep = np.ones(buf.size, bool)
@@ -77,21 +80,33 @@ def shingle_sets(column: pa.Array, width: int = 5):
         buf[keep] = raw[at[i] : at[j]]
         starts, words = word_hashes(buf)
         cut = np.concatenate([[0], np.searchsorted(starts, stops)])
-        place = np.resize(_PLACE, width)
-        place[5:] = mix(np.arange(5, width, dtype=np.uint64)) | np.uint64(1)
-        full = max(0, words.size - width + 1)
-        rolled = np.zeros(full, np.uint64)
-        for k in range(width):
-            rolled += words[k : k + full] * place[k]
-        rolled = mix(rolled)
         for k in range(j - i):
-            a, b = int(cut[k]), int(cut[k + 1])
-            if b - a >= width:
-                yield i + k, np.unique(rolled[a : b - width + 1])
-            elif b > a:
-                yield i + k, mix((words[a:b] * place[: b - a]).sum(keepdims=True) + np.array([b - a], np.uint64) * _STEP)
-            else:
-                yield i + k, np.zeros(0, np.uint64)
+            yield i + k, _shingles(words[cut[k] : cut[k + 1]], width)
+
+
+def _long_words(raw: np.ndarray) -> np.ndarray:
+    """Word hashes of one long text, in stretches that end at a gap."""
+    gaps = np.flatnonzero((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    out, at = [], 0
+    while at < raw.size:
+        k = int(np.searchsorted(gaps, at + common.GROUP_BYTES))
+        stop = int(gaps[k]) + 1 if k < gaps.size else raw.size
+        out.append(word_hashes(raw[at:stop])[1])
+        at = stop
+    return np.concatenate(out)
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    place = np.resize(_PLACE, width)
+    place[5:] = mix(np.arange(5, width, dtype=np.uint64)) | np.uint64(1)
+    if words.size >= width:
+        rolled = np.zeros(words.size - width + 1, np.uint64)
+        for k in range(width):
+            rolled += words[k : k + rolled.size] * place[k]
+        return np.unique(mix(rolled))
+    if words.size:
+        return mix((words * place[: words.size]).sum(keepdims=True) + np.array([words.size], np.uint64) * _STEP)
+    return np.zeros(0, np.uint64)
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -304,17 +319,24 @@ def verified(members: DataFrame, docs: DataFrame, threshold: int, width: int, bl
 
     def sets(batches):
         for batch in batches:
-            names, blobs, tasks, places = [], [], [], []
+            rows, held = [], 0
             known, dealt = batch.column(1).to_pylist(), batch.column(2)
             for k, tokens in shingle_sets(batch.column(0), width):
                 # repeated rows of an id may hold other texts: the set's hash tells them apart
                 if tokens.size and set_hash(tokens) == known[k]:
+                    blob = tokens.tobytes()
                     for d in dealt[k].as_py():
-                        names.append(known[k])
-                        blobs.append(tokens.tobytes())
-                        tasks.append(d["task"])
-                        places.append(d["side"])
-            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(places, pa.int32()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["task", "side", "h", "tokens"])
+                        rows.append((d["task"], d["side"], known[k], blob))
+                        held += len(blob)
+                        if held > common.GROUP_BYTES:
+                            yield packed(rows)
+                            rows, held = [], 0
+            yield packed(rows)
+
+    def packed(rows):
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], ["task", "side", "h", "tokens"])
 
     dealt = may_hold(docs, deals).join(deals, "doc_id").select("text", "h", "deals").mapInArrow(sets, "task long, side int, h long, tokens binary")
 
