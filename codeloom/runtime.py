@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -11,10 +12,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers of the session, once for each application."""
+    """Sends this package to the Python workers of the session, once for each application, and bounds
+    the rows of an Arrow batch where the session leaves that at its default."""
+    if spark.conf.get(BATCH, "10000") == "10000":  # Spark's default: too many for long texts
+        spark.conf.set(BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -36,3 +41,20 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, sf_dir)
 
     return run
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; where none is set (tests on one machine), a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="codeloom-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Writes a step's rows to the shared folder and reads them again: cuts the lineage, survives
+    lost executors, and fixes what later steps see."""
+    at = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
