@@ -109,9 +109,9 @@ def disclosing(holders: DataFrame, docs: DataFrame) -> DataFrame:
     near = contexts.select("entity", F.explode(terms(F.col("context"))).alias("term"))
     together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= MIN_CONTEXTS)
     together = common.keep(together)
+    # the terms are counted before the join: a semi-join would be moved below the count
     times = contexts.groupBy("entity").agg(F.count("*").alias("times"))
-    known = together.select("term").distinct()
-    spread = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(known, "term", "left_semi")
+    spread = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
     scored = together.join(times, "entity").join(spread, "term").join(F.broadcast(total))  # one row
     n = F.greatest("docs", "times", "df").cast("double")
