@@ -1,0 +1,88 @@
+"""A source tree from scan to search, map, context and incremental sync."""
+
+import pytest
+
+from codeloom.plans.engine import Engine, NoIndex
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    return Engine(spark, str(tmp_path / "index"))
+
+
+def test_life_of_an_index(spark, engine, tree):
+    assert engine.search("anything").count() == 0
+    with pytest.raises(NoIndex):
+        engine.table("files")
+    seen = []
+    engine.listeners.append(lambda s: seen.append(s["phase"]))
+    done = engine.sync(str(tree))
+    assert done["files"] == 12 and done["new"] == 12 and done["chunks"] >= 8 and done["chunks_done"] == done["chunks"]
+    assert seen == ["scan", "parse", "embed", "graph", "finalize", "done"] and engine.status()["state"] == "done"
+    paths = {r.path for r in engine.table("files").collect()}
+    assert "out/generated.js" not in paths and "private.env" not in paths
+    assert engine.table("vectors").count() == engine.table("chunks").count() == engine.table("postings").select("chunk_id").distinct().count()
+    assert {r.name for r in engine.symbols("ember/blocks.py").collect()} >= {"Block", "cut_blocks"}
+
+    top = engine.search("cut_blocks").collect()
+    assert top[0].path == "ember/blocks.py" and set(top[0].sources) <= {"fts", "vector"}
+    assert "ember/server.py" in {r.path for r in engine.search("HTTPServer").collect()}
+    assert "ember/blocks.py" in {r.path for r in engine.search("ember.blocks AND NOT").collect()}
+
+    edges = {(r.source, r.target) for r in engine.table("edges").collect()}
+    assert edges == {
+        ("ember/parser.py", "ember/blocks.py"), ("ember/store.py", "ember/blocks.py"), ("ember/server.py", "ember/parser.py"), ("ember/server.py", "ember/store.py"),
+        ("scripts/build.py", "ember/parser.py"), ("web/main.js", "web/render.js"), ("web/main.js", "web/store.js"),
+    }
+    m = engine.repo_map()
+    files = {r.path: r.score for r in m["top_files"].collect()}
+    assert files["ember/blocks.py"] == pytest.approx(0.23425, abs=1e-5) and files["ember/parser.py"] == pytest.approx(0.12857, abs=1e-5)
+    assert files["web/render.js"] == pytest.approx(0.08053, abs=1e-5) and files["README.md"] == pytest.approx(0.05651, abs=1e-5)
+    nodes = {r.id: r.score for r in m["nodes"].collect()}
+    assert nodes == pytest.approx({"ember": 0.55637, "web": 0.21757, ".": 0.11303, "scripts": 0.11303}, abs=2e-5)
+    assert [(r.source, r.target, r.weight) for r in m["links"].collect()] == [("scripts", "ember", 1)]
+    assert m["stats"].first().files == 12
+
+    # nothing has changed
+    again = engine.sync(str(tree))
+    assert again["unchanged"] == 12 and again["chunks_done"] == 0 and again["chunks"] == done["chunks"]
+    # one file goes, one is rewritten
+    (tree / "web/store.js").unlink()
+    (tree / "ember/parser.py").write_text("def reworked_entry(text):\n    return text\n")
+    third = engine.sync(str(tree))
+    assert (third["deleted"], third["modified"], third["new"]) == (1, 1, 0)
+    assert "web/store.js" not in {r.path for r in engine.table("chunks").collect()}
+    assert engine.search("reworked_entry").first().path == "ember/parser.py"
+    fresh = Engine(spark, engine.store.root + "-fresh")
+    fresh.sync(str(tree))
+    for name in ("chunks", "postings", "edges"):
+        columns = [c for c in fresh.table(name).columns]
+        assert sorted(map(str, engine.table(name).select(columns).collect())) == sorted(map(str, fresh.table(name).collect()))
+    assert engine.store.vacuum() == 2
+    calls = {r.stage: r.calls for r in engine.costs().collect()}
+    assert calls == {"indexing": 3, "docs": 0}
+
+    events = list(engine.chat("how are notes cut", [("user", "a")] * 8, lambda messages: iter([f"{len(messages)} see [ember/blocks.py:L10] ", "and [made/up.py:L3]"])))
+    assert [e["type"] for e in events] == ["context", "token", "token", "done"]
+    assert events[-1]["answer"] == "8 see [ember/blocks.py:L10] and [made/up.py]" and events[-1]["citations"] == [{"path": "ember/blocks.py", "line": 10}]
+
+    def broken(_):
+        yield "x"
+        raise RuntimeError("no model")
+
+    assert [e["type"] for e in engine.chat("q", [], broken)][-1] == "error"
+    window = engine.file_window(str(tree), "ember/blocks.py", 4, 5)
+    assert window["content"] == "@dataclass\nclass Block:" and window["total"] == 17
+    for bad in ("../x", "/etc/passwd", "a/../../x", ""):
+        with pytest.raises(ValueError):
+            engine.file_window(str(tree), bad)
+    assert "ember/server.py" in engine.onboarding()["files"]
+    assert engine.onboarding(lambda m: iter(["guide"]))["content"] == "guide" == engine.cached_guide()["content"]
+
+
+def test_failed_sync_keeps_the_old_version(spark, engine, tree):
+    engine.sync(str(tree))
+    before = engine.store.current()
+    with pytest.raises(Exception):
+        engine.sync(str(tree / "nowhere"))
+    assert engine.store.current() == before and engine.status()["state"] == "error"
