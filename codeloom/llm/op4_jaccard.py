@@ -8,7 +8,8 @@
    passages which many documents share hardly ever are candidates.
 3. Within a shingle's documents, ordered by size, neighbours whose sizes allow the threshold are
    linked; all pairs that could match are then in one cluster, without listing pairs.
-4. In each cluster a signature tree (nodes with OR-combined bitmaps and size ranges) is traversed
+4. In each cluster, first by bitmaps alone and then, in the smaller clusters that remain, with the
+   shingles, a signature tree (nodes with OR-combined bitmaps and size ranges) is traversed
    against itself; node pairs are pruned when their sizes or their largest possible overlap cannot
    reach the threshold, or when all their documents are linked already.  Pairs that are left are
    compared exactly, by whole sets.  A large cluster is cut by size and hash into blocks; each pair of
@@ -17,7 +18,7 @@
 
 Null or empty texts have an empty set and no links; texts with fewer words than a shingle have one
 shingle, the whole sequence.  Repeated rows and copies get the class of their set.  Null ids are
-kept, and are nobody's smallest id.  Extra columns are ignored.
+kept, link to nothing and are nobody's smallest id.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -209,20 +210,33 @@ def chains(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "h").mapInArrow(run, "a long, b long").distinct()
 
 
+def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
+    at = (tokens * _STEP) >> np.uint64(32) & np.uint64(64 * words - 1)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def words_for(n: int) -> int:
+    """Words of a bitmap of 8 to 16 bits for each shingle, a power of two."""
+    return max(1, 1 << (-(-n // 8) - 1).bit_length())
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap as it would be with fewer words."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), 0)
+
+
 class SignatureTree:
     """Sets ordered by their least shingle, halved down to leaves; nodes hold bitmaps and sizes."""
 
     LEAF = 8
 
-    def __init__(self, sets: list[np.ndarray], threshold: int):
-        self.sets, self.threshold = sets, threshold
-        self.size = np.array([s.size for s in sets], np.int64)
-        self.bits = np.zeros((len(sets), WORDS), np.uint64)
-        for i, s in enumerate(sets):
-            at = (s * _STEP) >> np.uint64(53)
-            np.bitwise_or.at(self.bits[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        self.over = self.size - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
-        self.forest, self.links = Forest(len(sets)), []
+    def __init__(self, least: np.ndarray, size: np.ndarray, bits: np.ndarray, threshold: int, sets: list[np.ndarray] | None = None):
+        """``sets``: the shingles themselves; without them pairs are linked if they may match."""
+        self.least, self.size, self.bits, self.threshold, self.sets = least, size, bits, threshold, sets
+        self.over = size - np.bitwise_count(bits).sum(1, dtype=np.int64)
+        self.forest, self.links = Forest(size.size), []
 
     def node(self, rows: np.ndarray) -> tuple:
         half = rows.size // 2
@@ -230,7 +244,7 @@ class SignatureTree:
         return rows, np.bitwise_or.reduce(self.bits[rows]), int(self.size[rows].min()), int(self.size[rows].max()), int(self.over[rows].max()), below
 
     def order(self, rows: np.ndarray) -> np.ndarray:
-        return rows[np.argsort([self.sets[i][0] for i in rows], kind="stable")]
+        return rows[np.argsort(self.least[rows], kind="stable")]
 
     def among(self, x: tuple) -> None:
         if x[5] is None:
@@ -267,11 +281,13 @@ class SignatureTree:
             i, j = int(a[p]), int(b[q])
             if i == j or self.forest.root(i) == self.forest.root(j):
                 continue
-            x, y = self.sets[i], self.sets[j]
-            both = x.size + y.size - np.union1d(x, y).size
-            if 100 * both >= self.threshold * (x.size + y.size - both):
-                self.forest.join(i, j)
-                self.links.append((i, j))
+            if self.sets is not None:
+                x, y = self.sets[i], self.sets[j]
+                both = x.size + y.size - np.union1d(x, y).size
+                if 100 * both < self.threshold * (x.size + y.size - both):
+                    continue
+            self.forest.join(i, j)
+            self.links.append((i, j))
 
 
 def may_hold(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -297,16 +313,18 @@ def may_hold(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("at", place).mapInArrow(run, "doc_id long, text string")
 
 
-def verified(members: DataFrame, docs: DataFrame, threshold: int, width: int, block: int) -> DataFrame:
-    """Links ``a, b`` that hold: ``members`` has ``doc_id, h, n, cluster``, one row for each set."""
-    spark = docs.sparkSession
+def linked(members: DataFrame, docs: DataFrame, threshold: int, width: int, block: int, exact: bool) -> DataFrame:
+    """Links ``a, b`` within clusters; ``members`` has ``doc_id, h, n, cluster``, one row a set.
+
+    ``exact``: of pairs that match, by their shingles; otherwise of pairs that may match, by bitmaps
+    of one to two bytes for each shingle."""
     # blocks: by size class, so that classes further apart never meet, then by hash
     step = math.log(100 / threshold)
     classed = members.withColumn("level", F.floor(F.log(F.col("n")) / step + 1e-9))
     many = classed.groupBy("cluster", "level").agg(F.count("*").alias("many"))
     whole = classed.groupBy("cluster").agg(F.count("*").alias("whole"))
     placed = classed.join(many, ["cluster", "level"]).join(whole, "cluster")
-    small = F.col("whole") <= block
+    small = (F.col("whole") <= block) & F.lit(exact)
     placed = common.keep(placed.select("doc_id", "h", "cluster", F.when(small, 0).otherwise(F.col("level")).alias("level"), F.when(small, 0).otherwise(F.pmod(F.xxhash64("h"), F.ceil(F.col("many") / block))).alias("part")))
     nodes = placed.select("cluster", "level", "part").distinct()
     other = nodes.select("cluster", F.col("level").alias("level2"), F.col("part").alias("part2"))
@@ -324,9 +342,9 @@ def verified(members: DataFrame, docs: DataFrame, threshold: int, width: int, bl
             for k, tokens in shingle_sets(batch.column(0), width):
                 # repeated rows of an id may hold other texts: the set's hash tells them apart
                 if tokens.size and set_hash(tokens) == known[k]:
-                    blob = tokens.tobytes()
+                    blob = (tokens if exact else bitmap(tokens, words_for(tokens.size))).tobytes()
                     for d in dealt[k].as_py():
-                        rows.append((d["task"], d["side"], known[k], blob))
+                        rows.append((d["task"], d["side"], known[k], tokens.size, int(tokens[0] >> np.uint64(1)), blob))
                         held += len(blob)
                         if held > common.GROUP_BYTES:
                             yield packed(rows)
@@ -334,27 +352,29 @@ def verified(members: DataFrame, docs: DataFrame, threshold: int, width: int, bl
             yield packed(rows)
 
     def packed(rows):
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], ["task", "side", "h", "tokens"])
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], ["task", "side", "h", "n", "least", "blob"])
 
-    dealt = may_hold(docs, deals).join(deals, "doc_id").select("text", "h", "deals").mapInArrow(sets, "task long, side int, h long, tokens binary")
+    dealt = may_hold(docs, deals).join(deals, "doc_id").select("text", "h", "deals").mapInArrow(sets, "task long, side int, h long, n long, least long, blob binary")
 
     def tree(_key, group):
-        seen, names, blobs, side = set(), [], [], []
-        for h, blob, s in zip(group.column("h").to_pylist(), group.column("tokens").to_pylist(), group.column("side").to_pylist(), strict=True):
-            if h not in seen:
-                seen.add(h)
-                names.append(h)
-                blobs.append(np.frombuffer(blob, np.uint64))
-                side.append(s)
-        t = SignatureTree(blobs, threshold)
-        rows = [t.order(np.flatnonzero(np.array(side) == s)) for s in (0, 1)]
+        _, one = np.unique(group.column("h").to_numpy(), return_index=True)
+        group = group.take(pa.array(one))
+        names, side, size = (group.column(c).to_numpy() for c in ("h", "side", "n"))
+        blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("blob")]
+        if exact:
+            bits = np.array([bitmap(x, WORDS) for x in blobs])
+        else:
+            words = min(x.size for x in blobs)
+            bits = np.array([folded(x, words) for x in blobs])
+        t = SignatureTree(group.column("least").to_numpy(), size, bits, threshold, blobs if exact else None)
+        rows = [t.order(np.flatnonzero(side == s)) for s in (0, 1)]
         if rows[0].size and rows[1].size:
             t.between(t.node(rows[0]), t.node(rows[1]))
         elif rows[0].size:
             t.among(t.node(rows[0]))
-        return pa.Table.from_arrays([pa.array([names[i] for i, _ in t.links], pa.int64()), pa.array([names[j] for _, j in t.links], pa.int64())], names=["a", "b"])
+        return pa.Table.from_arrays([pa.array([int(names[i]) for i, _ in t.links], pa.int64()), pa.array([int(names[j]) for _, j in t.links], pa.int64())], names=["a", "b"])
 
     return dealt.groupBy("task").applyInArrow(tree, "a long, b long")
 
@@ -368,9 +388,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block:
     edges = common.keep(chains(prefixes(docs, counts, threshold, width), threshold))
     common.release(docs.sparkSession)
     candidates = components(edges)
-    members = reps.join(candidates.select(F.col("node").alias("h"), F.col("component").alias("cluster")), "h")
-    links = common.keep(verified(members, docs, threshold, width, block))
-    common.release(docs.sparkSession)
+    # twice the same traversal: bitmaps first, so that shingles are only sent for sets that may match
+    for exact in (False, True):
+        members = reps.join(candidates.select(F.col("node").alias("h"), F.col("component").alias("cluster")), "h")
+        links = common.keep(linked(members, docs, threshold, width, block, exact))
+        common.release(docs.sparkSession)
+        candidates = components(links) if not exact else candidates
     named = links.join(reps.select(F.col("h").alias("a"), F.col("doc_id").alias("x")), "a").join(reps.select(F.col("h").alias("b"), F.col("doc_id").alias("y")), "b")
     classes = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
     known = common.keep(reps.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", F.coalesce("component", "doc_id").alias("component_id")))
