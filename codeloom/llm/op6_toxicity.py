@@ -164,10 +164,11 @@ class Machine:
         plain = [bare(w) for w in new]
         self.memo.update(zip(new, self.margins(plain).tolist(), strict=True))
         out = np.zeros((len(texts), 3))
+        low = min(0.25, max(-0.5, self.bias + 0.25))  # a word like no landmark is no hit
         for k, words in enumerate(split):
             if words:
                 m = np.array([self.memo[w] for w in words])
-                hits = np.clip(m + 0.5, 0, 1).sum()
+                hits = np.clip((m - low) / (0.5 - low), 0, 1).sum()
                 out[k] = hits, hits / len(words), max(m.max(), -1.0) + 1
         return out
 

@@ -256,8 +256,8 @@ def test_base_spans(spark, rows):
 
 
 def test_revealing_terms(spark, rows):
-    filler = "some words that are in all of these texts here "
-    docs = [(k, f"{filler} write to zorblatt at eva@mail.org about it {k}") for k in range(4)] + [(4, f"zorblatt {filler} eva@mail.org")] + [(k, f"{filler} nothing {k}") for k in range(5, 60)] + [(99, "zorblatt alone")]
+    filler = "some words that are in all of these texts we write about here "
+    docs = [(k, f"{filler} write {w} zorblatt at eva@mail.org about {w}") for k, w in enumerate(["oak", "elm", "ash", "fir"])] + [(4, f"zorblatt {filler} eva@mail.org")] + [(k, f"{filler} nothing {k}") for k in range(5, 60)] + [(99, "zorblatt alone")]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, spans string")
     found = {r.doc_id: [(s.kind, r.text[s.start : s.end]) for s in r.spans] for r in op7_pii.find_personal_data(df).collect()}
     assert found[4] == [("term", "zorblatt"), ("email", "eva@mail.org")] and found[0][0] == ("term", "zorblatt")
