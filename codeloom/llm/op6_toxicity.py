@@ -19,7 +19,10 @@ of a score; rows that repeat score alike.  Without labels of both kinds every sc
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import common
 
 DECAY, WIDEST, ALPHABET = 0.6, 16, 64
-PER_CLASS, LANDMARKS, MIN_DOCS, MIN_RATIO = 2500, 800, 3, 5.0
+PER_CLASS, LANDMARKS, MIN_DOCS, MIN_SHARE, MIN_RATIO, SIGNATURE, ROUNDS = 2500, 800, 3, 0.012, 8.0, 24, 3
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]?\s+){2,}[^\W\d_](?![^\W_])")
 
 
@@ -120,7 +123,7 @@ class Landmarks:
             np.add.at(out, (np.array(at)[r], c[r, k]), w[k])
         return out / np.sqrt(np.maximum(norm, 1e-12)).astype(np.float32)[:, None]
 
-    def kernel(self, words: list[str], step: int = 500) -> np.ndarray:
+    def kernel(self, words: list[str], step: int = 200) -> np.ndarray:
         return np.concatenate([self._map(words[k : k + step]) @ self.own.T for k in range(0, len(words), step)])
 
 
@@ -143,19 +146,22 @@ class Machine:
         out = np.full(len(words), -1.0)
         for n, (at, rows) in by_length(words).items():
             places = np.array(at)
-            for s in range(0, places.size, 1 << 14):
-                f, w = features(rows[s : s + (1 << 14)])
+            for s in range(0, places.size, 1 << 12):
+                f, w = features(rows[s : s + (1 << 12)])
                 raw = self.weight[f] @ w.astype(np.float32)
                 least = np.sqrt((triples(n)[3] ** 2).sum())
                 value = raw / least + self.bias  # no smaller norm is possible
                 close = np.flatnonzero(value > -0.5)
                 if close.size:
                     value[close] = raw[close] / np.sqrt(squared_norms(f[close], w)) + self.bias
-                np.maximum.at(out, places[s : s + (1 << 14)], value)
+                np.maximum.at(out, places[s : s + (1 << 12)], value)
         return out
 
-    def document_features(self, texts: list[str]) -> np.ndarray:
+    def document_features(self, texts: list[str], step: int = 64) -> np.ndarray:
         """Hits, their share of the words, and the largest margin of each text."""
+        return np.concatenate([self._features(texts[k : k + step]) for k in range(0, len(texts), step)] or [np.zeros((0, 3))])
+
+    def _features(self, texts: list[str]) -> np.ndarray:
         split = [words_of(t) for t in texts]
         new = list({w for words in split for w in words if w not in self.memo})
         if len(self.memo) + len(new) > 300_000:
@@ -218,14 +224,25 @@ def train(samples: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Machine
     """``samples``: label and text of documents."""
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
     total = [0, 0]
-    for label, text in samples:
+    # near copies count once: a document that shares most of its least words' hashes with one before
+    group_of: dict[tuple[int, int], int] = {}
+    for at, (label, text) in enumerate(samples):
+        own = {bare(x) for x in words_of(text)}
+        least = heapq.nsmallest(SIGNATURE, (zlib.crc32(w.encode()) for w in own))
+        known = Counter(group_of[label, h] for h in least if (label, h) in group_of).most_common(1)
+        copy = bool(known) and 2 * known[0][1] >= len(least)
+        for h in least:
+            group_of[label, h] = known[0][0] if copy else at
+        if copy:
+            continue
         total[label] += 1
-        for w in {bare(x) for x in words_of(text)}:
+        for w in own:
             if 3 <= len(w) <= WIDEST - 2:
                 counts[label][w] = counts[label].get(w, 0) + 1
     if not all(total):
         return None
-    ratio = {w: (c / total[1]) / ((counts[0].get(w, 0) + 0.5) / total[0]) for w, c in counts[1].items() if c >= MIN_DOCS}
+    enough = max(MIN_DOCS, MIN_SHARE * total[1])
+    ratio = {w: (c / total[1]) / ((counts[0].get(w, 0) + 0.5) / total[0]) for w, c in counts[1].items() if c >= enough}
     strong = sorted((w for w, r in ratio.items() if r >= MIN_RATIO), key=lambda w: (-counts[1][w] * np.log(ratio[w]), w))[:1500]
     chosen = set(strong)
     usual = sorted((w for w, c in counts[0].items() if c >= 2 and w not in chosen and ratio.get(w, 0) < 2), key=lambda w: (-counts[0][w], w))
@@ -240,14 +257,25 @@ def train(samples: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Machine
     values, vectors = np.linalg.eigh((marks.own @ marks.own.T).astype(np.float64))
     good = values > 1e-5
     root = vectors[:, good] / np.sqrt(values[good])
-    examples = [*strong, *plain]
-    x = marks.kernel(examples).astype(np.float64) @ root
-    y = np.array([1.0] * len(strong) + [-1.0] * len(plain))
-    cost = np.array([10.0 * min(1.0, counts[1][w] / 20) for w in strong] + [10.0 * min(1.0, counts[0][w] / 20) for w in plain])
-    w, bias = fit_machine(x, y, cost)
-    weight = np.zeros(ALPHABET**3)
-    weight[marks.triples] = (root @ w) @ marks.own
-    machine = Machine(weight, bias, np.zeros(5))
+    calm = [w for w in counts[0] if w not in chosen and ratio.get(w, 0) < 2]
+    machine = None
+    for _ in range(ROUNDS):
+        if machine is not None:  # words of other documents that the last round came near to
+            margin = machine.margins(calm)
+            had = set(plain)
+            hard = [calm[i] for i in np.argsort(-margin, kind="stable")[:3000].tolist() if margin[i] > -0.9 and calm[i] not in had]
+            if not hard:
+                break
+            plain += hard
+        examples = [*strong, *plain]
+        x = marks.kernel(examples).astype(np.float64) @ root
+        x = np.concatenate([x, np.zeros((1, x.shape[1]))])  # a word like no landmark is a negative example
+        y = np.array([1.0] * len(strong) + [-1.0] * (len(plain) + 1))
+        cost = np.array([10.0 * min(1.0, counts[1][w] / 20) for w in strong] + [10.0 * min(1.0, (4 + counts[0][w]) / 20) for w in plain] + [1000.0])
+        w, bias = fit_machine(x, y, cost, 30)
+        weight = np.zeros(ALPHABET**3)
+        weight[marks.triples] = (root @ w) @ marks.own
+        machine = Machine(weight, bias, np.zeros(5))
     labels = np.array([s[0] for s in samples], np.float64)
     machine.calibration = fit_calibration(design(machine.document_features([s[1] for s in samples])), labels)
     machine.memo = {}
