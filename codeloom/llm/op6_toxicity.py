@@ -224,11 +224,13 @@ def train(samples: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Machine
     """``samples``: label and text of documents."""
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
     total = [0, 0]
-    # near copies count once: a document that shares most of its least words' hashes with one before
+    # near copies count once: a document that shares most of its least word pairs' hashes with one before
     group_of: dict[tuple[int, int], int] = {}
     for at, (label, text) in enumerate(samples):
-        own = {bare(x) for x in words_of(text)}
-        least = heapq.nsmallest(SIGNATURE, (zlib.crc32(w.encode()) for w in own))
+        words = words_of(text)
+        own = {bare(w) for w in words}
+        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or own
+        least = heapq.nsmallest(SIGNATURE, (zlib.crc32(w.encode()) for w in pairs))
         known = Counter(group_of[label, h] for h in least if (label, h) in group_of).most_common(1)
         copy = bool(known) and 2 * known[0][1] >= len(least)
         for h in least:
