@@ -1,12 +1,13 @@
 """Operator 7: personal data by information-theoretic sanitisation, in DataFrame functions only.
 
 Protected entities are the values of four base patterns: e-mail addresses, IP addresses, payment card
-numbers and phone numbers.  The corpus then tells which words reveal them: for every entity the
-distinct contexts (the words next to its occurrences; copies of a context count once) give how often
-a term goes with it, all documents give how often the term occurs.  With
-``IC(e) = -log2 p(e)`` and ``PMI(t; e) = log2 p(t, e) / (p(t) p(e))`` a term discloses an entity when
-``PMI >= ALPHA * IC(e)`` and it stands in ``MIN_CONTEXTS`` contexts at least.  Such terms are removed in
-documents that hold the entity; base spans are generalised to their kind.
+numbers and phone numbers.  The corpus then tells which words reveal them: the terms are those next to
+an entity, and all counts are of documents: those that hold the entity, those that hold the term, and
+those that hold the term next to the entity.  Copies raise all three alike, so they neither hide nor
+thin out a disclosure.  With ``IC(e) = -log2 p(e)`` and ``PMI(t; e) = log2 p(t, e) / (p(t) p(e))`` a
+term discloses an entity when ``PMI >= ALPHA * IC(e)`` and the two stand together in ``MIN_DOCS``
+documents at least: in the only document of an entity every word that occurs once would reach IC.
+Such terms are removed in documents that hold the entity; base spans are generalised to their kind.
 
 Counts are pre-aggregated sums, so neither a frequent word nor an entity that a third of all rows hold
 gathers in one task.  Null texts are empty; repeated rows are kept and treated alike; other columns
@@ -33,7 +34,7 @@ PATTERNS = {
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
-ALPHA, MIN_CONTEXTS, NEAR_CHARS, NEAR_WORDS, MIN_LETTERS = 0.8, 2, 120, 4, 4
+ALPHA, MIN_DOCS, NEAR_CHARS, NEAR_WORDS, MIN_LETTERS = 0.8, 2, 120, 4, 4
 
 
 def matches(text: Column, pattern: Column, rank: int, kind: str) -> Column:
@@ -97,26 +98,26 @@ def entity(span: Column) -> Column:
 
 
 def disclosing(holders: DataFrame, docs: DataFrame) -> DataFrame:
-    """``entity, term`` pairs over the threshold; ``holders``: ``text, base`` of the documents with
-    entities, ``docs``: ``text`` of all documents."""
-    at = holders.select("text", F.explode("base").alias("s"))
+    """``entity, term`` pairs over the threshold; ``holders``: ``row_key, text, base`` of the documents
+    with entities, ``docs``: ``text`` of all documents."""
+    at = holders.select("row_key", "text", F.explode("base").alias("s"))
     left = F.substring(F.col("text"), F.greatest(F.col("s.start") - NEAR_CHARS, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(NEAR_CHARS)))
     right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(NEAR_CHARS))
     words = r"[^\p{L}]+"
     before = F.slice(F.reverse(F.filter(F.split(F.lower(left), words), lambda w: w != "")), 1, NEAR_WORDS)
     after = F.slice(F.filter(F.split(F.lower(right), words), lambda w: w != ""), 1, NEAR_WORDS)
-    contexts = at.select(entity(F.col("s")).alias("entity"), F.concat_ws(" ", F.reverse(before), F.lit("|"), after).alias("context")).distinct()
-    near = contexts.select("entity", F.explode(terms(F.col("context"))).alias("term"))
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= MIN_CONTEXTS)
+    contexts = at.select("row_key", entity(F.col("s")).alias("entity"), F.concat_ws(" ", F.reverse(before), F.lit("|"), after).alias("context"))
+    near = contexts.select("row_key", "entity", F.explode(terms(F.col("context"))).alias("term")).distinct()
+    together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= MIN_DOCS)
     together = common.keep(together)
+    times = holders.select(F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("times"))
     # the terms are counted before the join: a semi-join would be moved below the count
-    times = contexts.groupBy("entity").agg(F.count("*").alias("times"))
     spread = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
     scored = together.join(times, "entity").join(spread, "term").join(F.broadcast(total))  # one row
-    n = F.greatest("docs", "times", "df").cast("double")
+    n = F.col("docs").cast("double")
     information = F.log2(n / F.col("times"))
-    mutual = F.log2(F.least("both", "df", "times") * n / (F.col("df") * F.col("times")))
+    mutual = F.log2(F.col("both") * n / (F.col("df") * F.col("times")))
     return common.keep(scored.filter((information > 0) & (mutual >= ALPHA * information)).select("entity", "term"))
 
 
@@ -125,7 +126,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("base", "spans")]
     based = docs.select(*names).withColumn("base", base_spans(common.texts()))
     holders = common.keep(based.filter(F.size("base") > 0).withColumn("row_key", F.monotonically_increasing_id()))
-    pairs = disclosing(holders.select(common.texts().alias("text"), "base"), docs.select(common.texts().alias("text")))
+    pairs = disclosing(holders.select("row_key", common.texts().alias("text"), "base"), docs.select(common.texts().alias("text")))
     own = holders.select("row_key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"), terms(common.texts()).alias("words")).join(pairs.select("entity").distinct(), "entity", "left_semi").select("row_key", "entity", F.explode("words").alias("term"))
     found = own.join(pairs, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set("term")).alias("revealing"))
     held = holders.join(found, "row_key", "left")

@@ -270,6 +270,16 @@ def test_revealing_terms(spark, rows):
     assert op7_pii.sanitise(rows.limit(0)).count() == 0
 
 
+def test_copies_do_not_hide_revealing_terms(spark):
+    filler = "some words that are in all of these texts we write about here"
+    copy = f"{filler} zorblatt at eva@mail.org about"
+    docs = [(k, copy) for k in range(12)] + [(k, f"{filler} at about nothing {k}") for k in range(12, 200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in op7_pii.sanitise(df).collect()}
+    assert {clean[k] for k in range(12)} == {f"{filler} [REMOVED] at [EMAIL] about"}
+    assert all(clean[k] == t for k, t in docs[12:])
+
+
 # ---- audio
 
 
