@@ -1,9 +1,9 @@
 """Operator 7: personal data by information-theoretic sanitisation, in DataFrame functions only.
 
 Protected entities are the values of four base patterns: e-mail addresses, IP addresses, payment card
-numbers and phone numbers.  The corpus then tells which words reveal them: the terms are those next to
-an entity, and all counts are of documents: those that hold the entity, those that hold the term, and
-those that hold the term next to the entity.  Copies raise all three alike, so they neither hide nor
+numbers and phone numbers.  The corpus then tells which words reveal them: the terms are all words
+outside base spans, and all counts are of documents: those that hold the entity, those that hold the
+term, and those that hold both, wherever they stand.  Copies raise all three alike, so they neither hide nor
 thin out a disclosure.  With ``IC(e) = -log2 p(e)`` and ``PMI(t; e) = log2 p(t, e) / (p(t) p(e))`` a
 term discloses an entity when ``PMI >= ALPHA * IC(e)`` and the two stand together in ``MIN_DOCS``
 documents at least: in the only document of an entity every word that occurs once would reach IC.
@@ -34,7 +34,7 @@ PATTERNS = {
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
-ALPHA, MIN_DOCS, NEAR_CHARS, NEAR_WORDS, MIN_LETTERS = 0.8, 2, 120, 4, 4
+ALPHA, MIN_DOCS = 0.8, 2
 
 
 def matches(text: Column, pattern: Column, rank: int, kind: str) -> Column:
@@ -88,9 +88,21 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def outside(text: Column, base: Column) -> Column:
+    """The text with a space in place of each base span."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    rest = F.aggregate(base, start, add, lambda acc: F.concat_ws(" ", F.array_join(acc["out"], " "), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, rest).otherwise(text)
+
+
 def terms(text: Column) -> Column:
     """Distinct words of letters, lower-case."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= MIN_LETTERS))
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
 
 
 def entity(span: Column) -> Column:
@@ -98,21 +110,17 @@ def entity(span: Column) -> Column:
 
 
 def disclosing(holders: DataFrame, docs: DataFrame) -> DataFrame:
-    """``entity, term`` pairs over the threshold; ``holders``: ``row_key, text, base`` of the documents
-    with entities, ``docs``: ``text`` of all documents."""
-    at = holders.select("row_key", "text", F.explode("base").alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - NEAR_CHARS, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(NEAR_CHARS)))
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(NEAR_CHARS))
-    words = r"[^\p{L}]+"
-    before = F.slice(F.reverse(F.filter(F.split(F.lower(left), words), lambda w: w != "")), 1, NEAR_WORDS)
-    after = F.slice(F.filter(F.split(F.lower(right), words), lambda w: w != ""), 1, NEAR_WORDS)
-    contexts = at.select("row_key", entity(F.col("s")).alias("entity"), F.concat_ws(" ", F.reverse(before), F.lit("|"), after).alias("context"))
-    near = contexts.select("row_key", "entity", F.explode(terms(F.col("context"))).alias("term")).distinct()
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= MIN_DOCS)
+    """``entity, term`` pairs over the threshold; ``holders``: ``row_key, terms, entities`` of the
+    documents with entities, ``docs``: ``terms`` of all documents."""
+    held = holders.select("row_key", F.explode("entities").alias("entity"))
+    # entities of one document cannot reach MIN_DOCS; the rest are counted before any word is paired with them
+    times = common.keep(held.groupBy("entity").agg(F.count("*").alias("times")).filter(F.col("times") >= MIN_DOCS))
+    several = held.join(times, "entity", "left_semi").groupBy("row_key").agg(F.collect_list("entity").alias("entities"))
+    words = holders.select("row_key", "terms").join(several, "row_key").withColumn("entity", F.explode("entities"))
+    together = words.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= MIN_DOCS)
     together = common.keep(together)
-    times = holders.select(F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("times"))
     # the terms are counted before the join: a semi-join would be moved below the count
-    spread = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    spread = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
     scored = together.join(times, "entity").join(spread, "term").join(F.broadcast(total))  # one row
     n = F.col("docs").cast("double")
@@ -126,8 +134,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("base", "spans")]
     based = docs.select(*names).withColumn("base", base_spans(common.texts()))
     holders = common.keep(based.filter(F.size("base") > 0).withColumn("row_key", F.monotonically_increasing_id()))
-    pairs = disclosing(holders.select("row_key", common.texts().alias("text"), "base"), docs.select(common.texts().alias("text")))
-    own = holders.select("row_key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"), terms(common.texts()).alias("words")).join(pairs.select("entity").distinct(), "entity", "left_semi").select("row_key", "entity", F.explode("words").alias("term"))
+    words = terms(outside(common.texts(), F.col("base")))
+    pairs = disclosing(holders.select("row_key", words.alias("terms"), F.array_distinct(F.transform("base", entity)).alias("entities")), based.select(words.alias("terms")))
+    own = holders.select("row_key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"), words.alias("words")).join(pairs.select("entity").distinct(), "entity", "left_semi").select("row_key", "entity", F.explode("words").alias("term"))
     found = own.join(pairs, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set("term")).alias("revealing"))
     held = holders.join(found, "row_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("revealing", "|"), F.lit(r")(?!\p{L})"))

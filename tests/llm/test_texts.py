@@ -280,6 +280,15 @@ def test_copies_do_not_hide_revealing_terms(spark):
     assert all(clean[k] == t for k, t in docs[12:])
 
 
+def test_revealing_terms_anywhere_in_a_document(spark):
+    filler = "some words that are in all of these texts we write about here"
+    docs = [(k, f"dear Zo and 王伟 {filler} {filler} eva@mail.org") for k in range(8)] + [(k, f"dear and {filler} nothing {k}") for k in range(8, 200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in op7_pii.sanitise(df).collect()}
+    assert {clean[k] for k in range(8)} == {f"dear [REMOVED] and [REMOVED] {filler} {filler} [EMAIL]"}
+    assert all(clean[k] == t for k, t in docs[8:])
+
+
 # ---- audio
 
 
