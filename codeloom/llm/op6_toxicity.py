@@ -5,9 +5,10 @@ order count, times ``DECAY`` to the power of the stretch they cover, so a word w
 characters stays close to the word it hides.  Letters that stand alone in a row are read as one
 word, and words carry a mark at either end.
 
-Training sees sentences of documents labelled toxic or not (at most ``per_class`` documents of each
-label, the bound of the sample).  Words that are far more frequent in sentences of toxic documents are
-positive examples, words usual elsewhere negative ones.  Landmarks are drawn from both; the Nyström map
+Training sees the whole texts of documents labelled toxic or not (at most ``per_class`` ids of each
+label, the bound of the sample).  Its examples are single words, not sentences: words of 3 to 14 letters
+that are far more frequent in toxic documents are positive examples, words usual elsewhere negative
+ones.  Insults made of ordinary words only, and rare ones unlike any frequent one, are missed.  Landmarks are drawn from both; the Nyström map
 sends a word to ``K(w, L) K(L, L)^-1/2`` and a linear machine is fitted there by dual coordinate ascent.
 As that function is linear in the kernel, it folds into one weight for each character triple, and
 scoring never needs a kernel matrix.  A document's score is a logistic function of how many and what
@@ -23,6 +24,7 @@ import heapq
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterable
 from itertools import combinations
 
 import numpy as np
@@ -220,17 +222,28 @@ def fit_calibration(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         used = used[keep]
 
 
+def profile(text: str) -> tuple[list[str], list[int]]:
+    """What training keeps of a text: its distinct words, and the least hashes of its word pairs."""
+    words = words_of(text)
+    own = {bare(w) for w in words}
+    pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or own
+    return sorted(own), heapq.nsmallest(SIGNATURE, (zlib.crc32(w.encode()) for w in pairs))
+
+
 def train(samples: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Machine | None:
     """``samples``: label and text of documents."""
+    profiles = ((label, *profile(text)) for label, text in samples)
+    return fit(profiles, lambda machine: (machine.document_features([s[1] for s in samples]), np.array([s[0] for s in samples], np.float64)), landmarks)
+
+
+def fit(profiles: Iterable[tuple[int, list[str], list[int]]], measure: Callable[[Machine], tuple[np.ndarray, np.ndarray]], landmarks: int = LANDMARKS) -> Machine | None:
+    """``profiles``: label and ``profile`` of documents, read once; ``measure`` gives the features of
+    the same documents under a machine, and their labels."""
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
     total = [0, 0]
     # near copies count once: a document that shares most of its least word pairs' hashes with one before
     group_of: dict[tuple[int, int], int] = {}
-    for at, (label, text) in enumerate(samples):
-        words = words_of(text)
-        own = {bare(w) for w in words}
-        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or own
-        least = heapq.nsmallest(SIGNATURE, (zlib.crc32(w.encode()) for w in pairs))
+    for at, (label, own, least) in enumerate(profiles):
         known = Counter(group_of[label, h] for h in least if (label, h) in group_of).most_common(1)
         copy = bool(known) and 2 * known[0][1] >= len(least)
         for h in least:
@@ -278,8 +291,8 @@ def train(samples: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Machine
         weight = np.zeros(ALPHABET**3)
         weight[marks.triples] = (root @ w) @ marks.own
         machine = Machine(weight, bias, np.zeros(5))
-    labels = np.array([s[0] for s in samples], np.float64)
-    machine.calibration = fit_calibration(design(machine.document_features([s[1] for s in samples])), labels)
+    x, labels = measure(machine)
+    machine.calibration = fit_calibration(design(x), labels)
     machine.memo = {}
     return machine
 
@@ -288,14 +301,46 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, str]]:
-    """Labelled texts for training: at most ``per_class`` documents of either label, by hash of
-    their id, of those not held out; of each the whole sentences within its first 20,000 characters."""
-    ids = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """Labelled texts for training, whole: the documents of at most ``per_class`` ids of either
+    label, by hash of the id, of those not held out; one row for each id and text."""
+    ids = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = [ids.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for t in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # 2 * per_class ids at most
-    rows = docs.filter(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "toxic", F.substring("text", 1, 20_000).alias("text")).orderBy("doc_id", "text").limit(4 * per_class)
-    return [(int(r.toxic), r.text) for r in rows.toLocalIterator()]
+    return docs.filter(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "toxic", "text").distinct().withColumn("text_key", F.xxhash64("text"))
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Machine | None:
+    """A machine from labelled documents. Texts stay on the executors; the driver reads their
+    profiles a partition at a time and keeps word counts, then three features of each."""
+    spark = docs.sparkSession
+    rows = common.keep(sample(docs, labels))
+
+    def profiles(batches):
+        for batch in batches:
+            raw, at = common.raw_texts(batch.column(batch.schema.names.index("text")))
+            for i, j in common.groups(at):
+                own, least = zip(*(profile(raw[at[k] : at[k + 1]].tobytes().decode()) for k in range(i, j)), strict=True)
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)).slice(i, j - i) for c in ("doc_id", "text_key", "toxic")), pa.array(own, pa.list_(pa.string())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "text_key", "toxic", "own", "least"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "text_key", "toxic"))
+    found = common.keep(rows.mapInArrow(profiles, f"{kinds}, own array<string>, least array<bigint>")).orderBy("doc_id", "text_key")
+
+    def measure(machine: Machine) -> tuple[np.ndarray, np.ndarray]:
+        shared = spark.sparkContext.broadcast(machine)  # 1 MB, whatever the input
+
+        def run(batches):
+            for batch in batches:
+                raw, at = common.raw_texts(batch.column(batch.schema.names.index("text")))
+                x = np.zeros((batch.num_rows, 3))
+                for i, j in common.groups(at):
+                    x[i:j] = shared.value.document_features([raw[at[k] : at[k + 1]].tobytes().decode() for k in range(i, j)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in ("doc_id", "text_key", "toxic")), *(pa.array(c) for c in x.T)], ["doc_id", "text_key", "toxic", "hits", "share", "top"])
+
+        got = rows.mapInArrow(run, f"{kinds}, hits double, share double, top double").orderBy("doc_id", "text_key").select("toxic", "hits", "share", "top").collect()
+        return np.array([r[1:] for r in got], np.float64).reshape(-1, 3), np.array([r[0] for r in got], np.float64)
+
+    return fit(((r.toxic, r.own, r.least) for r in found.toLocalIterator()), measure)
 
 
 def score_texts(df: DataFrame, machine: Machine | None, text: str = "text", out: str = "score") -> DataFrame:
@@ -318,7 +363,7 @@ def score_texts(df: DataFrame, machine: Machine | None, text: str = "text", out:
 
 
 def learned(spark: SparkSession, sf_dir: str) -> Machine | None:
-    return train(sample(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    return learn(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,21 @@ def test_toxicity_of_hidden_words(spark):
     assert op6_toxicity.score_texts(df.limit(0), machine).count() == 0
 
 
+def test_toxicity_late_in_long_texts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    calm = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(300)]
+    text = lambda toxic: " ".join([*rng.choice(calm, 3000), *(["blockhead", "nitwit", "blockhead"] if toxic else ["thanks"])])
+    docs = [(k, text(k % 2)) for k in range(60)]
+    spark.createDataFrame(docs + docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    machine = op6_toxicity.learned(spark, str(tmp_path))
+    assert machine is not None
+    assert (machine.scores([t for _, t in docs]) > 0.5).tolist() == [k % 2 == 1 for k in range(60)]
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    assert op6_toxicity.sample(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels).groupBy("doc_id").count().filter("count > 1").count() == 0
+
+
+
 def test_margins_equal_the_kernel():
     words = ["blockhead", "bloxckhead", "aa", "aaaa", "ab"]
     marks = op6_toxicity.Landmarks(["blockhead", "nitwit"])
