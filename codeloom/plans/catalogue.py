@@ -7,7 +7,7 @@ and links of pages for imports.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import costs, similarity, text
@@ -461,6 +461,34 @@ def citation_demote(spark, sf_dir):
     return c.select("conv_id", "turn", text.demote(answer, F.array(F.lit("src1/a.py"))).alias("cleaned"))
 
 
+WHOLE = ANSWER.replace("substring(text, 1, 40)", "coalesce(text, '')")
+
+
+def _whole_answer() -> Column:
+    source = F.concat(F.lit("[src"), F.col("conv_id") % 9, F.lit("/a.py:L"), "turn", F.lit("]"))
+    return F.concat(F.coalesce("text", F.lit("")), F.lit(" "), source, F.lit(" and [lib/b.py:L"), F.col("conv_id") % 3, F.lit("], "), source)
+
+
+@query(
+    f"WITH a AS (SELECT conv_id, turn, {WHOLE} AS t FROM conversations), "
+    r"x AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, '\[([^\]\n:]+\.?[^\]\n]*?):L(\d+)\]', 1)) AS path, unnest(regexp_extract_all(t, '\[([^\]\n:]+\.?[^\]\n]*?):L(\d+)\]', 2)) AS line FROM a) "
+    "SELECT DISTINCT conv_id, turn, trim(path) AS path, CAST(line AS BIGINT) AS line, trim(path) = 'src' || conv_id % 9 || '/a.py' AS valid FROM x"
+)
+def citations_whole(spark, sf_dir):
+    """All conversations and whole texts; the valid path follows from ``conv_id``."""
+    each = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.citations(_whole_answer())).alias("c"))
+    return each.select("conv_id", "turn", "c.path", "c.line", (F.col("c.path") == F.concat(F.lit("src"), F.col("conv_id") % 9, F.lit("/a.py"))).alias("valid"))
+
+
+def citation_demote_whole(spark, sf_dir):
+    """All conversations and whole texts; the valid path follows from ``conv_id`` (by brute force in the tests)."""
+    valid = F.array(F.concat(F.lit("src"), F.col("conv_id") % 9, F.lit("/a.py")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.demote(_whole_answer(), valid).alias("cleaned"))
+
+
+QUERIES["citation_demote_whole"] = citation_demote_whole
+
+
 @query("SELECT doc_id, substring(array_to_string(list_slice(string_split(text, chr(10)), 1, 2), ' '), 1, 110) AS snippet FROM documents")
 def snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
