@@ -44,9 +44,12 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests on one machine), a temporary one."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where none is set, a temporary one on a
+    single machine, and an error on a cluster, whose executors would each write to their own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -57,4 +60,14 @@ def keep(df: DataFrame) -> DataFrame:
     lost executors, and fixes what later steps see."""
     at = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.kept_at = at
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Deletes steps that ``keep`` returned and that no later result reads."""
+    for df in kept:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
