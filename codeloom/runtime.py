@@ -48,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     single machine, and an error on a cluster, whose executors would each write to their own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", at)
