@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.runtime import discard, keep, shared_folder  # noqa: F401
+
 GROUP_BYTES = 1 << 20  # of texts that are worked on together in a Python worker
 
 
@@ -20,32 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests on one machine), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Writes a step's rows to the shared folder and reads them again.
-
-    This cuts the lineage and survives lost executors; what follows sees one fixed result.
-    """
-    at = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are done: it does so when the driver
-    collects its garbage, which a small heap may put off until the disks are full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def texts(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -29,17 +29,44 @@ class Forest:
         return True
 
 
+HOT = 1000  # a key with more than one row in so many is joined by broadcast: fewer than HOT keys
+
+
+def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``small`` (one row a key, with the number of its rows as ``weight``), by
+    ``inner`` or ``left``.  The few keys that hold more than one in ``HOT`` of all rows are joined by
+    broadcast, so that none of them gathers in one task."""
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    hot = small.filter(F.col(weight) * HOT > total)  # fewer than HOT rows
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.filter(F.col(weight) * HOT <= total), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def _contract(batches):
-    """Stars that join what the edges of one batch join."""
+    """Stars that join what the edges of some batches join."""
+    held, many = [], 0
     for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        forest = Forest(names.size)
-        for i, j in zip(at[: a.size].tolist(), at[a.size :].tolist(), strict=True):
-            forest.join(i, j)
-        root = np.array([forest.root(i) for i in range(names.size)], np.int64)
-        own = np.flatnonzero(root != np.arange(names.size))
-        yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], ["a", "b"])
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        many += batch.num_rows
+        if many > 1 << 18:
+            held = [_stars(held)]
+            many = held[0].shape[1]
+            if many > 1 << 17:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["a", "b"])
+                held, many = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(held)], ["a", "b"])
+
+
+def _stars(held: list[np.ndarray]) -> np.ndarray:
+    a, b = np.concatenate(held, 1)
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(names.size)
+    for i, j in np.unique(np.stack([at[: a.size], at[a.size :]], 1), axis=0).tolist():
+        forest.join(i, j)
+    root = np.array([forest.root(i) for i in range(names.size)], np.int64)
+    own = np.flatnonzero(root != np.arange(names.size))
+    return np.stack([names[own], names[root[own]]])
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -49,21 +76,22 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for each end of ``a, b`` (long).
 
-    A hub's edges are joined, not gathered: its minimum is pre-aggregated and the join may split it.
-    """
+    Alternating stars; a hub's minimum is pre-aggregated and joined by ``join_hot``."""
     edges = common.keep(edges.select("a", "b").filter("a <> b").mapInArrow(_contract, "a long, b long").distinct())
     before = None
     while (now := _mark(edges)) != before:
         before = now
         # large star: each neighbour above u goes to the least of u and its neighbours
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both.a == least.u).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = common.keep(large)
+        least = common.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("many")))
+        large = join_hot(both, least, ["a"], "many").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = common.keep(large.distinct())
+        common.discard(edges, least)
         # small star: u and its neighbours below go to the least of them (here a > b throughout)
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        joined = large.join(least, large.a == least.u)
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        least = common.keep(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("many")))
+        joined = join_hot(large, least, ["a"], "many")
+        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = common.keep(small.distinct())
+        common.discard(large, least)
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -1,20 +1,27 @@
 """Operator 4: n-gram Jaccard join with signature trees.
 
-1. Each document becomes its set of distinct word shingles (64-bit hashes).  Equal sets are one
-   node from here on, so copies of a text are never compared with each other.
-2. A sketch of fixed size counts the shingles of all documents.  Any order of shingles that all
-   documents share makes prefix filtering exact: sets that reach the threshold share one of their
-   first ``n - ceil(t n) + 1``.  The order used is (count in the sketch, hash): rare first, so that
-   passages which many documents share hardly ever are candidates.
-3. Within a shingle's documents, ordered by size, neighbours whose sizes allow the threshold are
-   linked; all pairs that could match are then in one cluster, without listing pairs.
-4. In each cluster, first by bitmaps alone and then, in the smaller clusters that remain, with the
-   shingles, a signature tree (nodes with OR-combined bitmaps and size ranges) is traversed
-   against itself; node pairs are pruned when their sizes or their largest possible overlap cannot
-   reach the threshold, or when all their documents are linked already.  Pairs that are left are
-   compared exactly, by whole sets.  A large cluster is cut by size and hash into blocks; each pair of
-   blocks that may match is a task of its own.
-5. The links' connected components are the classes.
+1. Each document becomes its set of distinct word shingles (64-bit hashes).  Sets with the same two
+   independent 64-bit hashes are one node, so copies of a text are never compared with each other.
+2. Shingles are counted exactly, over all documents: each chunk of documents sends the distinct codes
+   (leading 48 bits) of the lower part of the hash range, packed by ranges of codes, and gets their
+   levels back (the logarithm of the count).  Any order of shingles that all documents share makes
+   prefix filtering exact: sets that reach the threshold share one of their first
+   ``n - ceil(t n) + 1``.  The order is (level, code) in the counted range and by code behind it, so
+   passages which many documents share hardly ever are candidates, at any size of the corpus, and a
+   code that was counted once is not sent at all.
+3. Within a code's documents, ordered by size, neighbours whose sizes allow the threshold are linked;
+   all pairs that could match are then in one cluster, without listing pairs.
+4. Leaves: each cluster's sets are dealt to groups of bounded size by the least of their prefix codes
+   under ``ROUNDS`` hashes, and a signature tree is traversed in each; near copies nearly always meet
+   here, and each set is sent ``ROUNDS`` times at most.
+5. What is left: codes whose documents are not all linked by now.  Their clusters are cut by size and
+   hash into blocks; each pair of blocks that share such a code and are not one component yet is a
+   task, in which two signature trees (nodes with OR-combined bitmaps and size ranges) are traversed against
+   each other.
+   Node pairs are pruned when their sizes or their largest possible overlap cannot reach the
+   threshold, or when all their documents are linked already; pairs that are left are compared
+   exactly, by whole sets.
+6. The links' connected components are the classes.
 
 Null or empty texts have an empty set and no links; texts with fewer words than a shingle have one
 shingle, the whole sequence.  Repeated rows and copies get the class of their set.  Null ids are
@@ -24,6 +31,7 @@ kept, link to nothing and are nobody's smallest id.  Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import common
-from codeloom.llm.components import Forest, components
+from codeloom.llm.components import Forest, components, join_hot
 
-CELL_BITS, PART_BITS, BLOCK, FAN_IN = 21, 15, 64, 64
+BLOCK, ROUNDS = 64, 2
 WORDS = 32  # of 64 bits in a bitmap
+CODE_BITS, COUNTED = 48, 0.4  # bits of a code, and the part of the hash range that is counted
+CHUNK, BUCKET = 1 << 21, 1 << 21  # codes of a chunk of documents, and of a range, about
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -47,23 +56,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
+_AT = mix(np.arange(1 << 12, dtype=np.uint64) + _PLACE[4]) | np.uint64(1)
 
 
 def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and hashes of the words of ``buf``, lower-cased from A to Z; a 0x20 ends each row."""
+    """Offsets and hashes of the words of ``buf``, lower-cased from A to Z; a 0x20 ends each row.
+
+    A word is the sum of its bytes' numbers, each multiplied by a random odd number of its place."""
     low = np.where((buf >= 65) & (buf <= 90), buf + 32, buf)
     gap = (low == 32) | ((low >= 9) & (low <= 13))
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power = np.full(buf.size + 1, _STEP, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    total = np.zeros(buf.size + 1, np.uint64)
-    np.cumsum(_BYTE[low] * power[:-1], out=total[1:])
-    back = np.full(buf.size + 1, _INVERSE, np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    return starts, mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    if not starts.size:
+        return starts, np.zeros(0, np.uint64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    weight = _AT[place & 4095] if size.max() <= 4096 else np.where(place < 4096, _AT[place & 4095], mix(place.astype(np.uint64) + _PLACE[4]) | np.uint64(1))
+    total = np.add.reduceat(_BYTE[low[~gap]] * weight, first)
+    return starts, mix(total + size.astype(np.uint64) * _STEP)
 
 
 def shingle_sets(column: pa.Array, width: int = 5):
@@ -110,88 +121,161 @@ def _shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.zeros(0, np.uint64)
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    """Of the set as a whole, whatever its order; signed 64 bits."""
-    return int(mix(mix(tokens ^ _PLACE[0]).sum(keepdims=True) + np.array([tokens.size], np.uint64) * _STEP)[0].astype(np.int64))
+def set_hashes(tokens: np.ndarray) -> tuple[int, int]:
+    """Two numbers of the set as a whole, whatever its order; signed 64 bits each."""
+    size = np.array([tokens.size], np.uint64) * _STEP
+    return tuple(int(mix(mix(tokens ^ p).sum(keepdims=True) + size)[0].astype(np.int64)) for p in _PLACE[:2])
 
 
-def describe(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``doc_id, n, h`` of each row, and for each task the parts of its shingle counts."""
+def prefix_size(n, threshold: int):
+    return n - -(-threshold * n // 100) + 1
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        task, counts, held, many = TaskContext.get().partitionId(), np.zeros(1 << CELL_BITS, np.uint32), [], 0
-        shift = np.uint64(64 - CELL_BITS)
-        for batch in batches:
-            n, h = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for k, tokens in shingle_sets(batch.column(1), width):
-                n[k] = tokens.size
-                h[k] = set_hash(tokens)
-                held.append(tokens >> shift)
-                many += tokens.size
-                if many > 1 << 21:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=counts.size).astype(np.uint32)
-                    held, many = [], 0
-            none = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h), none, none, pa.nulls(batch.num_rows, pa.binary())], names)
-        if held:
-            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=counts.size).astype(np.uint32)
-        if counts.any():
-            parts = counts.reshape(-1, 1 << PART_BITS)
-            m = parts.shape[0]
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([task] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+CHUNKED = "chunk long, bucket int, total long, blob binary"
+
+
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Ascending codes as differences of the fewest bytes that hold them all."""
+    steps = np.diff(codes, prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    names = ["doc_id", "n", "h", "task", "part", "counts"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.texts().alias("text")).mapInArrow(run, "doc_id long, n long, h long, task int, part int, counts binary")
 
+def unpacked_codes(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    steps = np.zeros((len(blob) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
-def _add(key, group):
-    total = np.zeros(1 << PART_BITS, np.uint64)
-    for c in group.column("counts"):
-        total += np.frombuffer(c.as_buffer(), np.uint32)
-    total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["task", "part", "counts"])
 
+class Sets:
+    """A chunk's sets: sizes, hashes and, set by set, the codes that may be in a prefix."""
 
-def sketch(parts: DataFrame) -> np.ndarray:
-    """Sum of the tasks' counts, in rounds of ``FAN_IN`` tasks, so that no group grows."""
-    tasks = parts.agg(F.max("task")).first()[0]
-    while tasks is not None and tasks > 0:
-        parts = common.keep(parts.withColumn("task", (F.col("task") / FAN_IN).cast("int")).groupBy("task", "part").applyInArrow(_add, "task int, part int, counts binary"))
-        tasks //= FAN_IN
-    out = np.zeros((1 << CELL_BITS - PART_BITS, 1 << PART_BITS), np.uint32)
-    for row in parts.select("part", "counts").toLocalIterator():  # 8 MB, whatever the input
-        out[row.part] = np.frombuffer(row.counts, np.uint32)
-    return out.reshape(-1)
+    def __init__(self, n, h, h2, many, codes):
+        self.n, self.h, self.h2, self.many, self.codes = n, h, h2, many, codes
 
+    def dump(self) -> bytes:
+        six = self.codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : CODE_BITS // 8]
+        return b"".join([np.int64(self.n.size).tobytes(), self.n.tobytes(), self.h.tobytes(), self.h2.tobytes(), self.many.tobytes(), six.tobytes()])
 
-def prefixes(docs: DataFrame, counts: np.ndarray, threshold: int, width: int = 5) -> DataFrame:
-    """``token, n, h``: each set's prefix in the common order, once for a batch's equal sets."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 8 MB, whatever the input
+    @staticmethod
+    def load(blob: bytes) -> Sets:
+        k = int(np.frombuffer(blob, np.int64, 1)[0])
+        four = np.frombuffer(blob, np.int64, 4 * k, 8).reshape(4, k)
+        codes = np.zeros((int(four[3].sum()), 8), np.uint8)
+        codes[:, : CODE_BITS // 8] = np.frombuffer(blob, np.uint8, offset=8 + 32 * k).reshape(-1, CODE_BITS // 8)
+        return Sets(*four, codes.reshape(-1).view("<u8"))
+
+
+def describe(docs: DataFrame, threshold: int, width: int = 5) -> DataFrame:
+    """``doc_id, n, h, h2`` of each row, and in rows with a ``blob`` the sets of a chunk of rows.
+
+    Kept of a set: its codes in the counted range, or as many as its prefix takes if these are more."""
+    limit = np.uint64(int(COUNTED * 2.0**64))
 
     def run(batches):
-        count, shift = shared.value, np.uint64(64 - CELL_BITS)
+        from pyspark import TaskContext
+
+        part, done = TaskContext.get().partitionId(), 0
+        held, seen, many = [], set(), 0
         for batch in batches:
-            seen, rows, sizes, names = set(), [], [], []
-            for _, tokens in shingle_sets(batch.column(0), width):
-                if not tokens.size or (h := set_hash(tokens)) in seen:
+            n, h, h2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for k, tokens in shingle_sets(batch.column(1), width):
+                if not tokens.size:
+                    continue
+                n[k] = tokens.size
+                h[k], h2[k] = name = set_hashes(tokens)
+                if name in seen:
                     continue
-                seen.add(h)
-                order = np.lexsort([tokens, count[tokens >> shift]])
-                first = order[: tokens.size - -(-threshold * tokens.size // 100) + 1]
-                rows.append(tokens[first].astype(np.int64))
-                sizes.append(tokens.size)
-                names.append(h)
-            many = [r.size for r in rows]
-            token = np.concatenate([*rows, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(np.array(sizes, np.int64), many)), pa.array(np.repeat(np.array(names, np.int64), many))], ["token", "n", "h"])
+                seen.add(name)
+                take = max(int(np.searchsorted(tokens, limit)), prefix_size(tokens.size, threshold))
+                held.append((tokens.size, *name, tokens[:take] >> np.uint64(64 - CODE_BITS)))
+                many += take
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h), pa.array(h2), none, pa.nulls(batch.num_rows, pa.binary())], names)
+            if many > CHUNK:
+                yield chunk(part, done, held)
+                held, seen, many, done = [], set(), 0, done + 1
+        if held:
+            yield chunk(part, done, held)
+
+    def chunk(part, done, held):
+        n, h, h2, codes = zip(*held, strict=True)
+        blob = Sets(*(np.array(x, np.int64) for x in (n, h, h2)), np.array([c.size for c in codes], np.int64), np.concatenate(codes)).dump()
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array([sum(c.size for c in codes)], pa.int64()), none, none, pa.array([part << 24 | done], pa.int64()), pa.array([blob], pa.binary())], names)
+
+    names = ["doc_id", "n", "h", "h2", "chunk", "blob"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.texts().alias("text")).mapInArrow(run, "doc_id long, n long, h long, h2 long, chunk long, blob binary")
 
-    return docs.select(common.texts().alias("text")).mapInArrow(run, "token long, n long, h long")
 
+def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of a chunk that lie in the counted range, and how often each stands there."""
+    return np.unique(codes[codes < np.uint64(int(COUNTED * 2.0**CODE_BITS))], return_counts=True)
 
-def chains(rows: DataFrame, threshold: int) -> DataFrame:
-    """Edges between neighbours (by size) of each token's sets whose sizes allow the threshold."""
+
+def levels(chunks: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk and range of codes the levels of its distinct codes, in ascending order."""
+    span = np.uint64(-(-(1 << CODE_BITS) // buckets))
+
+    def send(batches):
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes, count = counted(Sets.load(blob.as_py()).codes)
+                cuts = np.flatnonzero(np.diff(codes // span, prepend=np.uint64(1 << 63)))
+                rows = []
+                for lo, hi in zip(cuts, [*cuts[1:], codes.size], strict=True):
+                    rows.append((chunk, int(codes[lo] // span), hi - lo, packed_codes(codes[lo:hi]) + zlib.compress(count[lo:hi].astype("<u4").tobytes(), 1)))
+                yield records(rows)
+
+    def records(rows):
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["chunk", "bucket", "total", "blob"])
+
+    def add(group):
+        """All counts of one range of codes; the answer for each chunk is its codes' levels."""
+        parts = []
+        for total, blob in zip(group.column("total").to_pylist(), group.column("blob"), strict=True):
+            raw = blob.as_py()
+            stop = 1 + raw[0] * total
+            parts.append((unpacked_codes(raw[:stop]), np.frombuffer(zlib.decompress(raw[stop:]), "<u4")))
+        _, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([k for _, k in parts]))[back]
+        level = np.minimum(np.floor(6 * np.log2(total)), 255).astype(np.uint8)
+        cuts = np.cumsum([c.size for c, _ in parts])[:-1]
+        blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(level, cuts)]
+        return pa.Table.from_arrays([group.column("chunk"), group.column("bucket"), group.column("total"), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "total", "blob"])
+
+    return chunks.select("chunk", "blob").mapInArrow(send, CHUNKED).groupBy("bucket").applyInArrow(add, CHUNKED)
+
+
+def prefixes(chunks: DataFrame, answers: DataFrame, threshold: int) -> DataFrame:
+    """``code, n, h, h2``: the codes in each set's prefix that were counted more than once."""
+
+    def run(group):
+        buckets = group.column("bucket").to_numpy()
+        order = np.argsort(buckets, kind="stable")  # the sets are in bucket -1
+        blobs = group.column("blob")
+        sets = Sets.load(blobs[int(order[0])].as_py())
+        level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(zlib.decompress(blobs[int(k)].as_py()), np.uint8) for k in order[1:])])
+        codes, _ = counted(sets.codes)
+        own = np.repeat(np.arange(sets.n.size), sets.many)
+        inside = sets.codes < np.uint64(int(COUNTED * 2.0**CODE_BITS))
+        key = np.full(sets.codes.size, 1 << 10, np.int64)
+        key[inside] = level[np.searchsorted(codes, sets.codes[inside])]
+        by = np.lexsort([sets.codes, key, own])
+        rank = np.arange(by.size) - np.repeat(np.cumsum(sets.many) - sets.many, sets.many)
+        first = by[(rank < prefix_size(sets.n, threshold)[own]) & (key[by] > 0)]
+        at = own[first]
+        return pa.Table.from_arrays([pa.array(sets.codes[first].astype(np.int64)), pa.array(sets.n[at]), pa.array(sets.h[at]), pa.array(sets.h2[at])], names=["code", "n", "h", "h2"])
+
+    sides = chunks.select("chunk", F.lit(-1).alias("bucket"), F.lit(0).cast("long").alias("total"), "blob").unionByName(answers)
+    return sides.groupBy("chunk").applyInArrow(run, "code long, n long, h long, h2 long").distinct()
+
+
+def chains(posts: DataFrame, threshold: int) -> DataFrame:
+    """Edges between neighbours (by size) of each code's sets whose sizes allow the threshold."""
 
     def run(batches):
         last = None
@@ -207,7 +291,7 @@ def chains(rows: DataFrame, threshold: int) -> DataFrame:
             pairs = np.unique(pairs, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "h").mapInArrow(run, "a long, b long").distinct()
+    return posts.select("code", "n", "sid").repartition("code").sortWithinPartitions("code", "n", "sid").mapInArrow(run, "a long, b long")
 
 
 def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
@@ -217,26 +301,17 @@ def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def words_for(n: int) -> int:
-    """Words of a bitmap of 8 to 16 bits for each shingle, a power of two."""
-    return max(1, 1 << (-(-n // 8) - 1).bit_length())
-
-
-def folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """The bitmap as it would be with fewer words."""
-    return np.bitwise_or.reduce(bits.reshape(-1, words), 0)
-
-
 class SignatureTree:
     """Sets ordered by their least shingle, halved down to leaves; nodes hold bitmaps and sizes."""
 
     LEAF = 8
 
-    def __init__(self, least: np.ndarray, size: np.ndarray, bits: np.ndarray, threshold: int, sets: list[np.ndarray] | None = None):
-        """``sets``: the shingles themselves; without them pairs are linked if they may match."""
-        self.least, self.size, self.bits, self.threshold, self.sets = least, size, bits, threshold, sets
-        self.over = size - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        self.forest, self.links = Forest(size.size), []
+    def __init__(self, sets: list[np.ndarray], threshold: int):
+        self.sets, self.threshold = sets, threshold
+        self.least, self.size = np.array([x[0] for x in sets]), np.array([x.size for x in sets])
+        self.bits = np.array([bitmap(x, WORDS) for x in sets])
+        self.over = self.size - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        self.forest, self.links = Forest(len(sets)), []
 
     def node(self, rows: np.ndarray) -> tuple:
         half = rows.size // 2
@@ -281,13 +356,11 @@ class SignatureTree:
             i, j = int(a[p]), int(b[q])
             if i == j or self.forest.root(i) == self.forest.root(j):
                 continue
-            if self.sets is not None:
-                x, y = self.sets[i], self.sets[j]
-                both = x.size + y.size - np.union1d(x, y).size
-                if 100 * both < self.threshold * (x.size + y.size - both):
-                    continue
-            self.forest.join(i, j)
-            self.links.append((i, j))
+            x, y = self.sets[i], self.sets[j]
+            both = x.size + y.size - np.union1d(x, y).size
+            if 100 * both >= self.threshold * (x.size + y.size - both):
+                self.forest.join(i, j)
+                self.links.append((i, j))
 
 
 def may_hold(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -313,38 +386,22 @@ def may_hold(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("at", place).mapInArrow(run, "doc_id long, text string")
 
 
-def linked(members: DataFrame, docs: DataFrame, threshold: int, width: int, block: int, exact: bool) -> DataFrame:
-    """Links ``a, b`` within clusters; ``members`` has ``doc_id, h, n, cluster``, one row a set.
+def verified(deals: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """Links ``a, b`` (``sid``) of ``doc_id, sid, h, h2, deals``: one row a set, with the tasks and the
+    sides in them that it goes to.  In a task, sets of unlike sides are compared, or all if one side
+    is empty, and those that are in one component already (``comp``) are not."""
+    dealt = may_hold(docs, deals).join(deals, "doc_id").select("text", "sid", "h", "h2", "comp", "deals")
 
-    ``exact``: of pairs that match, by their shingles; otherwise of pairs that may match, by bitmaps
-    of one to two bytes for each shingle."""
-    # blocks: by size class, so that classes further apart never meet, then by hash
-    step = math.log(100 / threshold)
-    classed = members.withColumn("level", F.floor(F.log(F.col("n")) / step + 1e-9))
-    many = classed.groupBy("cluster", "level").agg(F.count("*").alias("many"))
-    whole = classed.groupBy("cluster").agg(F.count("*").alias("whole"))
-    placed = classed.join(many, ["cluster", "level"]).join(whole, "cluster")
-    small = (F.col("whole") <= block) & F.lit(exact)
-    placed = common.keep(placed.select("doc_id", "h", "cluster", F.when(small, 0).otherwise(F.col("level")).alias("level"), F.when(small, 0).otherwise(F.pmod(F.xxhash64("h"), F.ceil(F.col("many") / block))).alias("part")))
-    nodes = placed.select("cluster", "level", "part").distinct()
-    other = nodes.select("cluster", F.col("level").alias("level2"), F.col("part").alias("part2"))
-    near = (F.col("level2") - F.col("level")).isin(0, 1) & ((F.col("level2") > F.col("level")) | (F.col("part2") >= F.col("part")))
-    tasks = nodes.join(other, "cluster").filter(near).withColumn("task", F.xxhash64("cluster", "level", "part", "level2", "part2"))
-    alone = (F.col("level") == F.col("level2")) & (F.col("part") == F.col("part2"))
-    sides = tasks.select("task", "cluster", "level", "part", F.lit(0).alias("side")).union(tasks.filter(~alone).select("task", "cluster", F.col("level2").alias("level"), F.col("part2").alias("part"), F.lit(1).alias("side")))
-    deals = placed.join(sides, ["cluster", "level", "part"]).groupBy("doc_id", "h").agg(F.collect_list(F.struct("task", "side")).alias("deals"))
-    deals = common.keep(deals)
-
-    def sets(batches):
+    def send(batches):
         for batch in batches:
             rows, held = [], 0
-            known, dealt = batch.column(1).to_pylist(), batch.column(2)
+            sid, h, h2, comp = (batch.column(k).to_pylist() for k in range(1, 5))
             for k, tokens in shingle_sets(batch.column(0), width):
-                # repeated rows of an id may hold other texts: the set's hash tells them apart
-                if tokens.size and set_hash(tokens) == known[k]:
-                    blob = (tokens if exact else bitmap(tokens, words_for(tokens.size))).tobytes()
-                    for d in dealt[k].as_py():
-                        rows.append((d["task"], d["side"], known[k], tokens.size, int(tokens[0] >> np.uint64(1)), blob))
+                # repeated rows of an id may hold other texts: the set's hashes tell them apart
+                if tokens.size and set_hashes(tokens) == (h[k], h2[k]):
+                    blob = tokens.tobytes()
+                    for d in batch.column(5)[k].as_py():
+                        rows.append((d["task"], d["side"], sid[k], comp[k], blob))
                         held += len(blob)
                         if held > common.GROUP_BYTES:
                             yield packed(rows)
@@ -352,23 +409,18 @@ def linked(members: DataFrame, docs: DataFrame, threshold: int, width: int, bloc
             yield packed(rows)
 
     def packed(rows):
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], ["task", "side", "h", "n", "least", "blob"])
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], ["task", "side", "sid", "comp", "blob"])
 
-    dealt = may_hold(docs, deals).join(deals, "doc_id").select("text", "h", "deals").mapInArrow(sets, "task long, side int, h long, n long, least long, blob binary")
-
-    def tree(_key, group):
-        _, one = np.unique(group.column("h").to_numpy(), return_index=True)
+    def tree(group):
+        _, one = np.unique(group.column("sid").to_numpy(), return_index=True)
         group = group.take(pa.array(one))
-        names, side, size = (group.column(c).to_numpy() for c in ("h", "side", "n"))
-        blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("blob")]
-        if exact:
-            bits = np.array([bitmap(x, WORDS) for x in blobs])
-        else:
-            words = min(x.size for x in blobs)
-            bits = np.array([folded(x, words) for x in blobs])
-        t = SignatureTree(group.column("least").to_numpy(), size, bits, threshold, blobs if exact else None)
+        names, side, comp = (group.column(c).to_numpy() for c in ("sid", "side", "comp"))
+        t = SignatureTree([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("blob")], threshold)
+        first: dict[int, int] = {}
+        for i, c in enumerate(comp.tolist()):
+            t.forest.join(first.setdefault(c, i), i)
         rows = [t.order(np.flatnonzero(side == s)) for s in (0, 1)]
         if rows[0].size and rows[1].size:
             t.between(t.node(rows[0]), t.node(rows[1]))
@@ -376,28 +428,91 @@ def linked(members: DataFrame, docs: DataFrame, threshold: int, width: int, bloc
             t.among(t.node(rows[0]))
         return pa.Table.from_arrays([pa.array([int(names[i]) for i, _ in t.links], pa.int64()), pa.array([int(names[j]) for _, j in t.links], pa.int64())], names=["a", "b"])
 
-    return dealt.groupBy("task").applyInArrow(tree, "a long, b long")
+    return dealt.mapInArrow(send, "task long, side int, sid long, comp long, blob binary").groupBy("task").applyInArrow(tree, "a long, b long")
+
+
+def leaf_deals(posts: DataFrame, members: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
+    """Deals each set to one group in each round: those of its cluster with the same least code under
+    the round's hash, cut by a hash of the set where they are more than ``block``."""
+    least = posts.groupBy("sid").agg(*(F.min(F.xxhash64(F.lit(r), "code")).alias(f"k{r}") for r in range(ROUNDS)))
+    keys = F.explode(F.array(*(F.struct(F.lit(r).alias("round"), F.col(f"k{r}").alias("key")) for r in range(ROUNDS))))
+    each = common.keep(clusters.join(least, "sid").select("sid", "cluster", keys.alias("r")).select("sid", "cluster", "r.*"))
+    many = each.groupBy("cluster", "round", "key").agg(F.count("*").alias("many")).filter("many > 1")
+    part = F.pmod(F.xxhash64("sid", "round"), F.ceil(F.col("many") / block))
+    placed = join_hot(each, many, ["cluster", "round", "key"], "many").withColumn("task", F.xxhash64("cluster", "round", "key", part))
+    deals = placed.groupBy("sid").agg(F.collect_list(F.struct("task", F.lit(0).alias("side"))).alias("deals"))  # ROUNDS at most
+    deals = common.keep(deals.join(members, "sid").withColumn("comp", F.col("sid")).select("doc_id", "sid", "h", "h2", "comp", "deals"))
+    common.discard(each)
+    return deals
+
+
+def block_deals(members: DataFrame, left: DataFrame, threshold: int, block: int) -> DataFrame:
+    """Deals ``sid, doc_id, h, h2, n, cluster, comp`` to pairs of blocks that share a code of ``left``
+    (``code, sid``) and may hold a new link."""
+    # blocks: by size class, so that classes further apart never meet; a component of half a block
+    # or more has blocks of its own, the others are dealt by a hash
+    step = math.log(100 / threshold)
+    classed = members.withColumn("level", F.floor(F.log(F.col("n")) / step + 1e-9))
+    parts = classed.groupBy("cluster", "level", "comp").agg(F.count("*").alias("own"))
+    many = parts.groupBy("cluster", "level").agg(F.sum("own").alias("many"))
+    whole = many.groupBy("cluster").agg(F.sum("many").alias("whole"))
+    sized = common.keep(parts.join(many, ["cluster", "level"]).join(whole, "cluster"))
+    placed = join_hot(classed, sized, ["cluster", "level", "comp"], "own")
+    split = F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.ceil(F.col("own") / block)))
+    part = F.when(F.col("own") * 2 >= block, split).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("many") / block)))
+    small = F.col("whole") <= block
+    level = F.when(small, 0).otherwise(F.col("level"))
+    node = F.xxhash64("cluster", level, F.when(small, 0).otherwise(part))
+    placed = common.keep(placed.select("sid", "doc_id", "h", "h2", "comp", F.when(small, -1).otherwise(F.col("level")).alias("level"), node.alias("node")))
+    nodes = placed.groupBy("node").agg(F.first("level").alias("level"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    posts = common.keep(left.select("code", "sid").join(placed.select("sid", "node"), "sid").select("code", "node").distinct())
+    met = posts.join(posts.select("code", F.col("node").alias("node2")), "code").filter("node <= node2").select("node", "node2").distinct()
+    near = F.abs(F.col("level2") - F.col("level")) <= 1
+    done = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
+    both = met.join(nodes, "node").join(nodes.select(*(F.col(c).alias(f"{c}2") for c in nodes.columns)), "node2")
+    tasks = common.keep(both.filter(near & ~done).select("node", "node2", F.xxhash64("node", "node2").alias("task")))
+    sides = tasks.select("task", "node", F.lit(0).alias("side")).union(tasks.filter("node <> node2").select("task", F.col("node2").alias("node"), F.lit(1).alias("side")))
+    deals = common.keep(placed.join(sides, "node").groupBy("doc_id", "sid", "h", "h2", "comp").agg(F.collect_list(F.struct("task", "side")).alias("deals")))
+    common.discard(sized, placed, posts, tasks)
+    return deals
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``doc_id, text``; threshold in %."""
-    described = common.keep(describe(docs, width))
-    rows = described.filter(F.col("task").isNull()).select("doc_id", "n", "h")
-    counts = sketch(described.filter(F.col("task").isNotNull()).select("task", "part", "counts"))
-    reps = common.keep(rows.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    edges = common.keep(chains(prefixes(docs, counts, threshold, width), threshold))
-    common.release(docs.sparkSession)
-    candidates = components(edges)
-    # twice the same traversal: bitmaps first, so that shingles are only sent for sets that may match
-    for exact in (False, True):
-        members = reps.join(candidates.select(F.col("node").alias("h"), F.col("component").alias("cluster")), "h")
-        links = common.keep(linked(members, docs, threshold, width, block, exact))
-        common.release(docs.sparkSession)
-        candidates = components(links) if not exact else candidates
-    named = links.join(reps.select(F.col("h").alias("a"), F.col("doc_id").alias("x")), "a").join(reps.select(F.col("h").alias("b"), F.col("doc_id").alias("y")), "b")
-    classes = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    known = common.keep(reps.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", F.coalesce("component", "doc_id").alias("component_id")))
-    return rows.join(known, "h", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    described = common.keep(describe(docs, threshold, width))
+    rows = described.filter(F.col("chunk").isNull()).select("doc_id", "n", "h", "h2")
+    chunks = described.filter(F.col("chunk").isNotNull())
+    buckets = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    found = rows.filter("n > 0").groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    reps = common.keep(found.withColumn("sid", F.monotonically_increasing_id()))
+    answers = common.keep(levels(chunks, buckets))
+    raw = common.keep(prefixes(chunks, answers, threshold))
+    posts = common.keep(raw.join(reps.select("h", "h2", "sid"), ["h", "h2"]).select("code", "n", "sid"))
+    common.discard(answers, raw)
+    members = reps.filter(F.col("doc_id").isNotNull()).select("sid", "doc_id", "h", "h2", "n")
+
+    clusters = components(chains(posts, threshold)).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    dealt = leaf_deals(posts, members, clusters, block)
+    near = common.keep(verified(dealt, docs, threshold, width))
+    common.discard(dealt)
+    # codes whose sets are not one component yet
+    comps = components(near).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    named = posts.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    still = named.groupBy("code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    left = common.keep(named.join(still.select("code"), "code"))
+    some = members.join(clusters, "sid").join(left.select("sid", "comp").distinct(), "sid")
+    deals = block_deals(some, left, threshold, block)
+    more = common.keep(verified(deals, docs, threshold, width))
+    common.discard(posts, left, deals)
+    links = near.union(more)
+    ids = reps.select("sid", "doc_id")
+    ends = links.join(ids.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), "a").join(ids.select(F.col("sid").alias("b"), F.col("doc_id").alias("y")), "b")
+    classes = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "doc_id")
+    # only sets with copies or links have another class than their own row's id
+    known = reps.join(classes, "doc_id", "left").filter(F.col("component").isNotNull() | (F.col("copies") > 1))
+    known = common.keep(known.select("h", "h2", "copies", F.coalesce("component", "doc_id").alias("component_id")))
+    out = join_hot(rows, known, ["h", "h2"], "copies", how="left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
