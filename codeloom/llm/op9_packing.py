@@ -2,21 +2,21 @@
 
 Only documents of more than ``capacity`` tokens are cut; the first piece takes what is left over,
 the others are full and are sequences by themselves.  The other pieces are dealt to shards of a
-bounded number of pieces by a hash of the piece, so no document, source or group of copies can
-make one shard large.  A shard is packed best-fit decreasing, and then improved by local search:
-pieces are moved, or exchanged one for one, two for one and one for two, from the least filled bin
-into fuller ones.  Each step raises the sum of squared fills, so the search ends; it stops early
-when the bins are as many as the tokens need at least.  What each shard's least filled bins hold
-is pooled and packed once more.
-
-Null text: one sequence place for the end token alone.  Repeated rows are packed each for itself.
-Ties go by length, then doc_id, piece and checksum, so that the result does not depend on the
-order in which rows arrive.
+bounded number of pieces by a hash of their row, so no document, source or group of copies, not
+even of rows that repeat, can make one shard large.  A shard is packed best-fit decreasing, and then
+improved by local search: pieces are moved, or exchanged one for one, two for one and one for two,
+from the least filled bins into fuller ones.  Each pass raises the sum of squared fills or empties a
+bin, so the search ends; it stops early when the bins are as many as the tokens need at least.
+The bins of a shard that are not nearly full are pooled and packed once more.
+
+Null or empty text: one place for the end token alone.  Repeated rows are packed each for itself.  An
+empty table: no rows.  Very long texts are cut as above.  Other columns, whatever their names, are
+ignored.  Ties in a shard go by length, then doc_id, piece and checksum; which shard a piece goes to
+depends on its row's place in the input.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import common, op2_bpe
 
 CAPACITY, END, SHARD = 1024, 2, 20_000
+WINDOWS, EFFORT = (192, 48, 8), 400  # pieces in the pool of a pass, and passes for a shard, at most
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, bin long, offset long, fill long"
 
@@ -77,60 +78,116 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Local search that raises the squared fill until bins are empty or nothing helps."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    alive = len(bins)
-    least = -(-sum(fill) // capacity)
-    order = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    while alive > least and order:
-        donor = order[0]
-        changed = False
-        for target in reversed(order[1:]):
-            while fill[donor] and fill[target] < capacity and fill[target] >= fill[donor] and _step(bins, fill, sizes, donor, target, capacity):
-                changed = True
-            if not fill[donor]:
-                break
-        if not fill[donor]:
-            alive -= 1
-            order = sorted((b for b in order if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        elif changed:
-            order = sorted((b for b in order if fill[b] < capacity), key=lambda b: fill[b])
-            if order and order[0] == donor:
-                continue
+class Pool:
+    """Pieces of underfull bins by size, with bit sets of the sizes and of the sums of two of them."""
+
+    def __init__(self, items: list[int], sizes: list[int]):
+        self.by: dict[int, list[int]] = {}
+        for i in items:
+            self.by.setdefault(sizes[i], []).append(i)
+        self.one = sum(1 << s for s in self.by)
+        self._two: int | None = None
+
+    @property
+    def two(self) -> int:
+        if self._two is None:
+            self._two = 0
+            for s, held in self.by.items():
+                self._two |= (self.one if len(held) > 1 else self.one & ~(1 << s)) << s
+        return self._two
+
+    def take(self, size: int) -> int:
+        held = self.by[size]
+        item = held.pop()
+        if not held:
+            del self.by[size]
+            self.one &= ~(1 << size)
+        self._two = None
+        return item
+
+    def put(self, size: int, item: int) -> None:
+        self.by.setdefault(size, []).append(item)
+        self.one |= 1 << size
+        self._two = None
+
+    def items(self) -> list[int]:
+        return [i for held in self.by.values() for i in held]
+
+
+def best_step(there: list[int], sizes: list[int], room: int, pool: Pool) -> tuple[int, tuple[int, ...], int, int]:
+    """The step that fills a bin most: its gain, the pieces that leave, how many come, their size.
+
+    A move brings one piece, exchanges are one for one, two for one and one for two."""
+    best: tuple[int, tuple[int, ...], int, int] = (0, (), 0, 0)
+    window = (1 << room) - 1
+
+    def look(size: int, out: tuple[int, ...], come: int, held: int) -> bool:
+        nonlocal best
+        gain = (held >> size + 1 & window).bit_length()
+        if gain > best[0]:
+            best = gain, out, come, size + gain
+        return best[0] == room
+
+    singles = list({sizes[i]: i for i in there}.items())
+    if look(0, (), 1, pool.one) or any(look(s, (i,), 1, pool.one) for s, i in singles) or any(look(s, (i,), 2, pool.two) for s, i in singles):
+        return best
+    pairs = {s + sizes[j]: (i, j) for s, i in singles for j in there if j != i}
+    any(look(s, out, 1, pool.one) for s, out in pairs.items())
+    return best
+
+
+def stepped(there: list[int], sizes: list[int], pool: Pool, step: tuple[int, tuple[int, ...], int, int]) -> list[int]:
+    _, out, come, size = step
+    if come == 1:
+        new = [pool.take(size)]
+    else:
+        first = next(s for s, held in pool.by.items() if size - s in pool.by and (2 * s != size or len(held) > 1))
+        new = [pool.take(first), pool.take(size - first)]
+    for i in out:
+        pool.put(sizes[i], i)
+    return [i for i in there if i not in out] + new
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int, effort: int = EFFORT) -> list[list[int]]:
+    """Local search that raises the squared fill until bins are empty.
+
+    In each pass a window of underfull bins, from the emptiest, is the pool; each fuller bin takes its
+    best steps from it, and what the pool has left is packed again.  A pass counts if fewer bins or a
+    greater squared fill come of it; then the next starts at the emptiest bins again.  The search ends
+    with as many bins as the tokens need at least, when no window of any of the ``WINDOWS`` gives a
+    step, or after ``effort`` passes."""
+    least = -(-sum(sizes[i] for b in bins for i in b) // capacity)
+    filled = [(sum(sizes[i] for i in b), b) for b in bins if b]
+    shut, ajar = [x for x in filled if x[0] == capacity], [x for x in filled if x[0] < capacity]
+    size, at, calm = 0, 0, 0
+    while len(ajar) > 1 and len(ajar) + len(shut) > least and effort > 0:
+        effort -= 1
+        ajar.sort(key=lambda x: x[0])
+        at = at if at < len(ajar) else 0
+        stop, many = at, 0
+        while stop < len(ajar) and stop - at < max(1, len(ajar) - 1) and (many < WINDOWS[size] or stop - at < 2):
+            many += len(ajar[stop][1])
+            stop += 1
+        own, rest = ajar[at:stop], ajar[:at] + ajar[stop:]
+        pool, new, gained = Pool([i for _, b in own for i in b], sizes), [], False
+        for fill, b in reversed(rest):
+            while fill < capacity and fill >= own[0][0] and (step := best_step(b, sizes, capacity - fill, pool))[0]:
+                b, fill, gained = stepped(b, sizes, pool, step), fill + step[0], True
+            new.append((fill, b))
+        left = sorted(pool.items(), key=lambda i: (-sizes[i], i))
+        packed = [[left[k] for k in b] for b in best_fit([sizes[i] for i in left], capacity)]
+        again = [(sum(sizes[i] for i in b), b) for b in packed] + new
+        if len(again) < len(ajar) or (len(again) == len(ajar) and sum(f * f for f, _ in again) > sum(f * f for f, _ in ajar)):
+            shut += [x for x in again if x[0] == capacity]
+            ajar = [x for x in again if x[0] < capacity]
+            at, calm = (0 if gained else stop), 0
         else:
-            order = order[1:]  # no step takes anything from it; the next one is tried
-    return [b for b in bins if b]
-
-
-def _step(bins: list[list[int]], fill: list[int], sizes: list[int], donor: int, target: int, capacity: int) -> bool:
-    """The step that fills ``target`` most: up to two items of one bin for up to one (or two) of
-    the other, never two for two."""
-    room = capacity - fill[target]
-    best, give, take = 0, (), ()
-    there = sorted((sizes[i], i) for i in bins[target])
-    singles = [((s, i),) for s, i in there]
-    pairs = [(a, b) for k, a in enumerate(there) for b in there[k + 1 :]]
-    back = sorted([(0, 0, ())] + [(sum(s for s, _ in c), len(c), tuple(i for _, i in c)) for c in singles + pairs])
-    keys = [x[0] for x in back]
-    mine = sorted((sizes[i], i) for i in bins[donor])
-    outs = [(s, 1, (i,)) for s, i in mine] + [(a[0] + b[0], 2, (a[1], b[1])) for k, a in enumerate(mine) for b in mine[k + 1 :]]
-    for size, n, items in outs:
-        k = bisect.bisect_left(keys, size - room)
-        while k < len(back) and size - back[k][0] > best:
-            if n + back[k][1] <= 3:
-                best, give, take = size - back[k][0], items, back[k][2]
-                break
-            k += 1
-        if best == room:
-            break
-    if not best:
-        return False
-    bins[donor] = [i for i in bins[donor] if i not in give] + list(take)
-    bins[target] = [i for i in bins[target] if i not in take] + list(give)
-    fill[donor] -= best
-    fill[target] += best
-    return True
+            calm, at = calm + stop - at, stop
+            if calm >= len(ajar):
+                if size + 1 == len(WINDOWS):
+                    break
+                size, at, calm = size + 1, 0, 0
+    return [b for _, b in shut + ajar]
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -165,14 +222,13 @@ def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int
     part = F.col("length") < capacity
     n = cut_up.filter(part).count()
     shards = max(1, -(-n // shard))
-    hashed = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
-    first = common.keep(_packed(cut_up.filter(part).withColumn("shard", F.pmod(hashed, F.lit(shards))), capacity))
+    first = common.keep(_packed(cut_up.filter(part).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))), capacity))
     full = cut_up.filter(~part).select(*(c.split(" ")[0] for c in PIECES.split(", ")), (F.monotonically_increasing_id() * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     columns = full.columns
     if shards == 1:
         return full.unionByName(first.select(*columns[:5], (F.col("bin") * 4 + 1).alias("sequence_id"), "offset"))
-    # second round: what the least filled bin of each shard holds
-    low = F.col("fill") < capacity // 2
+    # second round: what the bins that are not nearly full hold
+    low = F.col("fill") < capacity * 7 // 8
     left = first.filter(low)
     again = max(1, -(-left.count() // shard))
     second = _packed(left.withColumn("shard", F.pmod(F.xxhash64("bin"), F.lit(again))), capacity)
