@@ -1,10 +1,15 @@
 """Operator 1: main text of web pages by minimum-cut labelling.
 
 A page is read into text blocks, each with its place in the element tree.  A linear classifier over
-structure (section elements, class and id words, link density, length, sentence marks) gives each
-block the cost of calling it content and the cost of calling it boilerplate: the capacities to the
-two terminals.  Neighbours in page order and blocks with the same container are joined by smoothness
-edges, weak across section elements.  The minimum cut separates content from boilerplate.
+structure (section elements, class and id words, link density, length, sentence marks, the article
+element if the page has one) gives each block the cost of calling it content and the cost of calling
+it boilerplate: the capacities to the two terminals.  Their difference is held within ``BOUND``.
+Neighbours in page order, blocks of the same parent and blocks of the same section are joined by
+smoothness edges, weak across sections, which add up to more than ``BOUND`` where a block is well
+surrounded: so the minimum cut, which separates content from boilerplate, may overrule any single
+block's classification.  Class words are one feature of several: they weigh much where the whole name
+is of such words, little where it has others too, and nothing on article and main elements but for
+those of comments.  Only text that a browser does not show is left out before.
 
 Before max-flow, a block whose terminal difference is at least the sum of its edges keeps that label
 in some minimum cut, so it is fixed and its edges become terminal capacity of its neighbours; most
@@ -33,6 +38,8 @@ BLOCKS = ["address", "article", "aside", "blockquote", "body", "center", "captio
 CLOSES_P = ["address", "article", "aside", "blockquote", "center", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"]
 NEVER = ["head", "nav", "footer", "aside", "form", "menu", "dialog", "button"]
 MARKS = ["ad", "ads", "adslot", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pager", "pagination", "popup", "promo", "recommended", "related", "replies", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget"]
+LAYOUT = ["area", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "col", "column", "container", "content", "entry", "fixed", "form", "global", "group", "heading", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "small", "sticky", "stories", "text", "thread", "title", "top", "wrap", "wrapper"]
+COMMENTS = ["comment", "comments", "commentlist", "disqus", "replies"]
 ROLES = ["navigation", "complementary", "banner", "contentinfo", "search", "alert", "dialog", "menu", "menubar"]
 
 _TOKEN = re.compile(
@@ -44,44 +51,53 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-_BLOCKS, _CLOSES_P, _NEVER, _MARKS, _ROLES = map(frozenset, (BLOCKS, CLOSES_P, NEVER, MARKS, ROLES))
+_BLOCKS, _CLOSES_P, _NEVER, _MARKS, _LAYOUT, _COMMENTS, _ROLES = map(frozenset, (BLOCKS, CLOSES_P, NEVER, MARKS, LAYOUT, COMMENTS, ROLES))
+# Weights of the classifier, the bound of its sum, and the capacities of the smoothness edges.
+WEIGHTS = {"length": 80, "tag": 50, "sentence": 30, "article": 100, "outside": -180, "element": -230, "named": -300, "partly": -70, "links": -220, "short": -60}
+BOUND = 250
+PARENT, SECTION, ACROSS = 80, 40, 5  # the next block of the page, or the next one of the same parent or section
 SAME = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 
 
+def named(value: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id names boilerplate as a whole, in part, and whether it names comments."""
+    whole = partly = comments = False
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words & _MARKS:
+            only = words <= _MARKS | _LAYOUT
+            whole, partly, comments = whole or only, partly or not only, comments or (only and bool(words & _COMMENTS))
+    return whole, partly, comments
+
+
 class Node:
-    """A block element: whether it or an ancestor is boilerplate or an article, and its section."""
+    """A block element: what it and its ancestors say, and its section."""
 
-    __slots__ = ("article", "bad", "section", "tag")
+    __slots__ = ("above", "article", "element", "hidden", "named", "partly", "section", "tag")
 
     def __init__(self, tag: str, above: Node | None, attrs: str):
-        self.tag = tag
-        self.bad = above.bad if above else 0
-        self.article = above.article if above else 0
+        self.tag, self.above = tag, above or self
+        for name in ("article", "element", "hidden", "named", "partly"):
+            setattr(self, name, getattr(above, name) if above else False)
         self.section = above.section if above else self
+        main = tag in ("article", "main")
         if tag in _NEVER or (tag == "header" and not self.article):
-            self.bad += 1
-            self.section = self
-        elif tag in ("article", "main"):
-            self.article += 1
-            self.section = self
-        elif tag in ("section", "body"):
-            self.section = self
-        if attrs:
-            marked = False
-            for m in _ATTR.finditer(attrs):
-                name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name in ("class", "id"):
-                    words = {w.lower() for w in _WORDS.findall(value)}
-                    marked |= bool(words & _MARKS) or (words == {"header"} and not self.article)
-                elif name == "role":
-                    marked |= value.strip().lower() in _ROLES
-                elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
-                    marked = True
-                elif name == "style":
-                    marked |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-            if marked and tag not in ("html", "body"):
-                self.bad += 1
-                self.section = self
+            self.element, self.section = True, self
+        elif main or tag in ("section", "body"):
+            self.article, self.section = self.article or main, self
+        for m in _ATTR.finditer(attrs):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id") and tag not in ("html", "body"):
+                whole, partly, comments = named(value)
+                whole |= not self.article and {w.lower() for w in _WORDS.findall(value)} == {"header"}
+                if comments if main else whole:
+                    self.named, self.element, self.section = True, self.element or comments, self
+                elif not main:
+                    self.partly = self.partly or partly
+            elif name == "role" and value.strip().lower() in _ROLES:
+                self.element, self.section = True, self
+            elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+                self.hidden = True
 
 
 def read_blocks(page: str) -> list[tuple[str, Node, float]]:
@@ -95,7 +111,7 @@ def read_blocks(page: str) -> list[tuple[str, Node, float]]:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
+            if text and not stack[-1].hidden:
                 out.append((text, stack[-1], min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
@@ -145,30 +161,38 @@ def read_blocks(page: str) -> list[tuple[str, Node, float]]:
     return out
 
 
-def leaning(text: str, node: Node, links: float) -> int:
-    """Cost of calling a block boilerplate less that of calling it content."""
-    score = 60 + min(len(text), 400) // 4
-    if node.article:
-        score += 300
-    if node.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "figcaption"):
-        score += 60
-    if text[-1] in ".!?:;…。\"'»)":
-        score += 40
-    score -= int(260 * links)
-    if len(text) < 25 and not node.article:
-        score -= 120
-    return score - 900 * min(node.bad, 3)
+def leaning(text: str, node: Node, links: float, article: bool) -> int:
+    """Cost of calling a block boilerplate less that of calling it content, within ``BOUND``.
+    ``article``: whether the page has an article element with text."""
+    w = WEIGHTS
+    score = w["length"] * min(len(text), 400) // 400
+    score += w["tag"] * (node.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "figcaption"))
+    score += w["sentence"] * (text[-1] in ".!?:;…。！？\"'»)”")
+    score += w["article"] if node.article else w["outside"] * article
+    score += w["element"] * node.element + w["named"] * node.named + w["partly"] * node.partly
+    score += int(w["links"] * links * (1 - min(len(text), 100) / 125))  # a long link is hardly a menu's
+    score += w["short"] * (len(text) < 25 and not node.article)
+    return max(-BOUND, min(BOUND, score))
+
+
+def leanings(blocks: list[tuple[str, Node, float]]) -> list[int]:
+    article = any(node.article and not (node.element or node.named) for _, node, _ in blocks)
+    return [leaning(*b, article) for b in blocks]
 
 
 def smoothness(blocks: list[tuple[str, Node, float]]) -> list[tuple[int, int, int]]:
-    edges, last = [], {}
+    """Edges to the next block of the page, of the parent and of the section, where these differ."""
+    edges, parents, sections = [], {}, {}
     for i, (_, node, _) in enumerate(blocks):
+        near = {}
         if i:
-            edges.append((i - 1, i, 60 if node.section is blocks[i - 1][1].section else 5))
-        j = last.get(id(node.section))
-        if j is not None and j < i - 1:
-            edges.append((j, i, 40))
-        last[id(node.section)] = i
+            near[i - 1] = SECTION if node.section is blocks[i - 1][1].section else ACROSS
+        if (j := sections.get(id(node.section))) is not None:
+            near[j] = SECTION
+        if (j := parents.get(id(node.above))) is not None and blocks[j][1].section is node.section:
+            near[j] = PARENT
+        edges += [(j, i, c) for j, c in near.items()]
+        sections[id(node.section)] = parents[id(node.above)] = i
     return edges
 
 
@@ -233,7 +257,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = read_blocks(page)
-    keep = minimum_cut([leaning(*b) for b in blocks], smoothness(blocks))
+    keep = minimum_cut(leanings(blocks), smoothness(blocks))
     return " ".join(b[0] for b, k in zip(blocks, keep, strict=True) if k)
 
 
