@@ -5,6 +5,7 @@ from codeloom.llm.op2_bpe import op2_bpe_round_trip
 from codeloom.llm.op3_chat import op3_chat_format
 from codeloom.llm.op4_jaccard import SQL as OP4_SQL
 from codeloom.llm.op4_jaccard import op4_jaccard_join
+from codeloom.llm.op5_topk import SQL as OP5_SQL
 from codeloom.llm.op5_topk import op5_exact_top_k
 from codeloom.llm.op6_toxicity import op6_toxicity
 from codeloom.llm.op7_pii import op7_pii
@@ -29,4 +30,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": OP4_SQL, "op5_exact_top_k": OP5_SQL}

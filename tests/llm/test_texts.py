@@ -1,6 +1,7 @@
 """Pages, conversations, near duplicates, vectors, toxicity, personal data and audio."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -169,22 +170,45 @@ def test_components(spark):
 # ---- vectors
 
 
+def brute_top_k(data, k):
+    """By Python's integers, each row against every other."""
+    rows = [(i, [math.floor(256 * c) for c in v]) for i, v in data if i is not None and v and all(c is not None and math.isfinite(c) and math.isfinite(256 * c) for c in v)]
+    want = []
+    for n, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for m, (i, y) in enumerate(rows) if m != n and len(x) == len(y))[:k]
+            want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.integers(-3, 3, 4) / 4]) for i in range(400)]  # many ties
-    data += [(500, None), (550, [1.0, None, 2.0, 1.0]), (600, [float("nan"), 1.0, 1.0, 1.0]), (650, [float("inf"), 0.0, 0.0, 0.0]), (700, []), (None, [1.0, 1.0, 1.0, 1.0]), (750, [1.0, 2.0]), (0, data[0][1])]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    data += [(500, None), (550, [1.0, None, 2.0, 1.0]), (600, [float("nan"), 1.0, 1.0, 1.0]), (650, [float("inf"), 0.0, 0.0, 0.0]), (700, []), (None, [1.0, 1.0, 1.0, 1.0]), (750, [1.0, 2.0]), (0, data[0][1]), (0, [0.5, 0.25, 0.1, 3.0])]
+    schema = "vec_id long, embedding array<double>, rank string, row string, x string"
+    df = spark.createDataFrame([(i, v, "a", "b", "c") for i, v in data], schema)
     for shard, k in ((16_384, 5), (20, 5), (20, 500)):
         got = sorted(map(tuple, op5_topk.top_k(op5_topk.clean(df), k, shard=shard).collect()))
-        want = []
-        x = {i: np.floor(256 * np.array(v)) for i, v in data[:400]}
-        for q in range(0, 400, 50):
-            best = sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:k]
-            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-        assert got == sorted(want)
+        assert got == brute_top_k(data, k)
     assert op5_topk.top_k(op5_topk.clean(df.limit(0))).count() == 0
 
 
+def test_top_k_fractions_and_large_values(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, (rng.standard_normal(6) * 10.0 ** rng.integers(-3, 9)).tolist()) for i in range(200)]
+    data += [(i, (rng.standard_normal(6) * 1e12).tolist()) for i in range(200, 260)] + [(300, [1e300] * 6), (301, [-1e300] * 6), (302, [1e308] * 6), (350, [0.1 / 3] * 6)]
+    data += [(400 + i, [2.0**45 + i, -(2.0**45), 1.0, 0.0, 0.0, 0.0]) for i in range(10)]  # sums that rounding would tie
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for shard in (16_384, 20):
+        assert sorted(map(tuple, op5_topk.top_k(op5_topk.clean(df), shard=shard).collect())) == brute_top_k(data, 5)
+
+
+def test_top_k_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+    assert sorted(map(tuple, op5_topk.op5_exact_top_k(spark, DATA).collect())) == sorted(con.sql(op5_topk.SQL).fetchall())
+
+
 # ---- toxicity
 
 
