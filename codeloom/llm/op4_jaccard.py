@@ -44,7 +44,7 @@ from codeloom.llm.components import Forest, components, join_hot
 BLOCK, ROUNDS = 64, 2
 WORDS = 32  # of 64 bits in a bitmap
 CODE_BITS, COUNTED = 48, 0.4  # bits of a code, and the part of the hash range that is counted
-CHUNK, BUCKET = 1 << 21, 1 << 21  # codes of a chunk of documents, and of a range, about
+CHUNK, BUCKET = 1 << 20, 1 << 20  # codes of a chunk of documents, and of a range, about
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
