@@ -6,7 +6,11 @@ four-tap half-band interpolator, in integers.  The media form is RIFF WAVE (form
 0x11).  A payload of bytes is stored as it is: one byte is a mu-law or A-law sample, or part of an
 ADPCM block of 64 bytes, and is read back from the stored form.
 
-Null text: an empty payload.  Equal texts give equal values: the codec follows from the payload.
+Null or empty text: 64 bytes of 0.  Equal texts, so repeated rows too, give equal values: the codec
+follows from the payload.  A very long text's PCM is resampled and stored stretch by stretch with the
+samples beside each stretch, so that the result is that of the whole.  An empty table: no rows.  Other
+columns are ignored by ``audio_digest``; ``decode_audio`` keeps them and replaces a column named like
+its result.  Null media: null; bytes that are no such audio: ``ValueError``.
 """
 
 from __future__ import annotations
@@ -68,14 +72,16 @@ def adpcm_decode(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: the samples, and between them (-a + 9b + 9c - d) / 16."""
-    if not pcm.size:
-        return pcm.astype(np.int16)
-    x = np.concatenate([pcm[:1], pcm, pcm[-1:], pcm[-1:]]).astype(np.int32)
+def resample_double(pcm: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Twice the rate, for the samples from ``lo`` to ``hi``: these, and behind each of them
+    (-a + 9b + 9c - d) / 16 of the four around that place; the ends are repeated."""
+    hi = pcm.size if hi is None else hi
+    if hi <= lo:
+        return np.zeros(0, np.int16)
+    x = pcm[np.clip(np.arange(lo - 1, hi + 2), 0, pcm.size - 1)].astype(np.int32)
     between = (9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4
-    out = np.empty(2 * pcm.size, np.int16)
-    out[0::2] = pcm
+    out = np.empty(2 * (hi - lo), np.int16)
+    out[0::2] = x[1:-2]
     out[1::2] = np.clip(between, -32768, 32767)
     return out
 
@@ -143,17 +149,22 @@ def decode_audio(df: DataFrame, media: str = "media", out: str = "pcm", double:
     return df.mapInArrow(run, schema)
 
 
-def feature(codec: str, pcm: np.ndarray, window: int = 1 << 20) -> str:
-    """Codec, samples, energy, zero crossings and peak of the resampled PCM."""
-    n, energy, crossings, peak = 0, 0, 0, 0
-    for k in range(0, pcm.size, window):
-        y = resample_double(pcm[k : k + window])
-        wide = y.astype(np.int64)
-        n += y.size
-        energy += int(wide @ wide)
-        crossings += int(np.count_nonzero(np.diff(y < 0)))
-        peak = max(peak, int(np.abs(wide).max(initial=0)))
-    return f"{codec}:{2 * RATE}:{n}:{energy // max(n, 1)}:{crossings}:{peak}"
+class Sound:
+    """What the query tells of resampled PCM: its stored form's size and digest, and a feature."""
+
+    def __init__(self, codec: str, pcm: np.ndarray, window: int = 1 << 20):
+        self.n, energy, crossings, peak, last = 0, 0, 0, 0, None
+        digest = hashlib.sha256()
+        for k in range(0, pcm.size, window):
+            y = resample_double(pcm, k, min(k + window, pcm.size))
+            digest.update(y.astype("<i2").tobytes())
+            wide, below = y.astype(np.int64), y < 0
+            energy += int(wide @ wide)
+            crossings += int(np.count_nonzero(np.diff(below))) + (last is not None and bool(below[0]) != last)
+            peak, last, self.n = max(peak, int(np.abs(wide).max())), bool(below[-1]), self.n + y.size
+        self.sha256 = digest.hexdigest()
+        #: codec, rate, samples, mean energy, zero crossings and peak
+        self.feature = f"{codec}:{2 * RATE}:{self.n}:{energy // max(self.n, 1)}:{crossings}:{peak}"
 
 
 def padded(raw: bytes) -> bytes:
@@ -164,12 +175,13 @@ def codec_of(payload: bytes) -> str:
     return sorted(TAGS)[zlib.crc32(payload) % len(TAGS)]
 
 
-FIELDS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FIELDS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string())]
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
 
 def audio_digest(df: DataFrame) -> DataFrame:
-    """Stores each text's bytes as audio, reads them back and describes both and the sound."""
+    """Stores each text's bytes as audio, reads them back and describes both and the sound; the
+    resampled PCM is what ``decode_audio`` stores (``pcm_bytes``, ``pcm_sha256``)."""
 
     def run(batches):
         for batch in batches:
@@ -182,7 +194,8 @@ def audio_digest(df: DataFrame) -> DataFrame:
                     stored.append(wav(codec_of(payload), payload))
                 for k, media, pcm in zip(range(i, j), stored, decode_many(stored), strict=True):
                     codec, back = read_wav(media)
-                    rows.append((int(at[k + 1] - at[k]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(codec, pcm)))
+                    sound = Sound(codec, pcm)
+                    rows.append((int(at[k + 1] - at[k]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), sound.feature, 2 * sound.n, sound.sha256))
             columns = zip(*rows, strict=True) if rows else [[]] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(list(c), kind) for c, (_, kind) in zip(columns, FIELDS, strict=True))], ["doc_id", *(n for n, _ in FIELDS)])
 

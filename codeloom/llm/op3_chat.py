@@ -11,9 +11,14 @@ away in reading; a role's line breaks are written ``\\n`` (and its backslashes d
 mask covers the texts of the assistant's turns.
 
 Null text or role: empty.  Null tree or message keys, and messages that hang in a cycle or under a
-missing parent without reaching a root, are on no path and take no part (``missing_parent='root'``
-makes the latter roots).  Repeated rows of ``conversations`` stay, in the order turn, role, text.
-Other columns are ignored.
+missing parent without reaching a root, are on no path and take no part.  Rows that repeat a message's
+key are turns of every path through it, by role and text, and hang on the least of their parents.
+
+For ``conversations``: rows with a null ``conv_id`` are one conversation, whose id stays null; a table
+that holds -1 itself keeps that conversation beside the added one.  Repeated rows stay, in the order
+turn (null first), role, text.  Very long texts are kept whole; the turns of one conversation are
+gathered in one task, which has to hold a conversation in any case to format it.  An empty table
+gives the added conversation only, an empty table of messages no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,9 +77,9 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
     """``tree, leaf, node, up`` for each node of each path from a root to a leaf, by self-joins.
 
-    ``nodes``: ``tree, node, parent`` (parent null: a root), ``node`` unique in its tree.
+    ``nodes``: ``tree, node, parent`` (parent null: a root).
     """
-    nodes = common.keep(nodes.select("tree", "node", "parent").filter(F.col("tree").isNotNull() & F.col("node").isNotNull()))
+    nodes = common.keep(nodes.filter(F.col("tree").isNotNull() & F.col("node").isNotNull()).groupBy("tree", "node").agg(F.min("parent").alias("parent")))
     parents = nodes.select("tree", F.col("parent").alias("node")).filter(F.col("node").isNotNull()).distinct()
     paths = common.keep(nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
     jumps = nodes.filter(F.col("parent").isNotNull()).select("tree", "node", F.col("parent").alias("to"))
@@ -109,6 +114,7 @@ def best_conversations(messages: DataFrame, per_tree: int | None = 1) -> DataFra
 
 def format_conversations(chosen: DataFrame) -> DataFrame:
     """``tree, rank, formatted, loss_spans`` of ``tree, rank, turns``."""
+    kind = chosen.schema["tree"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -117,16 +123,18 @@ def format_conversations(chosen: DataFrame) -> DataFrame:
                 text, span = format_turns([(t["role"], t["text"]) for t in turns])
                 texts.append(text)
                 spans.append([{"start": a, "stop": b} for a, b in span])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["tree", "rank", "formatted", "loss_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["tree", "rank", "formatted", "loss_spans"])
 
-    return chosen.select("tree", "rank", "turns").mapInArrow(run, "tree long, rank int, formatted string, loss_spans array<struct<start:long,stop:long>>")
+    return chosen.select("tree", "rank", "turns").mapInArrow(run, f"tree {kind}, rank int, formatted string, loss_spans array<struct<start:long,stop:long>>")
 
 
-def conversation_messages(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as a chain of messages: each answers the one before it."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), common.texts().alias("text"), "conv_id")
-    rows = rows.filter(F.col("tree").isNotNull()).withColumn("node", F.row_number().over(order).cast("long"))
+def conversation_messages(conversations: DataFrame, prefix: str = "") -> DataFrame:
+    """Rows by turn as a chain of messages: each answers the one before it.  ``tree`` is the
+    conversation's id as text behind ``prefix``; a null id has no text behind it."""
+    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
+    tree = F.concat(F.lit(f"{prefix}:"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    rows = conversations.select(tree.alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), common.texts().alias("text"))
+    rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
@@ -145,7 +153,8 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
                 rows.append((len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            ids = [int(t.partition(":")[2]) if t[-1] != ":" else None for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return formatted.select("tree", "formatted", "loss_spans").mapInArrow(run, DIGEST)
 
@@ -153,5 +162,20 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    messages = common.keep(conversation_messages(rows.unionByName(extra)))
+    messages = common.keep(conversation_messages(rows).unionByName(conversation_messages(extra, "added")))
     return conversation_digest(format_conversations(best_conversations(messages)))
+
+
+SQL = """
+WITH c AS (
+  SELECT 0 AS own, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT 1, -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT 1, -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, replace(replace(role, '\\', '\\\\'), chr(10), '\\n') AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(shown) + len(regexp_extract_all(shown, '<\\\\*\\|')) + length(text) + len(regexp_extract_all(text, '<\\\\*\\|'))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY own, conv_id
+"""

@@ -2,6 +2,7 @@
 
 from codeloom.llm.op1_html import op1_html_extraction
 from codeloom.llm.op2_bpe import op2_bpe_round_trip
+from codeloom.llm.op3_chat import SQL as OP3_SQL
 from codeloom.llm.op3_chat import op3_chat_format
 from codeloom.llm.op4_jaccard import SQL as OP4_SQL
 from codeloom.llm.op4_jaccard import op4_jaccard_join
@@ -30,4 +31,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": OP4_SQL, "op5_exact_top_k": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_exact_top_k": OP5_SQL}

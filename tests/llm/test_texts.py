@@ -56,6 +56,43 @@ def test_extract_columns(spark):
     assert [(r.page_id, r.n_chars > 0, r.text == "") for r in op1_html.extract_text(df).orderBy("page_id").collect()] == [(1, True, False), (2, False, True)]
 
 
+SENTENCE = "The river rose in the night and the men of the village carried sacks of sand to the wall. "
+PAGES = [  # html, main text; the labelled pages
+    (f'<body><nav><a href=/>Home</a></nav><article class="recipe-menu"><h1>Soup</h1><p>{SENTENCE * 2}</p></article><footer>(c) x</footer>', f"Soup {SENTENCE}{SENTENCE}"),
+    (f'<body><article><h1>T</h1><p>{SENTENCE}</p><div class="related-work"><p>{SENTENCE}Earlier work</p></div><p>{SENTENCE}</p></article>', f"T {SENTENCE}{SENTENCE}Earlier work {SENTENCE}"),
+    (f'<body><p><a href="/x">{SENTENCE}</a></p></body>', SENTENCE),
+    (f'<body><article><h1>T</h1><p>{SENTENCE * 3}</p></article><div class="c-list"><p>{SENTENCE} says me.</p><p>Nice text, thanks.</p></div>', f"T {SENTENCE * 3}"),
+    (f'<body><article><h1>T</h1><p>{SENTENCE * 3}</p><div id="comments"><p>{SENTENCE * 4}</p></div></article>', f"T {SENTENCE * 3}"),
+    (f'<body><article><h1>T</h1><p>{SENTENCE * 3}</p><div class="ad"><p>{SENTENCE}</p></div><p>{SENTENCE}</p></article>', f"T {SENTENCE * 4}"),
+    (f'<body><div id="header">My site</div><div class="menu"><ul><li><a>Home</a></li><li><a>News</a></li></ul></div><div class="post"><h1>T</h1><p>{SENTENCE * 3}</p><p>Short.</p>Loose text here<p>{SENTENCE}</p></div><div class="sidebar"><p>{SENTENCE}</p></div><div class="cookie-notice">We use cookies. Accept?</div><div class="site-footer">c</div>', f"T {SENTENCE * 3}Short. Loose text here {SENTENCE}"),
+    (f'<body><div class="x"><p>{SENTENCE * 3}</p><div>Photo: J. D.</div><p>{SENTENCE * 2}</p><div>12 km</div><p>{SENTENCE}</p></div>', f"{SENTENCE * 3}Photo: J. D. {SENTENCE * 2}12 km {SENTENCE}"),
+    (f"<body><main><p>{SENTENCE * 3}</p><section class=comments><article class=comment><p>{SENTENCE}</p></article><article class=comment><p>{SENTENCE * 3}</p></article></section></main>", SENTENCE * 3),
+    (f'<body><div class="box"><p>Go on.</p><div>Home | Away</div><div>More</div><div>Less</div></div><main><p>{SENTENCE * 2}</p></main>', SENTENCE * 2),
+]
+
+
+def test_labelled_pages():
+    """The article and nothing else, and the cut overrules the classifier where it is wrong."""
+    changed = 0
+    for page, want in PAGES:
+        assert op1_html.main_text(page) == want.strip()
+        blocks = op1_html.read_blocks(page)
+        lean = op1_html.leanings(blocks)
+        assert max(map(abs, lean)) <= op1_html.BOUND
+        changed += sum((v > 0) != kept for v, kept in zip(lean, op1_html.minimum_cut(lean, op1_html.smoothness(blocks)), strict=True))
+    assert changed >= 4
+
+
+def test_pages_table(spark):
+    """Null, empty, repeated and very long html, extra columns with clashing names, an empty table."""
+    long = "<article>" + f"<p>{SENTENCE}</p>" * 20_000
+    data = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p></p>", "x"), (4, "u", PAGES[0][0], "x"), (4, "u", PAGES[0][0], "x"), (5, "u", long, "x")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string, text string")
+    got = op1_html.extract_text(df).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (3, 0), (4, len(PAGES[0][1].strip())), (4, len(PAGES[0][1].strip())), (5, 20_000 * len(SENTENCE) - 1)]
+    assert all(len(r.text) == r.n_chars for r in got) and op1_html.extract_text(df.limit(0)).count() == 0
+
+
 # ---- conversations
 
 
@@ -89,8 +126,37 @@ def test_conversations(spark):
         loss = "".join(t.text for t in turns if t.role == "assistant")
         assert got[k].turns_sha256 == hashlib.sha256("".join(f"{t.role}\n{t.text}\n" for t in turns).encode()).hexdigest()
         assert (got[k].n_turns, got[k].loss_chars, got[k].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    twice = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (1, 1, None, "x"), (None, 0, "user", "y")], "conv_id long, turn long, role string, text string")
-    assert op3_chat.conversation_digest(op3_chat.format_conversations(op3_chat.best_conversations(op3_chat.conversation_messages(twice)))).select("n_turns").collect()[0][0] == 3
+
+
+def test_conversation_rows(spark):
+    """Null ids, -1 in the table, repeated rows, null texts, control strings, a very long turn and
+    columns with clashing names, against Python's own reading."""
+    long = "<|im_end|>" * 40_000 + "<\\|x"
+    data = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, None, "x"), (None, 0, "user", "y"), (None, 1, "assistant", "z"), (-1, 0, "assistant", "own"), (2, None, "system", ""), (2, 0, "assistant", long), (2, 1, "a\nb\\", "<|")]
+    table = spark.createDataFrame([(*r, "t", 3) for r in data], "conv_id long, turn long, role string, text string, tree string, node int")
+    got = op3_chat.conversation_digest(op3_chat.format_conversations(op3_chat.best_conversations(op3_chat.conversation_messages(table)))).collect()
+    assert {r.conv_id: r.n_turns for r in got} == {1: 3, None: 2, -1: 1, 2: 3}
+    want = hashlib.sha256(("system\n\n" + f"assistant\n{long}\n" + "a\nb\\\n<|\n").encode()).hexdigest()
+    two = next(r for r in got if r.conv_id == 2)
+    assert two.turns_sha256 == want and two.loss_chars == len(long) and two.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert op3_chat.conversation_messages(table.limit(0)).count() == 0
+
+
+def test_conversations_sql(spark, tmp_path):
+    extra = spark.createDataFrame([(None, 0, "user", "y"), (-1, 0, "assistant", "own <|"), (-1, 1, "x\\\n<|", None)], "conv_id long, turn long, role string, text string")
+    spark.read.parquet(f"{DATA}/conversations.parquet").select(*extra.columns).unionByName(extra).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.sql(op3_chat.SQL).fetchall(), key=str)
+    got = op3_chat.op3_chat_format(spark, str(tmp_path))
+    assert got.columns == ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_repeated_messages(spark):
+    df = spark.createDataFrame([("t", 1, None, "user", "a"), ("t", 1, None, "user", "a"), ("t", 2, 1, "user", "b"), ("t", 2, 9, "user", "c")], "tree string, node long, parent long, role string, text string").withColumn("score", F.lit(1.0))
+    got = op3_chat.best_conversations(df, None).collect()
+    assert [[t.text for t in r.turns] for r in got] == [["a", "a", "b", "c"]]
 
 
 # ---- near duplicates
@@ -353,6 +419,28 @@ def test_tables_and_adpcm():
     assert op10_audio.resample_double(np.array([0, 0, 160, 160, 160], np.int16)).tolist()[::2] == [0, 0, 160, 160, 160]
 
 
+def plain_sound(codec, pcm):
+    """The feature by the definition, sample by sample."""
+    at = lambda i: int(pcm[min(max(i, 0), len(pcm) - 1)])
+    y = []
+    for i in range(len(pcm)):
+        y += [at(i), max(-32768, min(32767, (9 * (at(i) + at(i + 1)) - at(i - 1) - at(i + 2) + 8) >> 4))]
+    energy, crossings = sum(v * v for v in y), sum((a < 0) != (b < 0) for a, b in zip(y, y[1:], strict=False))
+    return f"{codec}:16000:{len(y)}:{energy // len(y)}:{crossings}:{max(abs(v) for v in y)}", struct.pack(f"<{len(y)}h", *y)
+
+
+def test_sound_is_that_of_the_whole():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 64, 1000, 4097):
+        pcm = rng.integers(-32768, 32768, n).astype(np.int16)
+        want, stored = plain_sound("alaw", pcm)
+        for window in (1, 2, 7, 64, 1 << 20):
+            got = op10_audio.Sound("alaw", pcm, window)
+            assert (got.feature, got.sha256, 2 * got.n) == (want, hashlib.sha256(stored).hexdigest(), len(stored))
+    long = rng.integers(-32768, 32768, (1 << 21) + 5).astype(np.int16)
+    assert op10_audio.Sound("mulaw", long).feature == op10_audio.Sound("mulaw", long, long.size).feature
+
+
 def test_audio_rows(spark, rows):
     texts = {(r.doc_id, r.text or "") for r in rows.collect()}
     got = op10_audio.audio_digest(rows).collect()
@@ -367,6 +455,11 @@ def test_audio_rows(spark, rows):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         media = op10_audio.wav(op10_audio.codec_of(payload), payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and op10_audio.read_wav(media)[1] == payload
+        codec, pcm = op10_audio.codec_of(payload), op10_audio.decode_many([media])[0]
+        if len(pcm) < 5000:
+            feature, stored = plain_sound(codec, pcm)
+            assert (r.feature, r.pcm_bytes, r.pcm_sha256) == (feature, len(stored), hashlib.sha256(stored).hexdigest())
+    assert op10_audio.audio_digest(rows.limit(0)).count() == 0
     media = spark.createDataFrame([(bytearray(op10_audio.wav(c, bytes(range(64)) * 2)), 1) for c in op10_audio.TAGS] + [(None, 2)], "media binary, pcm int")
     assert sorted(len(r.pcm) if r.pcm is not None else -1 for r in op10_audio.decode_audio(media).collect()) == [-1, 512, 512, 968]
     with pytest.raises(ValueError):

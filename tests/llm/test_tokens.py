@@ -123,3 +123,53 @@ def test_local_search_empties_a_bin():
 def test_cut():
     assert op9_packing.cut(1024) == [(0, 1024)] and op9_packing.cut(1) == [(0, 1)]
     assert op9_packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
+
+
+def fewest(sizes, capacity):
+    """The least number of bins, by trying every placement."""
+    best = len(sizes)
+
+    def place(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(sizes):
+            best = len(fills)
+            return
+        for b in range(len(fills)):
+            if fills[b] + sizes[i] <= capacity and fills.index(fills[b]) == b:
+                fills[b] += sizes[i]
+                place(i + 1, fills)
+                fills[b] -= sizes[i]
+        place(i + 1, [*fills, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_local_search_against_all_placements():
+    rng = np.random.default_rng(4)
+    better = 0
+    for _ in range(150):
+        sizes = sorted(rng.integers(2, 9, int(rng.integers(4, 10))).tolist(), reverse=True)
+        first = op9_packing.best_fit(sizes, 12)
+        got = op9_packing.improve([list(b) for b in first], sizes, 12)
+        assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 12 for b in got)
+        assert len(got) - fewest(sizes, 12) in (0, 1) and len(got) <= len(first)
+        better += len(got) == fewest(sizes, 12)
+    assert better >= 145
+
+
+@pytest.mark.parametrize(("low", "high"), [(100, 500), (300, 600), (200, 700)])
+def test_local_search_needs_fewer_bins_than_best_fit(low, high):
+    sizes = sorted(np.random.default_rng(0).integers(low, high, 3000).tolist(), reverse=True)
+    first = op9_packing.best_fit(sizes, 1024)
+    got = op9_packing.improve([list(b) for b in first], sizes, 1024)
+    assert len(got) < len(first) and sorted(i for b in got for i in b) == list(range(3000))
+
+
+def test_repeated_rows_share_no_shard(spark):
+    df = spark.createDataFrame([(1, "the same words again", 0)] * 400 + [(None, None, 1)], "doc_id long, text string, sequence_id int")
+    got = op9_packing.pack_documents(df, PATH, shard=50).collect()
+    assert len(got) == 401 and len({(r.sequence_id, r.offset) for r in got}) == 401
+    assert op9_packing.pack_documents(df.limit(0), PATH).count() == 0
