@@ -9,9 +9,12 @@ term discloses an entity when ``PMI >= ALPHA * IC(e)`` and the two stand togethe
 documents at least: in the only document of an entity every word that occurs once would reach IC.
 Such terms are removed in documents that hold the entity; base spans are generalised to their kind.
 
-Counts are pre-aggregated sums, so neither a frequent word nor an entity that a third of all rows hold
-gathers in one task.  Null texts are empty; repeated rows are kept and treated alike; other columns
-are ignored (``sanitise`` keeps them).
+Counts are pre-aggregated sums and frequent entities are joined by ``join_hot``, so neither a frequent
+word nor an entity that a third of all rows hold gathers in one task.  A document is changed where it
+holds the entity itself.  Null texts are empty; repeated rows are kept and treated alike; an empty
+table gives no rows; other columns are ignored (``sanitise`` keeps them, whatever their names).  In very
+long texts, positions and pieces are found by stretches of ``STRETCH`` matches, so that work does not
+grow with the square of the matches of a text.
 
 The patterns are the stated ones, written so that Java neither recurses nor tries a run of characters
 again from each of its places: possessive repeats, starts only where a run starts or the last match
@@ -20,10 +23,13 @@ ended, and for cards the number of digits within the pattern.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import common
+from codeloom.llm.components import join_hot
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -34,22 +40,60 @@ PATTERNS = {
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
-ALPHA, MIN_DOCS = 0.8, 2
+ALPHA, MIN_DOCS, STRETCH = 0.8, 2, 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def stretches(array: Column, more: int = 0) -> Column:
+    """Slices of ``STRETCH`` elements, each with ``more`` of the next one's; one at least."""
+    many = F.greatest(F.ceil(F.size(array) / STRETCH).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), many), lambda k: F.slice(array, (k - 1) * STRETCH + 1, F.lit(STRETCH + more)))
+
+
+def before(values: Column, most: bool = False) -> Column:
+    """For each of ``array<int>`` the sum (or the largest, 0 at least) of those before it."""
+    fold = (lambda a, v: F.greatest(a, v)) if most else (lambda a, v: a + v)
+
+    def each(part: Column, first: Column) -> Column:
+        return F.transform(part, lambda v, i: F.aggregate(F.slice(part, F.lit(1), i), first, fold))
+
+    def of(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), fold))
+        return F.flatten(F.zip_with(parts, let(totals, lambda t: each(t, F.lit(0))), each))
+
+    return let(values, lambda held: let(stretches(held), of))
+
+
+def pieces(text: Column, cuts: Column) -> Column:
+    """What lies between each two neighbours of the ascending places ``cuts``."""
+
+    def within(part: Column) -> Column:
+        first = F.get(part, F.lit(0))
+        held = F.substring(text, first + 1, F.element_at(part, -1) - first)
+        return let(held, lambda h: F.transform(F.slice(part, F.lit(1), F.size(part) - 1), lambda c, i: F.substring(h, c - first + 1, F.get(part, i + 1) - c)))
+
+    return F.flatten(F.transform(stretches(cuts, 1), within))
 
 
 def matches(text: Column, pattern: Column, rank: int, kind: str) -> Column:
     """Spans of all matches in ``text``, from the lengths of matches and of what lies between."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap"), F.length(m).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), (a + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))
-        return F.struct((a + x["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(m: Column, end: Column) -> Column:
+        return F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
+
+    def spans(found: Column, steps: Column) -> Column:
+        return F.zip_with(found, F.zip_with(before(steps), steps, lambda a, b: a + b), span)
 
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    def of(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        steps = F.zip_with(found, between, lambda m, b: F.length(b) + F.length(m))
+        return F.when(F.size(found) > 0, let(steps, lambda x: spans(found, x))).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), of)
 
 
 def digits(value: Column) -> Column:
@@ -88,16 +132,22 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def outside(text: Column, base: Column) -> Column:
-    """The text with a space in place of each base span."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+def past(spans: Column) -> Column:
+    """How far the spans before each reach."""
+    return before(F.transform(spans, lambda s: s["end"]), most=True)
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
 
-    rest = F.aggregate(base, start, add, lambda acc: F.concat_ws(" ", F.array_join(acc["out"], " "), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(base) > 0, rest).otherwise(text)
+def gaps(text: Column, spans: Column) -> Column:
+    """The pieces of ``text`` before each of ``spans`` (by start), outside all of them, and the rest."""
+    cuts = F.flatten(F.zip_with(spans, past(spans), lambda s, p: F.array(p, F.greatest(s["start"], p))))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    every = let(F.concat(cuts, F.array(last, F.length(text))), lambda c: pieces(text, c))
+    return F.filter(every, lambda _, i: i % 2 == 0)
+
+
+def outside(text: Column, base: Column) -> Column:
+    """The text with a space in place of each base span."""
+    return F.when(F.size(base) > 0, F.array_join(gaps(text, base), " ")).otherwise(text)
 
 
 def terms(text: Column) -> Column:
@@ -115,56 +165,67 @@ def disclosing(holders: DataFrame, docs: DataFrame) -> DataFrame:
     held = holders.select("row_key", F.explode("entities").alias("entity"))
     # entities of one document cannot reach MIN_DOCS; the rest are counted before any word is paired with them
     times = common.keep(held.groupBy("entity").agg(F.count("*").alias("times")).filter(F.col("times") >= MIN_DOCS))
-    several = held.join(times, "entity", "left_semi").groupBy("row_key").agg(F.collect_list("entity").alias("entities"))
+    several = join_hot(held, times, ["entity"], "times").groupBy("row_key").agg(F.collect_list("entity").alias("entities"))
     words = holders.select("row_key", "terms").join(several, "row_key").withColumn("entity", F.explode("entities"))
     together = words.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= MIN_DOCS)
     together = common.keep(together)
     # the terms are counted before the join: a semi-join would be moved below the count
     spread = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
+    # several terms an entity: not one row a key, but their number is that of distinct words beside it
     scored = together.join(times, "entity").join(spread, "term").join(F.broadcast(total))  # one row
     n = F.col("docs").cast("double")
     information = F.log2(n / F.col("times"))
     mutual = F.log2(F.col("both") * n / (F.col("df") * F.col("times")))
-    return common.keep(scored.filter((information > 0) & (mutual >= ALPHA * information)).select("entity", "term"))
+    out = common.keep(scored.filter((information > 0) & (mutual >= ALPHA * information)).select("entity", "term", "both"))
+    common.discard(times, together)
+    return out
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Columns of ``docs`` (with ``text``) and ``base`` and ``spans``, arrays of spans."""
+    """Columns of ``docs`` (with ``text``) and ``base`` and ``spans``, arrays of spans, which replace
+    input columns of these names."""
     names = [c for c in docs.columns if c not in ("base", "spans")]
-    based = docs.select(*names).withColumn("base", base_spans(common.texts()))
-    holders = common.keep(based.filter(F.size("base") > 0).withColumn("row_key", F.monotonically_increasing_id()))
-    words = terms(outside(common.texts(), F.col("base")))
-    pairs = disclosing(holders.select("row_key", words.alias("terms"), F.array_distinct(F.transform("base", entity)).alias("entities")), based.select(words.alias("terms")))
-    own = holders.select("row_key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"), words.alias("words")).join(pairs.select("entity").distinct(), "entity", "left_semi").select("row_key", "entity", F.explode("words").alias("term"))
-    found = own.join(pairs, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set("term")).alias("revealing"))
-    held = holders.join(found, "row_key", "left")
+    found = _found(docs.select(F.struct(*names).alias("doc"), common.texts().alias("text")))
+    return found.select("doc.*", "base", "spans")
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """``doc, text, base, spans`` of ``doc, text``; the base spans are looked for once."""
+    text = F.col("text")
+    based = common.keep(docs.withColumn("base", base_spans(text)).withColumn("row_key", F.monotonically_increasing_id()))
+    words = terms(outside(text, F.col("base")))
+    own = F.array_distinct(F.transform("base", entity))
+    holders = common.keep(based.filter(F.size("base") > 0).select("row_key", words.alias("terms"), own.alias("entities")))
+    pairs = disclosing(holders, based.select(words.alias("terms")))
+    telling = pairs.groupBy("entity").agg(F.max("both").alias("times"))
+    some = join_hot(holders.select("row_key", F.explode("entities").alias("entity"), "terms"), telling, ["entity"], "times")
+    each = some.select("row_key", "entity", F.explode("terms").alias("term"))
+    revealing = join_hot(each, pairs, ["entity", "term"], "both").groupBy("row_key").agg(F.sort_array(F.collect_set("term")).alias("revealing"))
+    held = based.filter(F.size("base") > 0).join(revealing, "row_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("revealing", "|"), F.lit(r")(?!\p{L})"))
-    more = F.when(F.col("revealing").isNotNull(), matches(common.texts(), pattern, len(KINDS), "term")).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    more = F.when(F.col("revealing").isNotNull(), matches(text, pattern, len(KINDS), "term")).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
     inside = F.filter(more, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    held = held.withColumn("spans", F.array_sort(F.concat("base", inside))).select(*names, "base", "spans")
-    clean = based.filter(F.size("base") == 0).withColumn("spans", F.col("base"))
+    held = held.withColumn("spans", F.array_sort(F.concat("base", inside))).select("doc", "text", "base", "spans")
+    clean = based.filter(F.size("base") == 0).select("doc", "text", "base", F.col("base").alias("spans"))
     return clean.unionByName(held)
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each base span generalised to its kind and each revealing term removed."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        skip = s["end"] <= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["kind"] == "term", F.lit("[REMOVED]")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, mark))).alias("out"))
+    """The text with each base span generalised to its kind and each revealing term removed; a span
+    within those before it leaves no mark of its own."""
+    def mark(s: Column, p: Column) -> Column:
+        kind = F.when(s["kind"] == "term", F.lit("[REMOVED]")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.when(s["end"] <= p, F.lit("")).otherwise(kind)
 
-    return F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.array_join(F.zip_with(gaps(text, spans), F.zip_with(spans, past(spans), mark), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised; null texts stay null."""
-    found = find_personal_data(docs)
-    new = F.when(F.size("spans") > 0, sanitised(common.texts(), F.col("spans"))).otherwise(F.col("text"))
-    return found.withColumn("text", new).select(*docs.columns)
+    found = _found(docs.select(F.struct(*docs.columns).alias("doc"), common.texts().alias("text")))
+    new = F.when(F.size("spans") > 0, sanitised(F.col("text"), F.col("spans"))).otherwise(F.col("doc.text"))
+    return found.select(*(new.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

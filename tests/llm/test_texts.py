@@ -394,6 +394,64 @@ def test_revealing_terms_anywhere_in_a_document(spark):
     assert all(clean[k] == t for k, t in docs[8:])
 
 
+def brute_disclosure(docs):
+    """All spans of each document, by the definition: counts of documents, PMI against IC."""
+    spans = [[(int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in brute_spans(t).split(",") if x] for t in docs]
+
+    def key(t, s):
+        v = t[s[0] : s[1]]
+        return s[2], v.lower() if s[2] == "email" else v if s[2] == "ip" else re.sub("[^0-9]", "", v)
+
+    def outside(t, own):
+        return "".join(" " if any(a <= k < b for a, b, _ in own) else c for k, c in enumerate(t))
+
+    words = [set(re.findall(r"[^\W\d_]+", outside(t, own).lower())) for t, own in zip(docs, spans, strict=True)]
+    held = [{key(t, s) for s in own} for t, own in zip(docs, spans, strict=True)]
+    n, df, times, both = len(docs), {}, {}, {}
+    for w, e in zip(words, held, strict=True):
+        for x in w:
+            df[x] = df.get(x, 0) + 1
+        for x in e:
+            times[x] = times.get(x, 0) + 1
+            for y in w:
+                both[x, y] = both.get((x, y), 0) + 1
+    out = []
+    for t, own, w, e in zip(docs, spans, words, held, strict=True):
+        bad = {y for x in e for y in w if times[x] >= 2 and both[x, y] >= 2 and times[x] < n and math.log2(both[x, y] * n / (df[y] * times[x])) >= 0.8 * math.log2(n / times[x])}
+        terms = [(m.start(), m.end(), "term") for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in bad and not any(m.start() < b and a < m.end() for a, b, _ in own)]
+        out.append(",".join(f"{k}:{a}:{b}" for a, b, k in sorted([*own, *terms], key=lambda s: (s[0], ["email", "ip", "card", "phone", "term"].index(s[2])))))
+    return out
+
+
+def test_disclosure_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{chr(97 + a)}{chr(97 + b)}é" for a in range(12) for b in range(10)]
+    mails = ["ann@x.org", "Bob@y.net", "10.0.0.1", "+1 555 123 4567", "c.d@e.fr"]
+    docs = []
+    for _ in range(150):
+        own = rng.choice(words, rng.integers(0, 12)).tolist()
+        if rng.random() < 0.3:
+            m = rng.integers(len(mails))
+            own += [mails[m]] + [words[m]] * (rng.random() < 0.9) + [words[m + 5].upper()] * (rng.random() < 0.5)
+        rng.shuffle(own)
+        docs.append(" ".join(own))
+    docs += ["", docs[0], docs[3], "ann@x.org 10.0.0.1 " * 700 + words[0]]  # more matches than a stretch holds
+    df = spark.createDataFrame([(k, t, "a", "b", "c", 1, 2) for k, t in enumerate(docs)], "doc_id long, text string, base string, spans string, row_key string, terms int, entities int")
+    got = {r.doc_id: r.s for r in op7_pii.find_personal_data(df).select("doc_id", op7_pii.shown(F.col("spans")).alias("s")).collect()}
+    want = brute_disclosure(docs)
+    assert [got[k] for k in range(len(docs))] == want and any("term" in w for w in want)
+    clean = op7_pii.sanitise(df)
+    assert clean.columns == df.columns
+    for r in clean.collect():
+        parts, at = [], 0
+        for kind, a, b in (x.split(":") for x in want[r.doc_id].split(",") if x):
+            if int(b) > at:
+                parts += [docs[r.doc_id][at : max(at, int(a))], "[REMOVED]" if kind == "term" else f"[{kind.upper()}]"]
+                at = int(b)
+        assert r.text == "".join(parts) + docs[r.doc_id][at:]
+        assert (r.base, r.spans, r.row_key, r.terms, r.entities) == ("a", "b", "c", 1, 2)
+
+
 # ---- audio
 
 
