@@ -37,8 +37,11 @@ def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], weight: str, ho
     ``inner`` or ``left``.  The few keys that hold more than one in ``HOT`` of all rows are joined by
     broadcast, so that none of them gathers in one task."""
     total = small.agg(F.sum(weight)).first()[0] or 0
-    hot = small.filter(F.col(weight) * HOT > total)  # fewer than HOT rows
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.filter(F.col(weight) * HOT <= total), keys, how)
+    few = small.filter(F.col(weight) * HOT > total).collect()  # fewer than HOT rows
+    if not few:
+        return rows.join(small, keys, how)
+    hot = small.sparkSession.createDataFrame(few, small.schema)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small, keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 

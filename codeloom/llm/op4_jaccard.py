@@ -9,19 +9,17 @@
    ``n - ceil(t n) + 1``.  The order is (level, code) in the counted range and by code behind it, so
    passages which many documents share hardly ever are candidates, at any size of the corpus, and a
    code that was counted once is not sent at all.
-3. Within a code's documents, ordered by size, neighbours whose sizes allow the threshold are linked;
-   all pairs that could match are then in one cluster, without listing pairs.
-4. Leaves: each cluster's sets are dealt to groups of bounded size by the least of their prefix codes
-   under ``ROUNDS`` hashes, and a signature tree is traversed in each; near copies nearly always meet
-   here, and each set is sent ``ROUNDS`` times at most.
-5. What is left: codes whose documents are not all linked by now.  Their clusters are cut by size and
-   hash into blocks; each pair of blocks that share such a code and are not one component yet is a
-   task, in which two signature trees (nodes with OR-combined bitmaps and size ranges) are traversed against
-   each other.
+3. Leaves: sets are dealt to groups of bounded size by the least of their prefix codes under
+   ``ROUNDS`` hashes, and a signature tree is traversed in each; near copies nearly always meet here,
+   and each set is sent ``ROUNDS`` times at most.
+4. What is left: codes whose documents are not all linked by now.  Their sets are cut by least code,
+   size and hash into blocks; each pair of blocks that share such a code, have sizes that may match
+   and are not one component yet is a task, in which two signature trees (nodes with OR-combined
+   bitmaps and size ranges) are traversed against each other.
    Node pairs are pruned when their sizes or their largest possible overlap cannot reach the
    threshold, or when all their documents are linked already; pairs that are left are compared
    exactly, by whole sets.
-6. The links' connected components are the classes.
+5. The links' connected components are the classes.
 
 Null or empty texts have an empty set and no links; texts with fewer words than a shingle have one
 shingle, the whole sequence.  Repeated rows and copies get the class of their set.  Null ids are
@@ -167,8 +165,14 @@ class Sets:
         return Sets(*four, codes.reshape(-1).view("<u8"))
 
 
+def text_key():
+    """Tells rows that repeat an id apart."""
+    return F.xxhash64("text").alias("text_key")
+
+
 def describe(docs: DataFrame, threshold: int, width: int = 5) -> DataFrame:
-    """``doc_id, n, h, h2`` of each row, and in rows with a ``blob`` the sets of a chunk of rows.
+    """``doc_id, text_key, n, h, h2`` of each row, and in rows with a ``blob`` the sets of a chunk of
+    rows.
 
     Kept of a set: its codes in the counted range, or as many as its prefix takes if these are more."""
     limit = np.uint64(int(COUNTED * 2.0**64))
@@ -192,7 +196,7 @@ def describe(docs: DataFrame, threshold: int, width: int = 5) -> DataFrame:
                 held.append((tokens.size, *name, tokens[:take] >> np.uint64(64 - CODE_BITS)))
                 many += take
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h), pa.array(h2), none, pa.nulls(batch.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(h), pa.array(h2), none, pa.nulls(batch.num_rows, pa.binary())], names)
             if many > CHUNK:
                 yield chunk(part, done, held)
                 held, seen, many, done = [], set(), 0, done + 1
@@ -203,10 +207,10 @@ def describe(docs: DataFrame, threshold: int, width: int = 5) -> DataFrame:
         n, h, h2, codes = zip(*held, strict=True)
         blob = Sets(*(np.array(x, np.int64) for x in (n, h, h2)), np.array([c.size for c in codes], np.int64), np.concatenate(codes)).dump()
         none = pa.nulls(1, pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array([sum(c.size for c in codes)], pa.int64()), none, none, pa.array([part << 24 | done], pa.int64()), pa.array([blob], pa.binary())], names)
+        return pa.RecordBatch.from_arrays([none, none, pa.array([sum(c.size for c in codes)], pa.int64()), none, none, pa.array([part << 24 | done], pa.int64()), pa.array([blob], pa.binary())], names)
 
-    names = ["doc_id", "n", "h", "h2", "chunk", "blob"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.texts().alias("text")).mapInArrow(run, "doc_id long, n long, h long, h2 long, chunk long, blob binary")
+    names = ["doc_id", "text_key", "n", "h", "h2", "chunk", "blob"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.texts().alias("text"), text_key()).mapInArrow(run, "doc_id long, text_key long, n long, h long, h2 long, chunk long, blob binary")
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,26 +278,6 @@ def prefixes(chunks: DataFrame, answers: DataFrame, threshold: int) -> DataFrame
     return sides.groupBy("chunk").applyInArrow(run, "code long, n long, h long, h2 long").distinct()
 
 
-def chains(posts: DataFrame, threshold: int) -> DataFrame:
-    """Edges between neighbours (by size) of each code's sets whose sizes allow the threshold."""
-
-    def run(batches):
-        last = None
-        for batch in batches:
-            t, n, h = (batch.column(k).to_numpy() for k in range(3))
-            if last is not None:
-                t, n, h = (np.concatenate([[x], y]) for x, y in zip(last, (t, n, h), strict=True))
-            if not t.size:
-                continue
-            last = (t[-1], n[-1], h[-1])
-            near = (t[1:] == t[:-1]) & (h[1:] != h[:-1]) & (100 * n[:-1] >= threshold * n[1:])
-            pairs = np.stack([np.minimum(h[1:], h[:-1])[near], np.maximum(h[1:], h[:-1])[near]], 1)
-            pairs = np.unique(pairs, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return posts.select("code", "n", "sid").repartition("code").sortWithinPartitions("code", "n", "sid").mapInArrow(run, "a long, b long")
-
-
 def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
     at = (tokens * _STEP) >> np.uint64(32) & np.uint64(64 * words - 1)
     out = np.zeros(words, np.uint64)
@@ -431,15 +415,14 @@ def verified(deals: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
     return dealt.mapInArrow(send, "task long, side int, sid long, comp long, blob binary").groupBy("task").applyInArrow(tree, "a long, b long")
 
 
-def leaf_deals(posts: DataFrame, members: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
-    """Deals each set to one group in each round: those of its cluster with the same least code under
-    the round's hash, cut by a hash of the set where they are more than ``block``."""
-    least = posts.groupBy("sid").agg(*(F.min(F.xxhash64(F.lit(r), "code")).alias(f"k{r}") for r in range(ROUNDS)))
+def leaf_deals(least: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """Deals each set to one group in each round: those with the same least code under the round's
+    hash (``least``: ``sid, k0, k1, ...``), cut by a hash of the set where they are more than ``block``."""
     keys = F.explode(F.array(*(F.struct(F.lit(r).alias("round"), F.col(f"k{r}").alias("key")) for r in range(ROUNDS))))
-    each = common.keep(clusters.join(least, "sid").select("sid", "cluster", keys.alias("r")).select("sid", "cluster", "r.*"))
-    many = each.groupBy("cluster", "round", "key").agg(F.count("*").alias("many")).filter("many > 1")
+    each = common.keep(least.select("sid", keys.alias("r")).select("sid", "r.*"))
+    many = each.groupBy("round", "key").agg(F.count("*").alias("many")).filter("many > 1")
     part = F.pmod(F.xxhash64("sid", "round"), F.ceil(F.col("many") / block))
-    placed = join_hot(each, many, ["cluster", "round", "key"], "many").withColumn("task", F.xxhash64("cluster", "round", "key", part))
+    placed = join_hot(each, many, ["round", "key"], "many").withColumn("task", F.xxhash64("round", "key", part))
     deals = placed.groupBy("sid").agg(F.collect_list(F.struct("task", F.lit(0).alias("side"))).alias("deals"))  # ROUNDS at most
     deals = common.keep(deals.join(members, "sid").withColumn("comp", F.col("sid")).select("doc_id", "sid", "h", "h2", "comp", "deals"))
     common.discard(each)
@@ -447,23 +430,19 @@ def leaf_deals(posts: DataFrame, members: DataFrame, clusters: DataFrame, block:
 
 
 def block_deals(members: DataFrame, left: DataFrame, threshold: int, block: int) -> DataFrame:
-    """Deals ``sid, doc_id, h, h2, n, cluster, comp`` to pairs of blocks that share a code of ``left``
+    """Deals ``sid, doc_id, h, h2, n, key, comp`` to pairs of blocks that share a code of ``left``
     (``code, sid``) and may hold a new link."""
-    # blocks: by size class, so that classes further apart never meet; a component of half a block
-    # or more has blocks of its own, the others are dealt by a hash
+    # blocks: by key and size class, so that classes further apart never meet; a component of half a
+    # block or more has blocks of its own, the others are dealt by a hash
     step = math.log(100 / threshold)
     classed = members.withColumn("level", F.floor(F.log(F.col("n")) / step + 1e-9))
-    parts = classed.groupBy("cluster", "level", "comp").agg(F.count("*").alias("own"))
-    many = parts.groupBy("cluster", "level").agg(F.sum("own").alias("many"))
-    whole = many.groupBy("cluster").agg(F.sum("many").alias("whole"))
-    sized = common.keep(parts.join(many, ["cluster", "level"]).join(whole, "cluster"))
-    placed = join_hot(classed, sized, ["cluster", "level", "comp"], "own")
+    parts = classed.groupBy("key", "level", "comp").agg(F.count("*").alias("own"))
+    many = parts.groupBy("key", "level").agg(F.sum("own").alias("many"))
+    sized = common.keep(parts.join(many, ["key", "level"]))
+    placed = join_hot(classed, sized, ["key", "level", "comp"], "own")
     split = F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.ceil(F.col("own") / block)))
     part = F.when(F.col("own") * 2 >= block, split).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("many") / block)))
-    small = F.col("whole") <= block
-    level = F.when(small, 0).otherwise(F.col("level"))
-    node = F.xxhash64("cluster", level, F.when(small, 0).otherwise(part))
-    placed = common.keep(placed.select("sid", "doc_id", "h", "h2", "comp", F.when(small, -1).otherwise(F.col("level")).alias("level"), node.alias("node")))
+    placed = common.keep(placed.select("sid", "doc_id", "h", "h2", "comp", "level", F.xxhash64("key", "level", part).alias("node")))
     nodes = placed.groupBy("node").agg(F.first("level").alias("level"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     posts = common.keep(left.select("code", "sid").join(placed.select("sid", "node"), "sid").select("code", "node").distinct())
     met = posts.join(posts.select("code", F.col("node").alias("node2")), "code").filter("node <= node2").select("node", "node2").distinct()
@@ -478,45 +457,51 @@ def block_deals(members: DataFrame, left: DataFrame, threshold: int, block: int)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each row of ``doc_id, text``; threshold in %."""
+    """``doc_id, n_shingles, component_id, class_key, text_key`` of each row of ``doc_id, text``;
+    threshold in %.  Rows share a ``class_key`` if they are copies or reach each other by links; it is
+    null where a row is alone in its class."""
     described = common.keep(describe(docs, threshold, width))
-    rows = described.filter(F.col("chunk").isNull()).select("doc_id", "n", "h", "h2")
+    rows = described.filter(F.col("chunk").isNull()).select("doc_id", "text_key", "n", "h", "h2")
     chunks = described.filter(F.col("chunk").isNotNull())
     buckets = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     found = rows.filter("n > 0").groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     reps = common.keep(found.withColumn("sid", F.monotonically_increasing_id()))
     answers = common.keep(levels(chunks, buckets))
     raw = common.keep(prefixes(chunks, answers, threshold))
-    posts = common.keep(raw.join(reps.select("h", "h2", "sid"), ["h", "h2"]).select("code", "n", "sid"))
+    posts = common.keep(raw.join(reps.filter(F.col("doc_id").isNotNull()).select("h", "h2", "sid"), ["h", "h2"]).select("code", "sid"))
     common.discard(answers, raw)
-    members = reps.filter(F.col("doc_id").isNotNull()).select("sid", "doc_id", "h", "h2", "n")
-
-    clusters = components(chains(posts, threshold)).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
-    dealt = leaf_deals(posts, members, clusters, block)
+    members = reps.select("sid", "doc_id", "h", "h2", "n")
+    least = common.keep(posts.groupBy("sid").agg(*(F.min(F.xxhash64(F.lit(r), "code")).alias(f"k{r}") for r in range(ROUNDS))))
+    dealt = leaf_deals(least, members, block)
     near = common.keep(verified(dealt, docs, threshold, width))
     common.discard(dealt)
     # codes whose sets are not one component yet
-    comps = components(near).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    comps = common.keep(components(near).select(F.col("node").alias("sid"), F.col("component").alias("comp")))
+    common.discard(near)
     named = posts.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     still = named.groupBy("code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     left = common.keep(named.join(still.select("code"), "code"))
-    some = members.join(clusters, "sid").join(left.select("sid", "comp").distinct(), "sid")
+    some = members.join(least.select("sid", F.col("k0").alias("key")), "sid").join(left.select("sid", "comp").distinct(), "sid")
     deals = block_deals(some, left, threshold, block)
     more = common.keep(verified(deals, docs, threshold, width))
-    common.discard(posts, left, deals)
-    links = near.union(more)
-    ids = reps.select("sid", "doc_id")
-    ends = links.join(ids.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), "a").join(ids.select(F.col("sid").alias("b"), F.col("doc_id").alias("y")), "b")
-    classes = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "doc_id")
+    common.discard(posts, least, left, deals)
+    # the second round's links, between the first one's components
+    to = comps.select(F.col("sid").alias("a"), F.col("comp").alias("x"))
+    both = more.join(to, "a", "left").join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")
+    above = components(both.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    sets = reps.join(comps, "sid", "left").withColumn("node", F.coalesce("comp", "sid")).join(above, "node", "left").withColumn("class_key", F.coalesce("component", "node"))
+    sets = common.keep(sets.select("h", "h2", "doc_id", "copies", "class_key"))
+    classes = sets.groupBy("class_key").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("many")).filter("many > 1")
+    known = common.keep(join_hot(sets, classes, ["class_key"], "many").select("h", "h2", "copies", "class_key", "component_id"))
+    common.discard(comps, more, sets)
     # only sets with copies or links have another class than their own row's id
-    known = reps.join(classes, "doc_id", "left").filter(F.col("component").isNotNull() | (F.col("copies") > 1))
-    known = common.keep(known.select("h", "h2", "copies", F.coalesce("component", "doc_id").alias("component_id")))
     out = join_hot(rows, known, ["h", "h2"], "copies", how="left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "class_key", "text_key")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 SQL = """
