@@ -5,17 +5,27 @@ order count, times ``DECAY`` to the power of the stretch they cover, so a word w
 characters stays close to the word it hides.  Letters that stand alone in a row are read as one
 word, and words carry a mark at either end.
 
-Training sees the whole texts of documents labelled toxic or not (at most ``per_class`` ids of each
-label, the bound of the sample).  Its examples are single words, not sentences: words of 3 to 14 letters
-that are far more frequent in toxic documents are positive examples, words usual elsewhere negative
-ones.  Insults made of ordinary words only, and rare ones unlike any frequent one, are missed.  Landmarks are drawn from both; the Nyström map
-sends a word to ``K(w, L) K(L, L)^-1/2`` and a linear machine is fitted there by dual coordinate ascent.
-As that function is linear in the kernel, it folds into one weight for each character triple, and
-scoring never needs a kernel matrix.  A document's score is a logistic function of how many and what
-share of its words the machine takes for insults, calibrated on the training documents.
-
-Null or empty texts score like a text without hits.  Labels, language, source and id are no inputs
-of a score; rows that repeat score alike.  Without labels of both kinds every score is 0.
+Training sees labelled sentences: the whole texts of documents labelled toxic or not (at most
+``per_class`` ids of each label, the bound of the sample) are split into sentences, which carry the
+label of their document.  As one insult makes a sentence toxic, the machine is a multi-instance one:
+a sentence is the bag of its words, a toxic sentence is represented by its witness, the word that
+speaks most for the label, and all words of other sentences are negative examples.  The first
+witnesses are words in at least ``MIN_DOCS`` and ``MIN_SHARE`` of the toxic documents that are
+``MIN_RATIO`` times as frequent there; in ``ROUNDS`` rounds the machine is fitted, the sentences choose
+their witnesses anew by its margin, so that rare and disguised insults join, and up to ``HARD`` words of
+other sentences inside the margin are added.  Sentences of toxic documents without a word on the
+positive side have no witness and no part.  Insults made of ordinary words only are missed.
+
+Landmarks are drawn from both sides; the Nyström map sends a word to ``K(w, L) K(L, L)^-1/2`` and a
+linear machine is fitted there by dual coordinate ascent.  As that function is linear in the kernel, it
+folds into one weight for each character triple, and scoring never needs a kernel matrix.  A document's
+score is a logistic function of how many and what share of its words the machine takes for insults,
+calibrated on the training documents; 0.5 counts as toxic.
+
+Null or empty texts score like a text without hits, and very long ones are read whole.  Labels, language,
+source and id are no inputs of a score; rows that repeat score alike; a null id is not held out.
+Without labels of both kinds every score is 0; an empty table gives no rows.  Other columns are kept, but
+for one named like the score.
 """
 
 from __future__ import annotations
@@ -35,19 +45,35 @@ from pyspark.sql import functions as F
 from codeloom.llm import common
 
 DECAY, WIDEST, ALPHABET = 0.6, 16, 64
-PER_CLASS, LANDMARKS, MIN_DOCS, MIN_SHARE, MIN_RATIO, SIGNATURE, ROUNDS = 2500, 800, 3, 0.012, 8.0, 24, 3
+PER_CLASS, LANDMARKS, MIN_DOCS, MIN_SHARE, MIN_RATIO, SIGNATURE, ROUNDS, HARD = 2500, 800, 3, 0.012, 8.0, 24, 4, 3000
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]?\s+){2,}[^\W\d_](?![^\W_])")
+_ENDS = re.compile(r"(?<=[.!?。！？])\s+|\n+")
+# Characters that stand for letters inside words.
+LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"})
+
+
+def joined(text: str) -> str:
+    """Lower-case, with letters that stand alone in a row as one word."""
+    return _SPACED.sub(lambda m: " " + re.sub(r"[\W\d_]+", "", m[0]) + " ", text.lower())
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words with all but letters taken out; digits that stand for letters put back."""
-    text = text.lower()
-    text = _SPACED.sub(lambda m: " " + re.sub(r"[\W\d_]+", "", m[0]) + " ", text)
-    return text.split()
+    return joined(text).split()
+
+
+def sentences_of(text: str) -> list[list[str]]:
+    """The words of each sentence; sentences end at a stop before white space and at line ends."""
+    return [words for part in _ENDS.split(joined(text)) if (words := part.split())]
 
 
 def bare(word: str) -> str:
-    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+    """The letters of a word; characters inside it that stand for letters are put back."""
+    if word.isalpha():
+        return word
+    word = re.sub(r"^[\W_]+|[\W_]+$", "", word)
+    if any(map(str.isalpha, word)):
+        word = word.translate(LOOKS)
+    return "".join(filter(str.isalpha, word))
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -222,12 +248,18 @@ def fit_calibration(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         used = used[keep]
 
 
-def profile(text: str) -> tuple[list[str], list[int]]:
-    """What training keeps of a text: its distinct words, and the least hashes of its word pairs."""
+def profile(text: str) -> tuple[list[list[str]], list[int]]:
+    """What training keeps of a text: its sentences' distinct words (none that stood in a sentence
+    before), and the least hashes of its word pairs."""
+    sentences, seen = [], set()
     words = words_of(text)
-    own = {bare(w) for w in words}
-    pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or own
-    return sorted(own), heapq.nsmallest(SIGNATURE, (zlib.crc32(w.encode()) for w in pairs))
+    for part in sentences_of(text):
+        own = {w for w in map(bare, part) if len(w) > 1} - seen
+        seen |= own
+        if own:
+            sentences.append(sorted(own))
+    pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or seen
+    return sentences, heapq.nsmallest(SIGNATURE, (zlib.crc32(w.encode()) for w in pairs))
 
 
 def train(samples: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Machine | None:
@@ -236,14 +268,15 @@ def train(samples: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Machine
     return fit(profiles, lambda machine: (machine.document_features([s[1] for s in samples]), np.array([s[0] for s in samples], np.float64)), landmarks)
 
 
-def fit(profiles: Iterable[tuple[int, list[str], list[int]]], measure: Callable[[Machine], tuple[np.ndarray, np.ndarray]], landmarks: int = LANDMARKS) -> Machine | None:
+def fit(profiles: Iterable[tuple[int, list[list[str]], list[int]]], measure: Callable[[Machine], tuple[np.ndarray, np.ndarray]], landmarks: int = LANDMARKS) -> Machine | None:
     """``profiles``: label and ``profile`` of documents, read once; ``measure`` gives the features of
     the same documents under a machine, and their labels."""
-    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    number: dict[str, int] = {}
+    held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])  # word numbers: of other documents, of toxic sentences
     total = [0, 0]
     # near copies count once: a document that shares most of its least word pairs' hashes with one before
     group_of: dict[tuple[int, int], int] = {}
-    for at, (label, own, least) in enumerate(profiles):
+    for at, (label, sentences, least) in enumerate(profiles):
         known = Counter(group_of[label, h] for h in least if (label, h) in group_of).most_common(1)
         copy = bool(known) and 2 * known[0][1] >= len(least)
         for h in least:
@@ -251,46 +284,64 @@ def fit(profiles: Iterable[tuple[int, list[str], list[int]]], measure: Callable[
         if copy:
             continue
         total[label] += 1
-        for w in own:
-            if 3 <= len(w) <= WIDEST - 2:
-                counts[label][w] = counts[label].get(w, 0) + 1
+        held[label].extend(np.array([number.setdefault(w, len(number)) for w in words], np.int32) for words in sentences)
+    del group_of
     if not all(total):
         return None
-    enough = max(MIN_DOCS, MIN_SHARE * total[1])
-    ratio = {w: (c / total[1]) / ((counts[0].get(w, 0) + 0.5) / total[0]) for w, c in counts[1].items() if c >= enough}
-    strong = sorted((w for w, r in ratio.items() if r >= MIN_RATIO), key=lambda w: (-counts[1][w] * np.log(ratio[w]), w))[:1500]
-    chosen = set(strong)
-    usual = sorted((w for w, c in counts[0].items() if c >= 2 and w not in chosen and ratio.get(w, 0) < 2), key=lambda w: (-counts[0][w], w))
-    if not strong or not usual:
+    words = list(number)
+    # a word is in one sentence of a document at most, so these are numbers of documents
+    count = [np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]), minlength=len(words)) for x in held]
+    ratio = (count[1] / total[1]) / ((count[0] + 0.5) / total[0])
+    enough = (count[1] >= max(MIN_DOCS, MIN_SHARE * total[1])) & (ratio >= MIN_RATIO)
+    toxic = held[1]
+    size = np.array([x.size for x in toxic])
+    starts, flat = np.cumsum(size) - size, np.concatenate([*toxic, np.zeros(0, np.int32)])
+
+    def witnesses(evidence: np.ndarray) -> np.ndarray:
+        """Number of toxic sentences that each word is the witness of: the one of most evidence, if
+        that is over 0."""
+        value = evidence[flat]
+        best = np.maximum.reduceat(value, starts)
+        own = (value == np.repeat(best, size)) & (value > 0)
+        first = np.flatnonzero(own)
+        _, one = np.unique(np.repeat(np.arange(size.size), size)[first], return_index=True)
+        return np.bincount(flat[first[one]], minlength=len(words))
+
+    if not flat.size:
+        return None
+    weight = witnesses(np.where(enough, count[1] * np.log(np.maximum(ratio, 1e-9)), 0))
+    strong = np.argsort(-weight, kind="stable")[: np.count_nonzero(weight)]
+    calm = np.flatnonzero((count[0] > 0) & (ratio < 2) & (weight == 0))
+    usual = calm[np.argsort(-count[0][calm], kind="stable")][: landmarks // 2]
+    if not strong.size or not usual.size:
         return None
-    # the negative examples: the most usual words, and those most like the positive ones
-    head = Landmarks(strong[:60])
-    like = head.kernel(usual[:12000]).max(1).tolist()
-    near = [w for w, _ in sorted(zip(usual, like, strict=False), key=lambda x: (-x[1], x[0]))[:1500]]
-    plain = list(dict.fromkeys([*near, *usual[:1500]]))
-    marks = Landmarks(list(dict.fromkeys([*strong[: landmarks // 2], *plain[: landmarks // 2]])))
+    marks = Landmarks([words[i] for i in [*strong[: landmarks // 2], *usual]])
     values, vectors = np.linalg.eigh((marks.own @ marks.own.T).astype(np.float64))
     good = values > 1e-5
     root = vectors[:, good] / np.sqrt(values[good])
-    calm = [w for w in counts[0] if w not in chosen and ratio.get(w, 0) < 2]
-    machine = None
-    for _ in range(ROUNDS):
-        if machine is not None:  # words of other documents that the last round came near to
-            margin = machine.margins(calm)
-            had = set(plain)
-            hard = [calm[i] for i in np.argsort(-margin, kind="stable")[:3000].tolist() if margin[i] > -0.9 and calm[i] not in had]
-            if not hard:
-                break
-            plain += hard
-        examples = [*strong, *plain]
-        x = marks.kernel(examples).astype(np.float64) @ root
+    plain, spelled, machine = usual, [words[i] for i in calm], None
+    for k in range(ROUNDS):
+        examples = np.concatenate([strong, plain])
+        x = marks.kernel([words[i] for i in examples]).astype(np.float64) @ root
         x = np.concatenate([x, np.zeros((1, x.shape[1]))])  # a word like no landmark is a negative example
-        y = np.array([1.0] * len(strong) + [-1.0] * (len(plain) + 1))
-        cost = np.array([10.0 * min(1.0, counts[1][w] / 20) for w in strong] + [10.0 * min(1.0, (4 + counts[0][w]) / 20) for w in plain] + [1000.0])
+        y = np.concatenate([np.ones(strong.size), -np.ones(plain.size + 1)])
+        cost = np.concatenate([10 * np.minimum(1, weight[strong] / 20), 10 * np.minimum(1, (4 + count[0][plain]) / 20), [1000.0]])
         w, bias = fit_machine(x, y, cost, 30)
-        weight = np.zeros(ALPHABET**3)
-        weight[marks.triples] = (root @ w) @ marks.own
-        machine = Machine(weight, bias, np.zeros(5))
+        folded = np.zeros(ALPHABET**3)
+        folded[marks.triples] = (root @ w) @ marks.own
+        machine = Machine(folded, bias, np.zeros(5))
+        if k + 1 == ROUNDS:
+            break
+        # witnesses by margin, of words that speak for the label at all
+        margin = np.full(len(words), -1.0)
+        some = np.flatnonzero((count[1] > 0) & (ratio >= 2))
+        margin[some] = machine.margins([words[i] for i in some])
+        weight = np.maximum(witnesses(margin), np.where(enough, weight, 0))
+        strong = np.flatnonzero(weight)
+        # words of other documents that the machine came near to
+        margin = machine.margins(spelled)
+        near = calm[np.argsort(-margin, kind="stable")[: np.count_nonzero(margin > -0.9)]]
+        plain = np.concatenate([plain, near[~np.isin(near, plain)][:HARD]])
     x, labels = measure(machine)
     machine.calibration = fit_calibration(design(x), labels)
     machine.memo = {}
@@ -298,7 +349,7 @@ def fit(profiles: Iterable[tuple[int, list[str], list[int]]], measure: Callable[
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -321,10 +372,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine | None:
             raw, at = common.raw_texts(batch.column(batch.schema.names.index("text")))
             for i, j in common.groups(at):
                 own, least = zip(*(profile(raw[at[k] : at[k + 1]].tobytes().decode()) for k in range(i, j)), strict=True)
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)).slice(i, j - i) for c in ("doc_id", "text_key", "toxic")), pa.array(own, pa.list_(pa.string())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "text_key", "toxic", "own", "least"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)).slice(i, j - i) for c in ("doc_id", "text_key", "toxic")), pa.array(own, pa.list_(pa.list_(pa.string()))), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "text_key", "toxic", "own", "least"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "text_key", "toxic"))
-    found = common.keep(rows.mapInArrow(profiles, f"{kinds}, own array<string>, least array<bigint>")).orderBy("doc_id", "text_key")
+    found = common.keep(rows.mapInArrow(profiles, f"{kinds}, own array<array<string>>, least array<bigint>")).orderBy("doc_id", "text_key")
 
     def measure(machine: Machine) -> tuple[np.ndarray, np.ndarray]:
         shared = spark.sparkContext.broadcast(machine)  # 1 MB, whatever the input
