@@ -28,10 +28,29 @@ def test_stages(spark):
     assert {(p.doc_id, p.start, p.length, p.ids_crc32) for p in corpus_pipeline.run(spark, DATA).collect()} == {(p.doc_id, p.start, p.length, p.ids_crc32) for p in packed}
 
 
+def test_rows_that_share_an_id(spark):
+    """Unlike texts under one id are no duplicates; copies of any id are, and rows that repeat."""
+    near = corpus_pipeline.drop_near_duplicates
+    words = [f"w{k}" for k in range(60)]
+    one, other, third = " ".join(words), " ".join(reversed(words)), " ".join(words[::2] + words[1::2])
+    data = [(1, one, "b"), (1, one, "a"), (1, other, "a"), (2, one + " more", "a"), (2, third, "a"), (3, third, "a"), (0, other, "z"), (4, None, "a"), (4, None, "a"), (None, one, "a"), (None, one, "a"), (5, "", "a")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, class_key string")
+    got = sorted(map(tuple, near(spark, docs, DATA).collect()), key=str)
+    assert got == sorted([(1, one, "a"), (0, other, "z"), (2, third, "a"), (4, None, "a"), (4, None, "a"), (None, one, "a"), (None, one, "a"), (5, "", "a")], key=str)
+
+
 def test_awkward_rows(spark, rows):
+    """Each stage on nulls, empty and very long texts, repeated rows, clashing columns, no rows."""
     docs = rows.withColumn("n_chars", rows.doc_id)
+    kept = []
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
         assert stage(spark, docs.limit(0), DATA).count() == 0
+        kept.append(out.count())
         docs = out
-    assert docs.count() > 10
+    machine = op6_toxicity.learned(spark, DATA)
+    clean = [r for r in rows.collect() if machine.scores([r.text or ""])[0] < 0.5]
+    assert kept[0] == len(clean)
+    # 1, 2, 3 and both rows of 14 are one class, 7 and 8, 9 and 10 are one each
+    assert kept[1] == kept[2] == len({{2: 1, 3: 1, 14: 1, 8: 7, 10: 9}.get(r.doc_id, r.doc_id) for r in clean})
+    assert {r.doc_id for r in docs.collect()} == {{2: 1, 3: 1, 14: 1, 8: 7, 10: 9}.get(r.doc_id, r.doc_id) for r in clean}
