@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import common
+from codeloom.llm.components import join_hot
 from codeloom.llm.op4_jaccard import near_duplicates
 from codeloom.llm.op6_toxicity import learned, score_texts
 from codeloom.llm.op7_pii import sanitise
@@ -19,33 +20,41 @@ from codeloom.runtime import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that score below 0.5."""
+    """Keeps documents that score below 0.5.  Null and empty texts are scored like others; repeated
+    rows score alike and stay or go together; an empty table stays empty."""
     ship(spark)
     return score_texts(docs, learned(spark, sf_dir), out="toxicity__").filter("toxicity__ < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near duplicates, the document of the smallest id; of rows that
-    repeat this id the first by text.  Documents without words, or without an id, all stay."""
+    """Keeps one row of each class of near duplicates: that of the smallest id, and of rows with this
+    id the one of the least text key.  Rows that share an id but no class are not thinned out.
+    Documents without words, or without an id, all stay; an empty table stays empty."""
     ship(spark)
-    classes = near_duplicates(docs.select("doc_id", "text"))
-    go = classes.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(go, "doc_id", "left_anti")
-    many = left.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    twice = left.join(many, "doc_id", "left_semi").withColumn("first__", F.row_number().over(first)).filter("first__ = 1").select(*docs.columns)
-    return left.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+    classes = common.keep(near_duplicates(docs.select("doc_id", "text")).filter(F.col("class_key").isNotNull() & F.col("doc_id").isNotNull()))
+    each = classes.select("class_key", "doc_id", "text_key").distinct()
+    first = common.keep(each.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("many")))
+    go = join_hot(each, first, ["class_key"], "many").filter(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key").distinct()
+    twice = classes.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_key")
+    keyed = docs.withColumns({"doc_key__": F.col("doc_id").cast("long"), "text_key__": F.xxhash64("text")})
+    keys = [F.col("doc_id").alias("doc_key__"), F.col("text_key").alias("text_key__")]
+    left = keyed.join(go.select(*keys), ["doc_key__", "text_key__"], "left_anti")
+    # rows that repeat both id and text: the least by all columns
+    again = left.join(twice.select(*keys), ["doc_key__", "text_key__"], "left_semi").groupBy("doc_key__", "text_key__").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.join(twice.select(*keys), ["doc_key__", "text_key__"], "left_anti").select(*docs.columns).unionByName(again.select("row.*"))
 
 
 def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Generalises personal data and removes terms that reveal it; ``n_chars`` follows the text."""
+    """Generalises personal data and removes terms that reveal it; ``n_chars`` follows the text.  All
+    rows stay, repeated ones too; null texts stay null, empty ones empty."""
     ship(spark)
     out = sanitise(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 1024 tokens."""
+    """Packs what is left into sequences of at most 1024 tokens, each row for itself; a null or empty
+    text is its end token; an empty table gives no pieces."""
     ship(spark)
     return pack_documents(docs.select("doc_id", "text"), common.default_tokenizer())
 
