@@ -203,7 +203,7 @@ class Machine:
             if words:
                 m = np.array([self.memo[w] for w in words])
                 hits = np.clip((m - low) / (0.5 - low), 0, 1).sum()
-                out[k] = hits, hits / len(words), max(m.max(), -1.0) + 1
+                out[k] = hits, hits / len(words), max(m.max() - low, 0.0)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
