@@ -8,7 +8,7 @@
    prefix filtering exact: sets that reach the threshold share one of their first
    ``n - ceil(t n) + 1``.  The order is (level, code) in the counted range and by code behind it, so
    passages which many documents share hardly ever are candidates, at any size of the corpus, and a
-   code that was counted once is not sent at all.
+   code that was counted once is not sent at all.  Of copies of a text one is counted.
 3. Leaves: sets are dealt to groups of bounded size by the least of their prefix codes under
    ``ROUNDS`` hashes, and a signature tree is traversed in each; near copies nearly always meet here,
    and each set is sent ``ROUNDS`` times at most.
@@ -42,7 +42,7 @@ from codeloom.llm.components import Forest, components, join_hot
 BLOCK, ROUNDS = 64, 2
 WORDS = 32  # of 64 bits in a bitmap
 CODE_BITS, COUNTED = 48, 0.4  # bits of a code, and the part of the hash range that is counted
-CHUNK, BUCKET = 1 << 20, 1 << 20  # codes of a chunk of documents, and of a range, about
+CHUNK, BUCKET = 1 << 18, 1 << 19  # codes of a chunk of documents, and of a range, about
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -170,12 +170,43 @@ def text_key():
     return F.xxhash64("text").alias("text_key")
 
 
-def describe(docs: DataFrame, threshold: int, width: int = 5) -> DataFrame:
+class Filter:
+    """A bitmap of fixed size (8 MB) over hashed keys; where it fills up it lets more rows pass."""
+
+    BITS = 26
+
+    def __init__(self, wanted: DataFrame, keys: list[str]):
+        self.keys = keys
+        parts = wanted.select(self.place().alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
+        bits = np.zeros((1 << self.BITS - 15, 1 << 12), np.uint8)
+        for row in parts.toLocalIterator():
+            bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
+        self.shared = wanted.sparkSession.sparkContext.broadcast(bits)
+
+    def place(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(1 << self.BITS))
+
+    def holds(self):
+        """For Python workers: whether places are in the bitmap."""
+        shared = self.shared
+        return lambda at: (shared.value[at >> 15, (at & 32767) >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key`` of rows that repeat the text of a row with a smaller id; texts are told
+    apart by 128 bits."""
+    keyed = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.xxhash64(F.lit(1), "text").alias("other"))
+    groups = keyed.groupBy("text_key", "other").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")).filter("many > 1")
+    return join_hot(keyed, common.keep(groups), ["text_key", "other"], "many").filter("doc_id > first").select("doc_id", "text_key")
+
+
+def describe(docs: DataFrame, again: Filter | None, threshold: int, width: int = 5) -> DataFrame:
     """``doc_id, text_key, n, h, h2`` of each row, and in rows with a ``blob`` the sets of a chunk of
-    rows.
+    rows, but for those that ``again`` holds and for null ids.
 
     Kept of a set: its codes in the counted range, or as many as its prefix takes if these are more."""
     limit = np.uint64(int(COUNTED * 2.0**64))
+    held_by = again.holds() if again else lambda at: np.zeros(at.size, bool)
 
     def run(batches):
         from pyspark import TaskContext
@@ -184,24 +215,26 @@ def describe(docs: DataFrame, threshold: int, width: int = 5) -> DataFrame:
         held, seen, many = [], set(), 0
         for batch in batches:
             n, h, h2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            chosen = ~held_by(batch.column(3).to_numpy()) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for k, tokens in shingle_sets(batch.column(1), width):
                 if not tokens.size:
                     continue
                 n[k] = tokens.size
                 h[k], h2[k] = name = set_hashes(tokens)
-                if name in seen:
+                if not chosen[k] or name in seen:
                     continue
                 seen.add(name)
                 take = max(int(np.searchsorted(tokens, limit)), prefix_size(tokens.size, threshold))
                 held.append((tokens.size, *name, tokens[:take] >> np.uint64(64 - CODE_BITS)))
                 many += take
+                if many > CHUNK:
+                    yield chunk(part, done, held)
+                    held, seen, many, done = [], set(), 0, done + 1
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(h), pa.array(h2), none, pa.nulls(batch.num_rows, pa.binary())], names)
-            if many > CHUNK:
-                yield chunk(part, done, held)
-                held, seen, many, done = [], set(), 0, done + 1
         if held:
             yield chunk(part, done, held)
+        pa.default_memory_pool().release_unused()
 
     def chunk(part, done, held):
         n, h, h2, codes = zip(*held, strict=True)
@@ -210,7 +243,8 @@ def describe(docs: DataFrame, threshold: int, width: int = 5) -> DataFrame:
         return pa.RecordBatch.from_arrays([none, none, pa.array([sum(c.size for c in codes)], pa.int64()), none, none, pa.array([part << 24 | done], pa.int64()), pa.array([blob], pa.binary())], names)
 
     names = ["doc_id", "text_key", "n", "h", "h2", "chunk", "blob"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.texts().alias("text"), text_key()).mapInArrow(run, "doc_id long, text_key long, n long, h long, h2 long, chunk long, blob binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.texts().alias("text"), text_key())
+    return rows.withColumn("at", again.place() if again else F.lit(0).cast("long")).mapInArrow(run, "doc_id long, text_key long, n long, h long, h2 long, chunk long, blob binary")
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,34 +381,25 @@ class SignatureTree:
                 self.links.append((i, j))
 
 
-def may_hold(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, text`` of all rows whose id is in ``wanted``, and of few others.
-
-    A bitmap of fixed size (8 MB) over hashed ids spares the texts of most other rows the shuffle of
-    the join that follows; where it fills up it lets more rows pass and nothing is lost.
-    """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
-    parts = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
-    bits = np.zeros((1 << 11, 1 << 12), np.uint8)
-    for row in parts.toLocalIterator():
-        bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def may_hold(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``doc_id, text_key, text`` of all rows whose keys are in ``wanted``, and of few others: it
+    spares the texts of most other rows the shuffle of the join that follows."""
+    known = Filter(wanted, keys)
+    holds = known.holds()
 
     def run(batches):
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            held = shared.value[at >> 15, (at & 32767) >> 3] >> (at & 7).astype(np.uint8) & 1
-            yield batch.select([0, 1]).filter(pa.array(held.astype(bool)))
+            yield batch.select([0, 1, 2]).filter(pa.array(holds(batch.column(3).to_numpy())))
 
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), common.texts().alias("text"))
-    return rows.withColumn("at", place).mapInArrow(run, "doc_id long, text string")
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), common.texts().alias("text"))
+    return rows.withColumn("at", known.place()).mapInArrow(run, "doc_id long, text_key long, text string")
 
 
 def verified(deals: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """Links ``a, b`` (``sid``) of ``doc_id, sid, h, h2, deals``: one row a set, with the tasks and the
     sides in them that it goes to.  In a task, sets of unlike sides are compared, or all if one side
     is empty, and those that are in one component already (``comp``) are not."""
-    dealt = may_hold(docs, deals).join(deals, "doc_id").select("text", "sid", "h", "h2", "comp", "deals")
+    dealt = may_hold(docs, deals, ["doc_id"]).join(deals, "doc_id").select("text", "sid", "h", "h2", "comp", "deals")
 
     def send(batches):
         for batch in batches:
@@ -391,6 +416,7 @@ def verified(deals: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
                             yield packed(rows)
                             rows, held = [], 0
             yield packed(rows)
+        pa.default_memory_pool().release_unused()
 
     def packed(rows):
         columns = zip(*rows, strict=True) if rows else [[]] * 5
@@ -460,16 +486,21 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block:
     """``doc_id, n_shingles, component_id, class_key, text_key`` of each row of ``doc_id, text``;
     threshold in %.  Rows share a ``class_key`` if they are copies or reach each other by links; it is
     null where a row is alone in its class."""
-    described = common.keep(describe(docs, threshold, width))
+    again = common.keep(copies(docs))
+    known = Filter(again, ["doc_id", "text_key"])
+    described = common.keep(describe(docs, known, threshold, width))
     rows = described.filter(F.col("chunk").isNull()).select("doc_id", "text_key", "n", "h", "h2")
-    chunks = described.filter(F.col("chunk").isNotNull())
+    # rows that the bitmap took for copies and that are none
+    others = may_hold(docs, again, ["doc_id", "text_key"]).join(again.distinct(), ["doc_id", "text_key"], "left_anti")
+    more = common.keep(describe(others, None, threshold, width).filter(F.col("chunk").isNotNull()).withColumn("chunk", -1 - F.col("chunk")))
+    chunks = described.filter(F.col("chunk").isNotNull()).unionByName(more)
     buckets = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     found = rows.filter("n > 0").groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     reps = common.keep(found.withColumn("sid", F.monotonically_increasing_id()))
     answers = common.keep(levels(chunks, buckets))
     raw = common.keep(prefixes(chunks, answers, threshold))
     posts = common.keep(raw.join(reps.filter(F.col("doc_id").isNotNull()).select("h", "h2", "sid"), ["h", "h2"]).select("code", "sid"))
-    common.discard(answers, raw)
+    common.discard(answers, raw, again, more)
     members = reps.select("sid", "doc_id", "h", "h2", "n")
     least = common.keep(posts.groupBy("sid").agg(*(F.min(F.xxhash64(F.lit(r), "code")).alias(f"k{r}") for r in range(ROUNDS))))
     dealt = leaf_deals(least, members, block)
@@ -483,17 +514,17 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block:
     left = common.keep(named.join(still.select("code"), "code"))
     some = members.join(least.select("sid", F.col("k0").alias("key")), "sid").join(left.select("sid", "comp").distinct(), "sid")
     deals = block_deals(some, left, threshold, block)
-    more = common.keep(verified(deals, docs, threshold, width))
+    last = common.keep(verified(deals, docs, threshold, width))
     common.discard(posts, least, left, deals)
     # the second round's links, between the first one's components
     to = comps.select(F.col("sid").alias("a"), F.col("comp").alias("x"))
-    both = more.join(to, "a", "left").join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")
+    both = last.join(to, "a", "left").join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")
     above = components(both.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
     sets = reps.join(comps, "sid", "left").withColumn("node", F.coalesce("comp", "sid")).join(above, "node", "left").withColumn("class_key", F.coalesce("component", "node"))
     sets = common.keep(sets.select("h", "h2", "doc_id", "copies", "class_key"))
     classes = sets.groupBy("class_key").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("many")).filter("many > 1")
     known = common.keep(join_hot(sets, classes, ["class_key"], "many").select("h", "h2", "copies", "class_key", "component_id"))
-    common.discard(comps, more, sets)
+    common.discard(comps, last, sets)
     # only sets with copies or links have another class than their own row's id
     out = join_hot(rows, known, ["h", "h2"], "copies", how="left")
     own = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))
