@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions import similarity, text
+from codeloom.functions import porter, similarity, text
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LEXICAL, VECTOR, RRF, BOOST = 40, 24, 60, 0.02
@@ -49,11 +49,29 @@ def bm25(docs: DataFrame, key: str, content: str, phrases: list[list[str]], limi
     return hit.orderBy(F.desc("score"), key).limit(limit) if limit else hit
 
 
-def postings(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """``term, key, tf, positions, dl``: the inverted index; sort by term when it is written."""
-    tokens = docs.select(key, text.analyze(F.col(content)).alias("tokens"))
+def postings(docs: DataFrame, key: str, content: str, stemmed: bool = False) -> DataFrame:
+    """``term, key, tf, positions, dl``: the inverted index; sort by term when it is written.
+
+    ``stemmed``: of folded terms' Porter stems.  Words are grouped before they are stemmed, and only
+    the vocabulary is: each distinct word once for a task's batch, not running text."""
+    words = text.index_terms(F.col(content)) if stemmed else text.analyze(F.col(content))
+    tokens = docs.select(key, words.alias("tokens"))
     each = tokens.select(key, F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy("term", key, "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    if not stemmed:
+        return each.groupBy("term", key, "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    spelled = each.groupBy("term", key, "dl").agg(F.collect_list("pos").alias("positions")).withColumn("term", porter.porter_stem("term"))
+    joined = spelled.groupBy("term", key, "dl").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return joined.select("term", key, "dl", F.size("positions").alias("tf"), "positions")
+
+
+def fold(word: str) -> str:
+    """A word as ``text.folded`` leaves it."""
+    return word.lower().translate(str.maketrans(*text.FOLDED))
+
+
+def stemmed_phrases(query: str) -> list[list[str]]:
+    """``query_phrases`` in the terms of a stemmed index."""
+    return query_phrases(query, lambda w: porter.stem(fold(w)))
 
 
 def bm25_indexed(index: DataFrame, figures: tuple[int, float], key: str, phrases: list[list[str]], limit: int | None = LEXICAL) -> DataFrame:

@@ -48,10 +48,10 @@ def query(sql: str | None = None):
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
-def _bm25_sql(frequencies: list[str], limit: int, name: str = "doc_id") -> str:
+def _bm25_sql(frequencies: list[str], limit: int, name: str = "doc_id", tokens: str = TOKENS) -> str:
     n = range(len(frequencies))
     return (
-        f"t AS (SELECT doc_id, {TOKENS} AS tk FROM documents), "
+        f"t AS (SELECT doc_id, {tokens} AS tk FROM documents), "
         f"m AS (SELECT doc_id, len(tk) AS dl, {', '.join(f'{f} AS f{i}' for i, f in enumerate(frequencies))} FROM t), "
         f"s AS (SELECT count(*) AS n, avg(dl) AS a, {', '.join(f'count(*) FILTER (f{i} > 0) AS d{i}' for i in n)} FROM m), "
         f"i AS (SELECT n, a, {', '.join(f'CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END AS i{i}' for i in n)} FROM s), "
@@ -87,6 +87,25 @@ def bm25_postings(spark, sf_dir):
     return retrieval.bm25_indexed(index, tuple(figures), "doc_id", phrases).withColumn("score", F.round("score", 6))
 
 
+STEMMED = "thinged menté"
+#: Words of the tables with the stems of this query; any other stays as it is.
+STEMS = {"thing": ["thing", "thinges", "thinged", "thinging"], "ment": ["ment", "mente"]}
+STEMMED_TOKENS = (
+    f"list_transform(regexp_extract_all(translate(lower(text), '{text.FOLDED[0]}', '{text.FOLDED[1]}'), '[\\p{{L}}\\p{{N}}]+'), lambda x: CASE "
+    + " ".join(f"WHEN x IN ({', '.join(repr(w) for w in words)}) THEN '{stem}'" for stem, words in STEMS.items())
+    + " ELSE x END)"
+)
+
+
+@query(f"WITH {_bm25_sql([_pf(['thing', 'ment']), _tf('thing'), _tf('ment')], 40, tokens=STEMMED_TOKENS)} SELECT doc_id, round(score, 6) AS score FROM b")
+def bm25_stemmed(spark, sf_dir):
+    """Search by stems without diacritics, as the engine's index has it."""
+    docs = table(spark, sf_dir, "documents")
+    figures = docs.agg(F.count("*"), F.avg(F.size(text.index_terms(F.col("text"))))).first()
+    index = retrieval.postings(docs, "doc_id", "text", stemmed=True)
+    return retrieval.bm25_indexed(index, tuple(figures), "doc_id", retrieval.stemmed_phrases(STEMMED)).withColumn("score", F.round("score", 6))
+
+
 @query(r"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term HAVING count(*) >= 20")
 def term_stats(spark, sf_dir):
     terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.analyze(F.col("text"))).alias("term"))
@@ -385,11 +404,12 @@ def module_rollup(spark, sf_dir):
     return graph.module_rollup(_scored(spark, sf_dir)).withColumn("score", F.round("score", 6)).withColumn("norm", F.round("norm", 5))
 
 
-@query(f"WITH {EDGES} SELECT a.p_brand AS source, b.p_brand AS target, count(*) AS weight FROM e JOIN part a ON a.p_partkey = e.source JOIN part b ON b.p_partkey = e.target WHERE a.p_brand <> b.p_brand GROUP BY 1, 2 ORDER BY weight DESC, 1, 2 LIMIT 140")
+@query(f"WITH {EDGES}, k AS (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 60) SELECT a.p_brand AS source, b.p_brand AS target, count(*) AS weight FROM e JOIN part a ON a.p_partkey = e.source JOIN part b ON b.p_partkey = e.target WHERE a.p_brand <> b.p_brand AND a.p_brand IN (SELECT * FROM k) AND b.p_brand IN (SELECT * FROM k) GROUP BY 1, 2 ORDER BY weight DESC, 1, 2 LIMIT 140")
 def module_links(spark, sf_dir):
     brand = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     pairs = _edges(spark, sf_dir).join(brand.toDF("source", "s_mod"), "source").join(brand.toDF("target", "t_mod"), "target").select("s_mod", "t_mod")
-    return graph.module_links(pairs, brand.select(F.col("p_brand").alias("id")).distinct().limit(60))
+    top = brand.groupBy(F.col("p_brand").alias("id")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "id").limit(60)
+    return graph.module_links(pairs, top)
 
 
 @query(f"{RANKED} SELECT path, module, loc, round(score, 8) AS score FROM s ORDER BY s.score DESC, path LIMIT 20")
@@ -437,56 +457,36 @@ def file_window(spark, sf_dir):
     return w.select("doc_id", F.col("w.start").alias("start_line"), F.col("w.end").alias("end_line"), "w.total", "w.content")
 
 
-ANSWER = "substring(text, 1, 40) || ' [src' || conv_id % 9 || '/a.py:L' || turn || '] and [lib/b.py:L' || conv_id % 3 || '], [src' || conv_id % 9 || '/a.py:L' || turn || ']'"
+OWN = "'src' || conv_id % 9 || '/a.py'"
+ANSWER = f"coalesce(text, '') || ' [' || {OWN} || ':L' || turn || '] and [lib/b.py:L' || conv_id % 3 || '], [' || {OWN} || ':L' || turn || ']'"
+CITED = text.CITATION.replace("'", "''")
+
+
+def _answer() -> Column:
+    own = F.concat(F.lit("[src"), F.col("conv_id") % 9, F.lit("/a.py:L"), "turn", F.lit("]"))
+    return F.concat(F.coalesce("text", F.lit("")), F.lit(" "), own, F.lit(" and [lib/b.py:L"), F.col("conv_id") % 3, F.lit("], "), own)
 
 
 @query(
     f"WITH a AS (SELECT conv_id, turn, {ANSWER} AS t FROM conversations), "
-    r"x AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, '\[([^\]\n:]+\.?[^\]\n]*?):L(\d+)\]', 1)) AS path, unnest(regexp_extract_all(t, '\[([^\]\n:]+\.?[^\]\n]*?):L(\d+)\]', 2)) AS line FROM a) "
-    "SELECT DISTINCT conv_id, turn, trim(path) AS path, CAST(line AS BIGINT) AS line, trim(path) IN ('src1/a.py', 'src4/a.py', 'lib/b.py') AS valid FROM x"
+    f"x AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, '{CITED}', 1)) AS path, unnest(regexp_extract_all(t, '{CITED}', 2)) AS line FROM a) "
+    f"SELECT DISTINCT conv_id, turn, trim(path) AS path, CAST(line AS BIGINT) AS line, trim(path) = {OWN} AS valid FROM x"
 )
 def citations(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    source = F.concat(F.lit("[src"), F.col("conv_id") % 9, F.lit("/a.py:L"), "turn", F.lit("]"))
-    answer = F.concat(F.substring("text", 1, 40), F.lit(" "), source, F.lit(" and [lib/b.py:L"), F.col("conv_id") % 3, F.lit("], "), source)
-    each = c.select("conv_id", "turn", F.explode(text.citations(answer)).alias("c"))
-    return each.select("conv_id", "turn", "c.path", "c.line", F.col("c.path").isin("src1/a.py", "src4/a.py", "lib/b.py").alias("valid"))
-
-
-@query(f"SELECT conv_id, turn, replace(replace({ANSWER}, '[src2/a.py:L' || turn || ']', '[src2/a.py]'), '[lib/b.py:L' || conv_id % 3 || ']', '[lib/b.py]') AS cleaned FROM conversations WHERE conv_id % 9 = 2")
-def citation_demote(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("conv_id % 9 = 2")
-    source = F.concat(F.lit("[src"), F.col("conv_id") % 9, F.lit("/a.py:L"), "turn", F.lit("]"))
-    answer = F.concat(F.substring("text", 1, 40), F.lit(" "), source, F.lit(" and [lib/b.py:L"), F.col("conv_id") % 3, F.lit("], "), source)
-    return c.select("conv_id", "turn", text.demote(answer, F.array(F.lit("src1/a.py"))).alias("cleaned"))
-
-
-WHOLE = ANSWER.replace("substring(text, 1, 40)", "coalesce(text, '')")
-
-
-def _whole_answer() -> Column:
-    source = F.concat(F.lit("[src"), F.col("conv_id") % 9, F.lit("/a.py:L"), "turn", F.lit("]"))
-    return F.concat(F.coalesce("text", F.lit("")), F.lit(" "), source, F.lit(" and [lib/b.py:L"), F.col("conv_id") % 3, F.lit("], "), source)
+    """All conversations and whole texts; the valid path follows from ``conv_id``."""
+    each = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.citations(_answer())).alias("c"))
+    return each.select("conv_id", "turn", "c.path", "c.line", (F.col("c.path") == F.concat(F.lit("src"), F.col("conv_id") % 9, F.lit("/a.py"))).alias("valid"))
 
 
 @query(
-    f"WITH a AS (SELECT conv_id, turn, {WHOLE} AS t FROM conversations), "
-    r"x AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, '\[([^\]\n:]+\.?[^\]\n]*?):L(\d+)\]', 1)) AS path, unnest(regexp_extract_all(t, '\[([^\]\n:]+\.?[^\]\n]*?):L(\d+)\]', 2)) AS line FROM a) "
-    "SELECT DISTINCT conv_id, turn, trim(path) AS path, CAST(line AS BIGINT) AS line, trim(path) = 'src' || conv_id % 9 || '/a.py' AS valid FROM x"
+    f"WITH a AS (SELECT conv_id, turn, {ANSWER} AS t, {OWN} AS own FROM conversations), "
+    f"x AS (SELECT conv_id, turn, own, t, regexp_extract_all(t, '{CITED}', 0) AS w, regexp_extract_all(t, '{CITED}', 1) AS p, string_split_regex(t, '{CITED}') AS g FROM a) "
+    "SELECT conv_id, turn, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(w) THEN '' WHEN trim(p[i]) = own THEN w[i] ELSE '[' || trim(p[i]) || ']' END), '') AS cleaned FROM x"
 )
-def citations_whole(spark, sf_dir):
+def citation_demote(spark, sf_dir):
     """All conversations and whole texts; the valid path follows from ``conv_id``."""
-    each = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.citations(_whole_answer())).alias("c"))
-    return each.select("conv_id", "turn", "c.path", "c.line", (F.col("c.path") == F.concat(F.lit("src"), F.col("conv_id") % 9, F.lit("/a.py"))).alias("valid"))
-
-
-def citation_demote_whole(spark, sf_dir):
-    """All conversations and whole texts; the valid path follows from ``conv_id`` (by brute force in the tests)."""
     valid = F.array(F.concat(F.lit("src"), F.col("conv_id") % 9, F.lit("/a.py")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.demote(_whole_answer(), valid).alias("cleaned"))
-
-
-QUERIES["citation_demote_whole"] = citation_demote_whole
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.demote(_answer(), valid).alias("cleaned"))
 
 
 @query("SELECT doc_id, substring(array_to_string(list_slice(string_split(text, chr(10)), 1, 2), ' '), 1, 110) AS snippet FROM documents")
@@ -503,15 +503,15 @@ def embed_text(spark, sf_dir):
 
 
 @query(
-    "WITH t AS (SELECT DISTINCT event_type AS stage FROM events UNION SELECT 'docs'), s AS (SELECT event_type AS stage, count(*) AS calls, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM events WHERE event_type <> 'click' GROUP BY 1) "
+    "WITH t AS (SELECT DISTINCT event_type AS stage FROM events UNION SELECT 'docs'), s AS (SELECT event_type AS stage, count(*) AS calls, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1) "
     "SELECT t.stage, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, round(coalesce(tokens, 0) / 1e6 * 0.02, 6) AS cost_usd FROM t LEFT JOIN s ON s.stage = t.stage"
 )
 def cost_summary(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    stages = [r[0] for r in e.select("event_type").distinct().limit(1000).collect()] + ["docs"]
-    rows = e.filter("event_type <> 'click'").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("calls"), F.sum(F.floor("value").cast("long")).alias("tokens"))
-    listed = spark.createDataFrame([(s,) for s in sorted(set(stages))], "stage string")
-    full = listed.join(rows, "stage", "left").select("stage", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    """Calls, tokens and cost of each stage; a stage that is always listed has zeros without calls."""
+    each = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.lit(1).alias("calls"), F.floor("value").cast("long").alias("tokens"))
+    listed = spark.createDataFrame([("docs", 0, 0)], "stage string, calls int, tokens long")
+    full = each.unionByName(listed).groupBy("stage").agg(F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"))
+    full = full.select("stage", "calls", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
     return full.withColumn("cost_usd", F.round(costs.indexing_cost(F.col("tokens")), 6))
 
 
@@ -551,10 +551,73 @@ def min_max_norm(spark, sf_dir):
     return rows.join(F.broadcast(ends)).select("vec_id", F.round(similarity.min_max(F.col("x"), F.col("low"), F.col("high")), 6).alias("norm"))
 
 
+# ---- code made from the tables --------------------------------------------------------------------
+
+BODY = "array_to_string(list_transform(range(0, n), lambda k: '    value_' || k || ' = ' || k || ' * 2 + base'), chr(10))"
+PARTS = "SELECT doc_id, 30 + doc_id % 40 AS n, 'first_' || doc_id % 7 AS f, 'second_' || doc_id % 5 AS g FROM documents"
+
+
+def _python_files(spark, sf_dir) -> DataFrame:
+    """A Python file for each document: an import and two functions of ``30 + doc_id % 40`` lines."""
+    n = F.lit(30) + F.col("doc_id") % 40
+    body = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.concat(F.lit("    value_"), k, F.lit(" = "), k, F.lit(" * 2 + base"))), "\n")
+    made = lambda name: F.concat(F.lit("def "), name, F.lit("(base):\n"), body, F.lit("\n    return base\n"))
+    content = F.concat(F.lit("import os\n\n\n"), made(F.concat(F.lit("first_"), F.col("doc_id") % 7)), F.lit("\n\n"), made(F.concat(F.lit("second_"), F.col("doc_id") % 5)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("app/m"), "doc_id", F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+
+
+@query(
+    f"WITH p AS ({PARTS}), b AS (SELECT *, {BODY} AS body FROM p) "
+    "SELECT 'app/m' || doc_id || '.py' AS path, 1 AS start_line, CAST(7 + n AS INTEGER) AS end_line, 'function:' || f || ':4' AS symbols, sha256('import os' || chr(10) || chr(10) || chr(10) || 'def ' || f || '(base):' || chr(10) || body || chr(10) || '    return base') AS hash FROM b "
+    "UNION ALL SELECT 'app/m' || doc_id || '.py', CAST(8 + n AS INTEGER), CAST(10 + 2 * n AS INTEGER), 'function:' || g || ':' || (8 + n), sha256('def ' || g || '(base):' || chr(10) || body || chr(10) || '    return base') FROM b"
+)
 def python_chunks(spark, sf_dir):
-    """Documents as Python and Markdown files through the syntax-aware splitter (no SQL for it)."""
-    f = files(spark, sf_dir).withColumn("language", F.when(F.col("doc_id") % 2 == 0, "markdown").otherwise("python"))
-    return chunking.chunk_files(f).select("chunk_id", "path", "ordinal", "start_line", "end_line", "token_est", F.sha2("content", 256).alias("hash"))
+    """Parts and symbols of Python files by their syntax: a small part goes with the next one."""
+    chunks = chunking.chunk_files(_python_files(spark, sf_dir))
+    return chunks.select("path", "start_line", "end_line", _shown_symbols(), F.sha2("content", 256).alias("hash"))
+
+
+def _shown_symbols() -> Column:
+    return F.array_join(F.transform("symbols", lambda s: F.concat_ws(":", s["kind"], s["name"], s["line"])), ",").alias("symbols")
+
+
+@query(
+    "SELECT 'web/w' || doc_id || '.js' AS path, 1 AS start_line, 6 AS end_line, 'function:greet' || doc_id % 9 || ':3' AS symbols FROM documents "
+    "UNION ALL SELECT 'web/w' || doc_id || '.js', 7, 12, 'class:Greeter' || doc_id % 4 || ':7,method:hello:8' FROM documents "
+    "UNION ALL SELECT 'svc/g' || doc_id || '.go', 1, 9, 'function:Run' || doc_id % 6 || ':3,type:S' || doc_id % 3 || ':7' FROM documents "
+    "UNION ALL SELECT 'doc/d' || doc_id || '.md', 1, 4, 'heading:Part ' || doc_id % 8 || ':1' FROM documents"
+)
+def code_chunks(spark, sf_dir):
+    """Parts and symbols of scripts, Go and Markdown files made from the documents' ids."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    script = F.concat(F.lit("import a from './b1'\n\nexport function greet"), k % 9, F.lit("(n) {\n  return n\n}\n\nexport class Greeter"), k % 4, F.lit(" {\n  hello() {\n    return 1\n  }\n}\n"))
+    go = F.concat(F.lit("package a\n\nfunc (s *S) Run"), k % 6, F.lit("(x int) {\n\treturn\n}\n\ntype S"), k % 3, F.lit(" struct {\n}\n"))
+    prose = F.concat(F.lit("# Part "), k % 8, F.lit("\n\nSome words.\n"))
+    made = [("web/w", ".js", "javascript", script), ("svc/g", ".go", "go", go), ("doc/d", ".md", "markdown", prose)]
+    rows = [docs.select(F.concat(F.lit(a), "doc_id", F.lit(b)).alias("path"), F.lit(lang).alias("language"), content.alias("content")) for a, b, lang, content in made]
+    chunks = chunking.chunk_files(rows[0].union(rows[1]).union(rows[2]))
+    return chunks.select("path", "start_line", "end_line", _shown_symbols())
 
 
-QUERIES["python_chunks"] = python_chunks
+@query(
+    "WITH d AS (SELECT DISTINCT doc_id AS k FROM documents), "
+    "e AS (SELECT 'app/m' || k || '.py' AS source, 'app/m' || (k * 7) % 100 || '.py' AS target FROM d WHERE (k * 7) % 100 IN (SELECT k FROM d) "
+    "UNION ALL SELECT 'app/m' || k || '.py', 'app/__init__.py' FROM d "
+    "UNION ALL SELECT 'web/w' || k || '.js', 'web/w' || (k * 3) % 90 || '.js' FROM d WHERE (k * 3) % 90 IN (SELECT k FROM d) "
+    "UNION ALL SELECT 'web/w' || k || '.js', 'lib/helper' || k % 50 || '.rb' FROM d WHERE k % 50 IN (SELECT k FROM d) "
+    "UNION ALL SELECT a.source, b.target FROM (SELECT 'util' || k % 20 || '/z' || k || '.go' AS source, (k + 1) % 20 AS u FROM d) a JOIN (SELECT k % 20 AS u, min('util' || k % 20 || '/z' || k || '.go') AS target FROM d GROUP BY 1) b ON a.u = b.u) "
+    "SELECT DISTINCT source, target, 'import' AS kind FROM e WHERE source <> target"
+)
+def code_edges(spark, sf_dir):
+    """Imports of Python, script and Go files made from the documents' ids, resolved to files."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id").distinct()
+    python = F.concat(F.lit('"""\nimport never\n"""\nimport os\nfrom app.m'), (k * 7) % 100, F.lit(" import x\nfrom . import y\n"))
+    script = F.concat(F.lit("/* import './no' */\nimport a from './w"), (k * 3) % 90, F.lit("'\nconst h = require(\"helper"), k % 50, F.lit('")\n'))
+    go = F.concat(F.lit('package z\n\nimport (\n\t"fmt"\n\t// "mod/util0"\n\t"mod/util'), (k + 1) % 20, F.lit('"\n)\n'))
+    made = [(F.concat(F.lit("app/m"), k, F.lit(".py")), python), (F.concat(F.lit("web/w"), k, F.lit(".js")), script), (F.concat(F.lit("lib/helper"), k, F.lit(".rb")), F.lit("")), (F.concat(F.lit("util"), k % 20, F.lit("/z"), k, F.lit(".go")), go)]
+    tree = spark.createDataFrame([("app/__init__.py", "")], "path string, content string")
+    for path, content in made:
+        tree = tree.union(docs.select(path, content))
+    return graph.import_edges(tree, "repo", "mod")

@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeloom.functions import costs, porter, text
 from codeloom.operators import chunking, embedding, graph, grounding, retrieval, sync
@@ -74,7 +73,7 @@ class Engine:
         stale = diff.filter("status <> 'unchanged'")
         fresh = disk.join(diff.filter("status in ('new', 'modified')").select("path"), "path", "left_semi")
         made = keep(chunking.chunk_files(fresh))
-        new_postings = retrieval.postings(made.select("chunk_id", "path", "content"), "chunk_id", "content").join(made.select("chunk_id", "path"), "chunk_id")
+        new_postings = retrieval.postings(made.select("chunk_id", "path", "content"), "chunk_id", "content", stemmed=True).join(made.select("chunk_id", "path"), "chunk_id")
         same_model = manifest.get("embedder") == self.embedder.name
         chunks = sync.purge(old["chunks"], stale).unionByName(made) if version else made
         words = sync.purge(old["postings"], stale).unionByName(new_postings) if version else new_postings
@@ -89,7 +88,7 @@ class Engine:
         edges = graph.import_edges(disk.select("path", "content"), repo, go_module, self.normalize_dotdot)
         per = chunks.groupBy("path").agg(F.count("*").cast("int").alias("chunk_count"))
         listed = disk.drop("content").join(per, "path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))).withColumn("indexed_at", F.lit(time.time()))
-        figures = chunks.agg(F.count("*"), F.avg(F.size(text.analyze(F.col("content")))), F.coalesce(F.sum("token_est"), F.lit(0))).first()
+        figures = chunks.agg(F.count("*"), F.avg(F.size(text.index_terms(F.col("content")))), F.coalesce(F.sum("token_est"), F.lit(0))).first()
         totals = disk.agg(F.count("*"), F.coalesce(F.sum("loc"), F.lit(0))).first()
         languages = {r[0]: r[1] for r in disk.filter("language is not null").groupBy("language").count().orderBy(F.desc("count"), "language").limit(12).collect()}
         stats = {"files": totals[0], "loc": totals[1], "chunks": figures[0], "chunks_done": made.count(), "languages": languages}
@@ -124,7 +123,7 @@ class Engine:
         if version is None:
             return self.spark.createDataFrame([], f"chunk_id string, path string, start_line int, end_line int, language string, symbols array<{chunking.SYMBOL}>, content string, score double, sources array<string>")
         chunks = self.store.read("chunks", version)
-        legs = [("fts", retrieval.bm25_indexed(self.store.read("postings", version), (manifest["n"], manifest["avgdl"]), "chunk_id", retrieval.query_phrases(query)))]
+        legs = [("fts", retrieval.bm25_indexed(self.store.read("postings", version), (manifest["n"], manifest["avgdl"]), "chunk_id", retrieval.stemmed_phrases(query)))]
         if manifest["embedder"] == self.embedder.name:
             probe = self.embedder.embed([query])[0]
             if any(probe):
@@ -204,19 +203,12 @@ class Engine:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions ``detect_language``, ``fts_terms`` (scalar) and ``porter_stem``."""
+    """SQL functions ``detect_language`` and ``loc_of``, which are expanded into plans, and
+    ``porter_stem`` for vocabularies."""
     spark.udf.register("porter_stem", porter.porter_stem)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION loc_of(t STRING) RETURNS BIGINT RETURN length(t) - length(replace(t, '\n', '')) + 1")
-
-    @F.pandas_udf(T.StringType())
-    def detect_language(paths):
-        ends = {e: lang for lang, es in text.LANGUAGES.items() for e in es}
-
-        def one(p):
-            name = p.rsplit("/", 1)[-1].lower()
-            stem, dot, end = name.rpartition(".")
-            return text.NAMES.get(name) or (ends.get(end) if dot and stem else None)
-
-        return paths.map(lambda p: None if p is None else one(p))
-
-    spark.udf.register("detect_language", detect_language)
+    entry = lambda kv: ", ".join(f"'{k}', '{v}'" for k, v in kv.items())
+    ends = {e: lang for lang, es in text.LANGUAGES.items() for e in es}
+    name = "lower(substring_index(p, '/', -1))"
+    end = f"CASE WHEN {name} RLIKE '^.+[.][^.]+$' THEN substring_index({name}, '.', -1) ELSE '' END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION detect_language(p STRING) RETURNS STRING RETURN coalesce(try_element_at(map({entry(text.NAMES)}), {name}), try_element_at(map({entry(ends)}), {end}))")

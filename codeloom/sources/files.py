@@ -15,6 +15,7 @@ from codeloom.sources.ignore import EXTENSIONS, FOLDERS, IGNORE_FILES, IgnoreRul
 MAX_KB = 512
 
 
+TOGETHER = 10_000  # paths of a read
 BATCH = 32 << 20  # bytes of hidden files that the driver holds at a time
 RAW = "path string, length long, content binary"
 
@@ -76,19 +77,33 @@ def _hidden_rows(spark: SparkSession, tree: Tree, rules: IgnoreRules, most: int)
 def scan(spark: SparkSession, root: str, folders: list[str] | None = None, extensions: list[str] | None = None, max_kb: int = MAX_KB, rules: IgnoreRules | None = None) -> DataFrame:
     """``path, hash, size, loc, language, content`` of the text files below ``root``.
 
-    Paths, sizes and endings are decided on the listing, before any content is read; then files with
-    a NUL or invalid UTF-8 near their start are left out as binary."""
+    Paths, sizes and endings are decided on a listing of its own, which has no content; only the files
+    that it leaves are opened, ``TOGETHER`` paths in a read.  Then files with a NUL or invalid UTF-8 near
+    their start are left out as binary."""
     tree = Tree(spark, root)
     rules = rules or read_rules(tree, FOLDERS if folders is None else folders)
     ends = [e.lstrip(".").lower() for e in (EXTENSIONS if extensions is None else extensions)]
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = F.regexp_replace("path", r"^[a-z0-9+.-]+:(?://[^/]*)?", "")
     start = len(re.sub(r"^[a-z0-9+.-]+:(?://[^/]*)?", "", tree.root)) + 2
-    rows = listed.filter(F.col("length") <= max_kb * 1024).select(F.substring(plain, start, 1 << 20).alias("path"), "length", "content")
-    for part in _hidden_rows(spark, tree, rules, max_kb * 1024):
-        rows = rows.unionByName(part)
+    inside = F.substring(plain, start, 1 << 20).alias("path")
     name = F.lower(text.basename(F.col("path")))
     ended = text.extension(F.col("path")).isin(ends) & ~name.isin(*IGNORE_FILES)
-    rows = rows.filter(~ended & ~rules.ignored(F.col("path"))).filter(~text.looks_binary(F.col("content")))
+    wanted = ~ended & ~rules.ignored(F.col("path"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    chosen = keep(listed.filter(F.col("length") <= max_kb * 1024).select(F.col("path").alias("at"), inside).filter(wanted).select("at"))
+    rows, held = spark.createDataFrame([], RAW), []
+
+    def opened(paths: list[str]) -> DataFrame:
+        return spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", x) for x in paths]).select(inside, "length", "content")
+
+    for r in chosen.toLocalIterator():
+        held.append(r["at"])
+        if len(held) == TOGETHER:
+            rows, held = rows.unionByName(opened(held)), []
+    if held:
+        rows = rows.unionByName(opened(held))
+    for part in _hidden_rows(spark, tree, rules, max_kb * 1024):
+        rows = rows.unionByName(part.filter(wanted))
+    rows = rows.filter(~text.looks_binary(F.col("content")))
     rows = rows.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return rows.select("path", "hash", "size", text.lines_of_code(F.col("content")).alias("loc"), text.language(F.col("path")).alias("language"), "content")

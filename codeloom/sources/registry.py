@@ -70,30 +70,28 @@ class Registry:
     def by_path(self, path: str) -> dict[str, Any] | None:
         return next((w for w in self.workspaces() if w["path"] == path), None)
 
+    def _replace(self, rows: list[dict[str, Any]]) -> None:
+        self.save({**self.load(), "workspaces": rows})
+
     def add(self, name: str, path: str, source: str = "local", git_url: str = "") -> dict[str, Any]:
-        if self.by_path(path):
+        rows = self.workspaces()
+        if path in {w["path"] for w in rows}:
             raise ValueError(f"{path} is a workspace already")
-        row = {"id": uuid.uuid4().hex[:12], "name": name, "path": path, "source": source, "git_url": git_url, "created": time.time(), "last_sync": 0.0, "last_index_state": "idle"}
-        config = self.load()
-        config["workspaces"] = [*config["workspaces"], row]
-        self.save(config)
-        return row
+        fresh = dict.fromkeys(f.split(" ")[0] for f in WORKSPACE.split(", "))
+        fresh |= {"id": uuid.uuid4().hex[:12], "name": name, "path": path, "source": source, "git_url": git_url, "created": time.time(), "last_index_state": "pending"}
+        self._replace([*rows, fresh])
+        return fresh
 
     def change(self, key: str, **fields: Any) -> dict[str, Any]:
-        config = self.load()
-        row = next((w for w in config["workspaces"] if w["id"] == key), None)
-        if row is None:
-            raise KeyError(f"no workspace {key}")
-        row.update(fields)
-        self.save(config)
-        return row
+        changed = self.workspace(key) | fields
+        self._replace([changed if w["id"] == key else w for w in self.workspaces()])
+        return changed
 
     def remove(self, key: str) -> bool:
-        config = self.load()
-        left = [w for w in config["workspaces"] if w["id"] != key]
-        gone = len(left) < len(config["workspaces"])
-        config["workspaces"] = left
-        self.save(config)
+        rows = {w["id"]: w for w in self.workspaces()}
+        gone = rows.pop(key, None) is not None
+        if gone:
+            self._replace(list(rows.values()))
         return gone
 
     def latest(self) -> str | None:

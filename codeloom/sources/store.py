@@ -31,15 +31,17 @@ class Store:
             stream.close()
 
     def _write(self, name: str, text: str) -> None:
-        """Whole or not at all: written aside, then renamed."""
+        """Written aside, then renamed over what is there in one step, where the file system has it:
+        a reader sees the old file or the new one, and a crash leaves one of them."""
         aside, at = self._path(f"{self.root}/.{name.replace('/', '_')}-{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
         stream = self._fs.create(aside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(aside, at):
-            raise OSError(f"cannot write {name}")
+        over = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        how = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = over
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(at).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(aside), self._fs.makeQualified(at), how)
 
     def current(self) -> str | None:
         text = self._read(POINTER)

@@ -28,6 +28,9 @@ def test_life_of_an_index(spark, engine, tree):
     assert top[0].path == "ember/blocks.py" and set(top[0].sources) <= {"fts", "vector"}
     assert "ember/server.py" in {r.path for r in engine.search("HTTPServer").collect()}
     assert "ember/blocks.py" in {r.path for r in engine.search("ember.blocks AND NOT").collect()}
+    # by stems: "parsing" stands nowhere in the tree, "parse" does
+    found = [r for r in engine.search("parsing", 50).collect() if "fts" in r.sources]
+    assert "ember/parser.py" in {r.path for r in found}
 
     edges = {(r.source, r.target) for r in engine.table("edges").collect()}
     assert edges == {

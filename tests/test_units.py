@@ -59,16 +59,46 @@ def test_import_extraction_and_resolution(spark):
     assert one(spark, graph.collapse(F.lit("web/a/../x.js"))) == "web/x.js"
 
 
-def test_page_rank_ways_agree(spark):
+def plain_rank(n, edges, rounds):
+    """PageRank by lists; until the change is below ``n * 1e-6`` where ``rounds`` is None."""
+    out = [[t for s, t in edges if s == i] for i in range(n)]
+    x = [1 / n] * n
+    for _ in range(rounds or 60):
+        loose = sum(x[i] for i in range(n) if not out[i])
+        new = [0.15 / n + 0.85 * loose / n] * n
+        for i in range(n):
+            for t in out[i]:
+                new[t] += 0.85 * x[i] / len(out[i])
+        change, x = sum(abs(a - b) for a, b in zip(new, x, strict=True)), new
+        if rounds is None and change < n * 1e-6:
+            break
+    return x
+
+
+def test_page_rank(spark):
     nodes = spark.createDataFrame([(i,) for i in range(30)], "path long")
-    edges = spark.createDataFrame([(i, (i * i + 3) % 29) for i in range(28)] + [(i, 5) for i in range(0, 20, 3)], "source long, target long").filter("source <> target").distinct()
-    for rounds in (None, 6):
-        a = {r.path: r.score for r in graph.page_rank(nodes, edges, rounds).collect()}
-        b = {r.path: r.score for r in graph.page_rank(nodes, edges, rounds, driver_edges=0).collect()}
-        assert a == pytest.approx(b, abs=1e-9) and sum(a.values()) == pytest.approx(1)
+    pairs = sorted({(s, t) for s, t in [(i, (i * i + 3) % 29) for i in range(28)] + [(i, 5) for i in range(0, 20, 3)] if s != t})
+    edges = spark.createDataFrame(pairs, "source long, target long")
+    for rounds in (None, 1, 4, 6):
+        got = {r.path: r.score for r in graph.page_rank(nodes, edges, rounds).collect()}
+        assert got == pytest.approx(dict(enumerate(plain_rank(30, pairs, rounds))), abs=1e-9) and sum(got.values()) == pytest.approx(1)
     assert {r.score for r in graph.page_rank(nodes, edges.limit(0)).collect()} == {1.0}
 
 
+def test_imports_in_text_do_not_count(spark):
+    code = 'x = """\nimport no\n"""\nimport a.b, c as d, e\nfrom x import (y)\nfromage import z\nimport f; y = 1\nfrom q import\n'
+    assert one(spark, graph.python_imports(F.lit(code))) == ["a.b", "c", "f", "x"]
+    js = "// import 'no'\n/* require('no')\n */ export { x } from \"y\"\nrequire('z' + q)\nimport('w' )"
+    assert one(spark, graph.script_imports(F.lit(js))) == ["w", "y"]
+
+
+def test_stems_and_folds(spark):
+    assert retrieval.stemmed_phrases("Parsing Éléments") == [["pars", "element"], ["pars"], ["element"]]
+    docs = spark.createDataFrame([(1, "It parses the élément, parsed twice."), (2, "nothing here")], "k long, t string")
+    got = {(r.term, r.tf) for r in retrieval.postings(docs, "k", "t", stemmed=True).filter("k = 1").collect()}
+    assert {("pars", 2), ("element", 1)} <= got
+
+
 def test_packing_and_windows(spark):
     body = "\n".join(f"line {i} " + "x" * (i % 90) for i in range(900))
     for t in (body, "", "\n\n", "a" * 9000, "b\n" * 10 + "c" * 8000 + "\nd", " x \n" * 2000):
