@@ -82,6 +82,11 @@ def analyze(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 
 
+def joined_terms(text: Column) -> Column:
+    """``analyze`` as one string: a blank before, between and after the terms."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
 def folded(text: Column) -> Column:
     """Without diacritics: Latin letters that Unicode takes apart into a letter and marks."""
     return F.translate(text, *FOLDED)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import porter, similarity, text
+from codeloom.runtime import keep
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LEXICAL, VECTOR, RRF, BOOST = 40, 24, 60, 0.02
@@ -36,10 +37,12 @@ def idf(n: float, df: float) -> float:
 
 
 def bm25(docs: DataFrame, key: str, content: str, phrases: list[list[str]], limit: int | None = LEXICAL) -> DataFrame:
-    """``key, score`` by a scan: one pass for the corpus figures (one row), one for the scores."""
-    tokens = text.analyze(F.col(content))
-    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    measured = docs.select(key, F.size(tokens).alias("dl"), *(phrase_frequency(joined, p).alias(f"f{i}") for i, p in enumerate(phrases)))
+    """``key, score`` by a scan: one pass over the texts keeps lengths and frequencies, from which
+    the corpus figures (one row) and the scores follow."""
+    joined = text.joined_terms(F.col(content))
+    blanks = F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit("")))
+    length = F.when(F.length(joined) > 2, blanks - 1).otherwise(F.lit(0) * blanks)
+    measured = keep(docs.select(key, length.alias("dl"), *(phrase_frequency(joined, p).alias(f"f{i}") for i, p in enumerate(phrases))))
     figures = measured.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"f{i}") for i in range(len(phrases)))).first()
     if not figures.n or not phrases:
         return measured.select(key, F.lit(0.0).alias("score")).limit(0)
