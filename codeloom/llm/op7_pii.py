@@ -232,3 +232,42 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def _places(matches: str, gaps: str) -> str:
+    """SQL for the start of match ``i`` from the matches and what lies between them."""
+    return f"CAST(list_sum(list_transform({gaps}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({matches}[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
+
+
+_SQL_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents), "
+    "raw AS ("
+    + " UNION ALL ".join(f"SELECT r, {i} AS rank, '{k}' AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for i, (k, p) in enumerate(_SQL_PATTERNS.items()))
+    + "), "
+    "each AS (SELECT r, rank, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM raw), "
+    f"found AS (SELECT r, rank, kind, m[i] AS v, {_places('m', 'g')} AS s, regexp_replace(m[i], '[^0-9]', '', 'g') AS n FROM each), "
+    "b AS (SELECT r, rank, kind, v, s, s + length(v) AS e, kind || ':' || CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE n END AS entity FROM found WHERE CASE kind WHEN 'email' THEN true "
+    "WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) <= 255)) "
+    "WHEN 'card' THEN length(n) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(substring(reverse(n), j, 1) AS INTEGER) ELSE (2 * CAST(substring(reverse(n), j, 1) AS INTEGER)) % 10 + (2 * CAST(substring(reverse(n), j, 1) AS INTEGER)) // 10 END)) % 10 = 0 "
+    "ELSE length(n) BETWEEN 9 AND 15 END), "
+    "p AS (SELECT r, s, rank, e, coalesce(max(e) OVER (PARTITION BY r ORDER BY s, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM b), "
+    "gap AS (SELECT d.r, p.s, p.rank, substring(t, p.past + 1, greatest(p.s - p.past, 0)) AS x FROM p JOIN d ON d.r = p.r UNION ALL SELECT d.r, length(t) + 1, 9, substring(t, q.e + 1, length(t)) FROM d JOIN (SELECT r, max(e) AS e FROM b GROUP BY r) q ON q.r = d.r), "
+    "rest AS (SELECT r, string_agg(x, ' ' ORDER BY s, rank) AS o FROM gap GROUP BY r UNION ALL SELECT r, t FROM d WHERE r NOT IN (SELECT r FROM b)), "
+    "w AS (SELECT r, unnest(list_distinct(regexp_extract_all(lower(o), '\\p{L}+'))) AS term FROM rest), "
+    "held AS (SELECT DISTINCT r, entity FROM b), "
+    "df AS (SELECT term, count(*) AS df FROM w GROUP BY term), "
+    "times AS (SELECT entity, count(*) AS times FROM held GROUP BY entity), "
+    "both_ AS (SELECT entity, term, count(*) AS together FROM held JOIN w ON w.r = held.r GROUP BY 1, 2), "
+    "n AS (SELECT count(*)::DOUBLE AS n FROM d), "
+    f"pairs AS (SELECT entity, term FROM both_ JOIN times USING (entity) JOIN df USING (term), n WHERE times >= {MIN_DOCS} AND together >= {MIN_DOCS} AND log2(n / times) > 0 AND log2(together * n / (df * times)) >= {ALPHA} * log2(n / times)), "
+    "bad AS (SELECT DISTINCT held.r, pairs.term FROM held JOIN pairs ON pairs.entity = held.entity JOIN w ON w.r = held.r AND w.term = pairs.term), "
+    "tok AS (SELECT r, regexp_extract_all(t, '\\p{L}+') AS m, string_split_regex(t, '\\p{L}+') AS g FROM d WHERE r IN (SELECT r FROM bad)), "
+    "tk AS (SELECT r, m, g, unnest(range(1, len(m) + 1)) AS i FROM tok), "
+    f"hit AS (SELECT tk.r, {_places('m', 'g')} AS s, length(m[i]) AS k FROM tk JOIN bad ON bad.r = tk.r AND bad.term = lower(m[i])), "
+    "term AS (SELECT r, 4 AS rank, 'term' AS kind, s, s + k AS e FROM hit WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = hit.r AND hit.s < b.e AND b.s < hit.s + hit.k)), "
+    "every AS (SELECT r, rank, kind, s, e FROM b UNION ALL SELECT r, rank, kind, s, e FROM term), "
+    "shown AS (SELECT r, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS) + ", "
+    "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM every GROUP BY r) "
+    "SELECT doc_id, " + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS) + ", sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN shown ON shown.r = d.r"
+)

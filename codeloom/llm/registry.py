@@ -9,6 +9,7 @@ from codeloom.llm.op4_jaccard import op4_jaccard_join
 from codeloom.llm.op5_topk import SQL as OP5_SQL
 from codeloom.llm.op5_topk import op5_exact_top_k
 from codeloom.llm.op6_toxicity import op6_toxicity
+from codeloom.llm.op7_pii import SQL as OP7_SQL
 from codeloom.llm.op7_pii import op7_pii
 from codeloom.llm.op8_counts import op8_token_counts
 from codeloom.llm.op9_packing import op9_best_fit_packing
@@ -31,4 +32,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_exact_top_k": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_exact_top_k": OP5_SQL, "op7_pii": OP7_SQL}

@@ -407,6 +407,14 @@ def test_base_spans(spark, rows):
     assert [(r.text, r.s) for r in df.collect() if r.s != brute_spans(r.text or "")] == []
 
 
+def test_personal_data_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.sql(op7_pii.SQL)
+    got = op7_pii.op7_pii(spark, DATA)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_revealing_terms(spark, rows):
     filler = "some words that are in all of these texts we write about here "
     docs = [(k, f"{filler} write {w} zorblatt at eva@mail.org about {w}") for k, w in enumerate(["oak", "elm", "ash", "fir"])] + [(4, f"zorblatt {filler} eva@mail.org")] + [(k, f"{filler} nothing {k}") for k in range(5, 60)] + [(99, "zorblatt alone")]
