@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import common
 from codeloom.llm.components import Forest, components, join_hot
 
-BLOCK, ROUNDS = 64, 2
+BLOCK, ROUNDS = 64, 3
 WORDS = 32  # of 64 bits in a bitmap
 CODE_BITS, COUNTED = 48, 0.4  # bits of a code, and the part of the hash range that is counted
 CHUNK, BUCKET = 1 << 18, 1 << 19  # codes of a chunk of documents, and of a range, about
@@ -179,7 +179,7 @@ class Filter:
         self.keys = keys
         parts = wanted.select(self.place().alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
         bits = np.zeros((1 << self.BITS - 15, 1 << 12), np.uint8)
-        for row in parts.toLocalIterator():
+        for row in parts.collect():  # 8 MB at most
             bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
         self.shared = wanted.sparkSession.sparkContext.broadcast(bits)
 
