@@ -12,8 +12,8 @@
 3. Leaves: sets are dealt to groups of bounded size by the least of their prefix codes under
    ``ROUNDS`` hashes, and a signature tree is traversed in each; near copies nearly always meet here,
    and each set is sent ``ROUNDS`` times at most.
-4. What is left: codes whose documents are not all linked by now.  Their sets are cut by least code,
-   size and hash into blocks; each pair of blocks that share such a code, have sizes that may match
+4. What is left: codes whose documents are not all linked by now.  Their sets are cut by the
+   component they stand beside, size and hash into blocks; each pair of blocks that share such a code, have sizes that may match
    and are not one component yet is a task, in which two signature trees (nodes with OR-combined
    bitmaps and size ranges) are traversed against each other.
    Node pairs are pruned when their sizes or their largest possible overlap cannot reach the
@@ -262,7 +262,7 @@ def levels(chunks: DataFrame, buckets: int) -> DataFrame:
                 codes, count = counted(Sets.load(blob.as_py()).codes)
                 cuts = np.flatnonzero(np.diff(codes // span, prepend=np.uint64(1 << 63)))
                 rows = []
-                for lo, hi in zip(cuts, [*cuts[1:], codes.size], strict=True):
+                for lo, hi in zip(cuts, np.append(cuts[1:], codes.size)[: cuts.size], strict=True):  # none where no code is counted
                     rows.append((chunk, int(codes[lo] // span), hi - lo, packed_codes(codes[lo:hi]) + zlib.compress(count[lo:hi].astype("<u4").tobytes(), 1)))
                 yield records(rows)
 
@@ -459,15 +459,15 @@ def block_deals(members: DataFrame, left: DataFrame, threshold: int, block: int)
     """Deals ``sid, doc_id, h, h2, n, key, comp`` to pairs of blocks that share a code of ``left``
     (``code, sid``) and may hold a new link."""
     # blocks: by key and size class, so that classes further apart never meet; a component of half a
-    # block or more has blocks of its own, the others are dealt by a hash
+    # block or more has blocks of its own, the others of a key share blocks by a hash
     step = math.log(100 / threshold)
     classed = members.withColumn("level", F.floor(F.log(F.col("n")) / step + 1e-9))
     parts = classed.groupBy("key", "level", "comp").agg(F.count("*").alias("own"))
-    many = parts.groupBy("key", "level").agg(F.sum("own").alias("many"))
+    many = parts.groupBy("key", "level").agg(F.sum(F.when(F.col("own") * 2 < block, F.col("own")).otherwise(0)).alias("many"))
     sized = common.keep(parts.join(many, ["key", "level"]))
     placed = join_hot(classed, sized, ["key", "level", "comp"], "own")
     split = F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.ceil(F.col("own") / block)))
-    part = F.when(F.col("own") * 2 >= block, split).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("many") / block)))
+    part = F.when(F.col("own") * 2 >= block, split).otherwise(F.pmod(F.xxhash64("comp"), F.greatest(F.ceil(F.col("many") / block), F.lit(1))))
     placed = common.keep(placed.select("sid", "doc_id", "h", "h2", "comp", "level", F.xxhash64("key", "level", part).alias("node")))
     nodes = placed.groupBy("node").agg(F.first("level").alias("level"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     posts = common.keep(left.select("code", "sid").join(placed.select("sid", "node"), "sid").select("code", "node").distinct())
@@ -510,9 +510,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block:
     comps = common.keep(components(near).select(F.col("node").alias("sid"), F.col("component").alias("comp")))
     common.discard(near)
     named = posts.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    still = named.groupBy("code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    left = common.keep(named.join(still.select("code"), "code"))
-    some = members.join(least.select("sid", F.col("k0").alias("key")), "sid").join(left.select("sid", "comp").distinct(), "sid")
+    per = named.groupBy("code", "comp").agg(F.count("*").alias("many"))
+    most = F.max_by("comp", F.struct("many", "comp")).alias("most")  # the component with most sets
+    still = per.groupBy("code").agg(F.count("*").alias("comps"), most).filter("comps > 1")
+    left = common.keep(named.join(still.select("code", "most"), "code"))
+    # sets go with the component that most of their open codes mostly belong to
+    beside = left.groupBy("sid", "comp", "most").agg(F.count("*").alias("many")).groupBy("sid", "comp").agg(F.max_by("most", F.struct("many", "most")).alias("key"))
+    some = members.join(beside, "sid")
     deals = block_deals(some, left, threshold, block)
     last = common.keep(verified(deals, docs, threshold, width))
     common.discard(posts, least, left, deals)
