@@ -191,18 +191,20 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """``doc, text, base, spans`` of ``doc, text``; the base spans are looked for once."""
+    """``doc, text, base, spans`` of ``doc, text``.  Only documents with base spans are kept as a step;
+    the others' are looked for again, which costs less than their texts on disk."""
     text = F.col("text")
-    based = common.keep(docs.withColumn("base", base_spans(text)).withColumn("row_key", F.monotonically_increasing_id()))
+    based = docs.withColumn("base", base_spans(text))
+    some_base = common.keep(based.filter(F.size("base") > 0).withColumn("row_key", F.monotonically_increasing_id()))
     words = terms(outside(text, F.col("base")))
     own = F.array_distinct(F.transform("base", entity))
-    holders = common.keep(based.filter(F.size("base") > 0).select("row_key", words.alias("terms"), own.alias("entities")))
+    holders = common.keep(some_base.select("row_key", words.alias("terms"), own.alias("entities")))
     pairs = disclosing(holders, based.select(words.alias("terms")))
     telling = pairs.groupBy("entity").agg(F.max("both").alias("times"))
     some = join_hot(holders.select("row_key", F.explode("entities").alias("entity"), "terms"), telling, ["entity"], "times")
     each = some.select("row_key", "entity", F.explode("terms").alias("term"))
     revealing = join_hot(each, pairs, ["entity", "term"], "both").groupBy("row_key").agg(F.sort_array(F.collect_set("term")).alias("revealing"))
-    held = based.filter(F.size("base") > 0).join(revealing, "row_key", "left")
+    held = some_base.join(revealing, "row_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("revealing", "|"), F.lit(r")(?!\p{L})"))
     more = F.when(F.col("revealing").isNotNull(), matches(text, pattern, len(KINDS), "term")).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
     inside = F.filter(more, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
