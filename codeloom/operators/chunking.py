@@ -1,7 +1,8 @@
 """Splitting files into line-addressed chunks with symbols.
 
 Plain text is packed by a fold in SQL functions.  Files with known syntax go through
-``chunk_files``: Python by its own parser, brace languages by a line scan of their structure.
+``chunk_files``: Python by its own parser, other languages by the lexer and the stack of
+``functions.lexing``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import lexing
+
 BUDGET, TINY = 3800, 40
 PIECE = "struct<start_line:int,end_line:int,content:string>"
 SYMBOL = "struct<kind:string,name:string,line:int>"
@@ -86,17 +89,6 @@ def symbols_in(symbols: Column, start: Column, end: Column) -> Column:
 
 # ---- syntax -------------------------------------------------------------------------------------
 
-_BRACES = {"javascript", "typescript", "tsx", "go", "rust", "java", "kotlin", "c", "cpp", "csharp", "swift", "scala", "dart", "php", "zig"}
-_NAMED = re.compile(
-    r"^\s*(?:export\s+|default\s+|public\s+|private\s+|protected\s+|static\s+|abstract\s+|final\s+|async\s+|pub(?:\([^)]*\))?\s+|unsafe\s+|inline\s+)*"
-    r"(?:(?P<kind>function|class|interface|struct|enum|trait|type|func|fn|fun|def|module|namespace|impl|object)\b\s*\*?\s*(?:\([^)]*\)\s*)?(?P<name>[A-Za-z_$][\w$]*)"
-    r"|(?:const|let|var)\s+(?P<bound>[A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>))"
-)
-_METHOD = re.compile(r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?P<name>[A-Za-z_$][\w$]*)\s*\([^;{}]*\)\s*(?::\s*[^{;]+)?\{")
-_KINDS = {"func": "function", "fn": "function", "fun": "function", "def": "function", "trait": "interface", "namespace": "module", "object": "class"}
-_FLOW = {"if", "for", "while", "switch", "catch", "return", "function", "else", "do", "with"}
-
-
 def python_symbols(code: str) -> list[tuple[str, str, int]]:
     found = set()
 
@@ -115,60 +107,47 @@ def python_symbols(code: str) -> list[tuple[str, str, int]]:
     return sorted(found, key=lambda s: (s[2], s[1]))
 
 
-def line_symbols(code: str, language: str) -> list[tuple[str, str, int]]:
-    if language == "markdown":
-        return [("heading", m[1].strip()[:200], i) for i, line in enumerate(code.split("\n"), 1) if (m := re.match(r"#{1,6}\s+(.+)", line))]
-    if language in ("bash", "make"):
-        return [("function", m[1], i) for i, line in enumerate(code.split("\n"), 1) if (m := re.match(r"\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)", line))]
-    found: list[tuple[str, str, int]] = []
-    for i, line in enumerate(code.split("\n"), 1):
-        if m := _NAMED.match(line):
-            kind = m["kind"] or "function"
-            found.append((_KINDS.get(kind, kind), (m["name"] or m["bound"])[:200], i))
-        elif language in _BRACES and (m := _METHOD.match(line)) and m["name"] not in _FLOW:
-            found.append(("method", m["name"][:200], i))
-    return list(dict.fromkeys(found))
+def python_starts(code: str) -> list[int]:
+    return [min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) for n in ast.parse(code).body]
 
 
-def extract_symbols(code: str, language: str | None) -> list[tuple[str, str, int]]:
+#: Languages without a family whose declarations are lines of their own.
+_LINES = {"markdown": ("heading", re.compile(r"#{1,6}\s+(.+)")), "make": ("rule", re.compile(r"([A-Za-z_][\w./-]*)\s*::?(?!=)"))}
+
+
+def structure(code: str, language: str) -> tuple[list[int] | None, list[tuple[str, str, int]], set[int]]:
+    """Starting lines of the top-level parts (None: not known), symbols, and lines of comments."""
+    if language in _LINES:
+        kind, pattern = _LINES[language]
+        return None, [(kind, m[1].strip()[:200], i) for i, line in enumerate(code.split("\n"), 1) if (m := pattern.match(line))], set()
     if language == "python":
         try:
-            return python_symbols(code)
+            remarks = {i for i, line in enumerate(code.split("\n"), 1) if line.lstrip().startswith("#")}
+            return python_starts(code), python_symbols(code), remarks
         except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
-    return line_symbols(code, language) if language else []
+            pass  # another version's syntax; its tokens and indentation will do
+    if language in lexing.LANGUAGES:
+        return lexing.outline(code, language)
+    return None, [], set()
 
 
-def segments(code: str, language: str) -> list[tuple[int, int]] | None:
+def extract_symbols(code: str, language: str | None) -> list[tuple[str, str, int]]:
+    return structure(code, language)[1] if language else []
+
+
+def segments(code: str, starts: list[int] | None, remarks: set[int]) -> list[tuple[int, int]] | None:
     """Line ranges (from 1) of the top-level parts; None where the structure is not known."""
-    lines = code.split("\n")
-    starts: list[int] = []
-    if language == "python":
-        try:
-            body = ast.parse(code).body
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return None
-        starts = [min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) for n in body]
-    elif language in _BRACES:
-        depth = 0
-        for i, line in enumerate(lines, 1):
-            if depth <= 0 and line.strip() and not line[0].isspace() and line[0] not in "})]":
-                starts.append(i)
-            bare = re.sub(r"//.*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`", "", line)
-            depth += bare.count("{") + bare.count("(") - bare.count("}") - bare.count(")")
-    else:
-        return None
     if not starts:
         return None
     # what stands before the first part, and comments between parts, go with the part that follows
-    cuts = []
+    cuts: list[int] = []
     for k, s in enumerate(dict.fromkeys(starts)):
         low = (cuts[-1] if cuts else 0) + 1
-        while k and s - 1 > low and re.match(r"\s*(#|//|/\*|\*)", lines[s - 2]):
+        while k and s - 1 >= low and s - 1 in remarks:
             s -= 1
         cuts.append(1 if k == 0 else s)
     cuts = sorted(set(cuts))
-    return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], len(lines) + 1], strict=True)]
+    return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], code.count("\n") + 2], strict=True)]
 
 
 def pack(lines: list[str], first: int, budget: int = BUDGET) -> Iterator[tuple[int, int, str]]:
@@ -196,8 +175,8 @@ def chunk_file(code: str, language: str | None) -> list[tuple[int, int, str, lis
     """``start, end, content, symbols``; a file of unknown language has no chunks."""
     if language is None:
         return []
-    symbols, lines = extract_symbols(code, language), code.split("\n")
-    parts = segments(code, language)
+    starts, symbols, remarks = structure(code, language)
+    lines, parts = code.split("\n"), segments(code, starts, remarks)
     out = []
     if parts is None:
         return [(a, b, text, symbols) for a, b, text in pack(lines, 1)]

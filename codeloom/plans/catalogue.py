@@ -600,6 +600,55 @@ def code_chunks(spark, sf_dir):
     return chunks.select("path", "start_line", "end_line", _shown_symbols())
 
 
+#: Sources of several languages: the lines before and behind ``doc_id % 5`` copies of a line, and the
+#: parts (first and last line, symbols) that they have without copies.  H is the text's digest.
+LEXED = [
+    ("js", "javascript", ["const tH = `class No { ${[1].map(i => `}${i}`)} function nope() {`;", "// class Ghost { in a remark"], "// }",
+     ["export class AH extends Base {", "  runH(a) { return /[}{]\\/{/.test(a) ? `}` : 1 / 2 / 3; }", "}", "export const fH = async (a, b) => {", "  return a.map(x => { return `${x}}`; }).concat(b)", "}"],
+     [(1, 1, []), (2, 5, [("class", "AH", 3), ("method", "runH", 4)]), (6, 8, [("function", "fH", 6)])]),
+    ("java", "java", ["package a.b; // long enough to stand for itself", "public class SH<T extends List<T>> {", '  String text = "class No {";'], "  int field = 1;",
+     ["  @Override public Map<String, List<T>> findH(T a) throws IOException {", "    if (a == null) { return null; } else { return go(a); }", "  }", "  static class InH { void deep() { } }", "}"],
+     [(1, 1, []), (2, 8, [("class", "SH", 2), ("method", "findH", 4), ("class", "InH", 7), ("method", "deep", 7)])]),
+    ("c", "c", ['#define BRACE_H "{" /* one brace, and no more */', "/* int no(int a) { */"], "/* } */",
+     ["int addH(int a, int b) {", "  char c = '{'; return a + b + c;", "}", "struct boxH { int wide; int high; char name[9]; };"],
+     [(1, 1, []), (2, 5, [("function", "addH", 3)]), (6, 6, [("struct", "boxH", 6)])]),
+    ("cpp", "cpp", ["#include <vector> // class Ghost { of a remark", "namespace nH {", "template <typename T> class BoxH : public Base<T> {"], "  int field_;",
+     ["  BoxH() : a_(1) { init(); }", "  std::vector<T> items() const { return {}; }", "};", "}", "int countH(const std::vector<int>& x) noexcept { return 1; }"],
+     [(1, 1, []), (2, 7, [("module", "nH", 2), ("class", "BoxH", 3), ("method", "BoxH", 4), ("method", "items", 5)]), (8, 8, [("function", "countH", 8)])]),
+    ("rb", "ruby", ["require 'set' # class Ghost, long enough for a part", "class BasketH < Base"], "  attr_reader :one",
+     ["  def addH(item)", "    return if item.nil?", '    @items.each do |x| puts "#{x} end" unless x =~ /end/ end', "  end", "end", "TEXT = <<~EOS", "  def fake # this is a text of several lines", "EOS", "def topH(a)", "  while a do break end # not an opening of its own", "end"],
+     [(1, 1, []), (2, 7, [("class", "BasketH", 2), ("method", "addH", 3)]), (8, 10, []), (11, 13, [("function", "topH", 11)])]),
+    ("sql", "sql", ["-- CREATE TABLE ghost (a int);"], "-- ;",
+     ["CREATE TABLE IF NOT EXISTS shop.itemsH (id int, name text default ';');", "create or replace view vH AS", "SELECT 1 AS one, 2 AS two, 3 AS three;"],
+     [(1, 2, [("table", "itemsH", 2)]), (3, 4, [("view", "vH", 3)])]),
+    ("ts", "typescript", ["// a file without any structure"], "/* class No { */", ["// and that is the end of it"], [(1, 2, [])]),
+]
+
+
+def _lexed_sql() -> str:
+    rows = []
+    for ext, _, before, _, _, parts in LEXED:
+        at = lambda n, fixed=len(before): f"{n}" if n <= fixed else f"{n} + doc_id % 5"
+        for a, b, symbols in parts:
+            shown = " || ',' || ".join("'" + f"{kind}:{name}:".replace("H", "' || h || '", 1) + f"' || ({at(line)})" for kind, name, line in symbols) or "''"
+            rows.append(f"SELECT 'src/' || doc_id || '.{ext}' AS path, CAST({at(a)} AS INTEGER) AS start_line, CAST({at(b)} AS INTEGER) AS end_line, {shown} AS symbols FROM d")
+    return "WITH d AS (SELECT doc_id, substring(sha256(coalesce(text, '')), 1, 8) AS h FROM documents) " + " UNION ALL ".join(rows)
+
+
+@query(_lexed_sql())
+def lexed_chunks(spark, sf_dir):
+    """Parts and symbols of seven languages by their tokens, in files made of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 8).alias("h"), F.pmod(F.col("doc_id"), F.lit(5)).cast("int").alias("m"))
+    content = lambda before, again, after: F.concat(F.lit("\n".join([*before, ""])), F.expr(f"repeat({_quoted(again)} || chr(10), m)"), F.lit("\n".join(after)))
+    made = [F.struct(F.concat(F.lit("src/"), "doc_id", F.lit(f".{ext}")).alias("path"), F.lit(language).alias("language"), content(before, again, after).alias("content")) for ext, language, before, again, after, _ in LEXED]
+    named = docs.select("h", F.explode(F.array(*made)).alias("f")).select("f.path", "f.language", F.regexp_replace("f.content", F.lit("H"), F.col("h")).alias("content"))
+    return chunking.chunk_files(named).select("path", "start_line", "end_line", _shown_symbols())
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @query(
     "WITH d AS (SELECT DISTINCT doc_id AS k FROM documents), "
     "e AS (SELECT 'app/m' || k || '.py' AS source, 'app/m' || (k * 7) % 100 || '.py' AS target FROM d WHERE (k * 7) % 100 IN (SELECT k FROM d) "
