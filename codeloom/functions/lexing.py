@@ -299,7 +299,7 @@ def _braces(all_tokens: list, language: str) -> tuple[list[int], list[tuple[str,
                 top.over = gone.ends
         elif text == ";" and kind == "punct":
             close(top)
-        elif text == "," and kind == "punct" and (top.scope in ("group", "body") or language == "javascript" and top.scope == "file"):
+        elif text == "," and kind == "punct" and (len(top.head) > 200 or top.scope in ("group", "body") or language == "javascript" and top.scope == "file"):
             top.head = [(",", line)]  # a list's next entry; long lists are not carried along
         else:
             top.head.append((text if kind != "string" else '"', line))

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import costs, porter, text
-from codeloom.operators import chunking, embedding, graph, grounding, retrieval, sync
-from codeloom.runtime import keep, ship
+from codeloom.operators import chunking, embedding, graph, grounding, retrieval, sync, vector_index
+from codeloom.runtime import discard, keep, ship
 from codeloom.sources import files as source_files
 from codeloom.sources.ignore import IgnoreRules
-from codeloom.sources.store import Store
+from codeloom.sources.store import BUCKET, Store, bucket_of
 
-SORT = {"postings": ["term"], "chunks": ["path"], "files": ["path"], "edges": ["source"]}
+SORT = {"postings": ["term"], "chunks": ["path"], "files": ["path"], "edges": ["source"], "imports": ["path"], "vectors": ["chunk_id"]}
+BUCKETS, BUCKET_BYTES = (16, 4096), 64 << 20
 EMPTY_FILES = "path string, hash string, size long, loc long, language string, content string"
 
 
@@ -61,45 +62,136 @@ class Engine:
             self._running = False
 
     def sync_files(self, disk: DataFrame, repo: str, go_module: str | None = None) -> dict:
-        disk = keep(disk.select("path", "hash", "size", "loc", "language", "content"))
-        version = self.store.current()
-        manifest = self.store.manifest()
-        old = {name: self.store.read(name, version) for name in ("files", "chunks", "postings", "vectors", "edges")} if version else {}
-        known = old["files"] if version else self.spark.createDataFrame([], "path string, hash string")
-        diff = keep(sync.changes(disk, known))
+        """``sync`` for files of any origin: ``path, hash, size, loc, language, content``.
+
+        Hashes are compared first.  Contents are then read for what is new or changed, and only the
+        buckets that hold such paths are written; without changes, no data is."""
+        disk = disk.select("path", "hash", "size", "loc", "language", "content")
+        old, manifest = self.store.tables(), self.store.manifest()
+        first = "files" not in old
+        if first:
+            disk = keep(disk)
+        meta = disk.drop("content") if first else keep(disk.drop("content"))
+        known = self.spark.createDataFrame([], "path string, hash string") if first else self.store.frame(old, "files")
+        diff = keep(sync.changes(meta, known))
         counts = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
         done = {k: counts.get(k, 0) for k in ("new", "modified", "unchanged", "deleted")}
+        same_model = manifest.get("embedder") == self.embedder.name
+        # how the edges are found beside the files' own imports
+        how = [repo, go_module, self.normalize_dotdot]
+        if not first and same_model and manifest.get("how") == how and done["unchanged"] == sum(done.values()):
+            stats = {**manifest["stats"], "chunks_done": 0}
+            self.store.publish(old, {**manifest, "stats": stats, "at": time.time()})
+            discard(meta, diff)
+            self.record_cost("indexing", 0, 0.0, self.embedder.name)
+            self._tell("done", 100, "done")
+            return {**done, **stats}
+        buckets = manifest.get("buckets") or self._buckets(meta)
         self._tell("parse", 45)
+        at = bucket_of(F.col("path"), buckets)
         stale = diff.filter("status <> 'unchanged'")
+        touched = {r[0] for r in stale.select(at).distinct().collect()}  # ``buckets`` at most
         fresh = disk.join(diff.filter("status in ('new', 'modified')").select("path"), "path", "left_semi")
-        made = keep(chunking.chunk_files(fresh))
-        new_postings = retrieval.postings(made.select("chunk_id", "path", "content"), "chunk_id", "content", stemmed=True).join(made.select("chunk_id", "path"), "chunk_id")
-        same_model = manifest.get("embedder") == self.embedder.name
-        chunks = sync.purge(old["chunks"], stale).unionByName(made) if version else made
-        words = sync.purge(old["postings"], stale).unionByName(new_postings) if version else new_postings
-        chunks = keep(chunks.dropDuplicates(["chunk_id"]))
+        fresh = fresh if first else keep(fresh)
+        terms = F.size(text.index_terms(F.col("content")))
+        made = keep(chunking.chunk_files(fresh).dropDuplicates(["chunk_id"]).withColumn("terms", terms))
+
+        def change(name: str, rows: DataFrame) -> tuple[DataFrame, set[int] | None]:
+            if first:
+                return rows.withColumn(BUCKET, at), None
+            return sync.purge(self.store.frame(old, name, touched), stale).unionByName(rows).withColumn(BUCKET, at), touched
+
+        words = retrieval.postings(made.select("chunk_id", "path", "content"), "chunk_id", "content", stemmed=True).join(made.select("chunk_id", "path"), "chunk_id")
+        per = made.groupBy("path").agg(F.count("*").cast("int").alias("chunk_count"))
+        listed = fresh.drop("content").join(per, "path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))).withColumn("indexed_at", F.lit(time.time()))
+        changes = {"files": change("files", listed), "chunks": change("chunks", made), "postings": change("postings", words), "imports": change("imports", graph.imports(fresh.select("path", "content")))}
+        tables = self.store.stage(old, changes, SORT)
         self._tell("embed", 90)
-        if version and same_model:
-            left = sync.orphans(old["vectors"], sync.orphans(old["vectors"], chunks), "chunk_id")
-            vectors = left.unionByName(embedding.embed_chunks(sync.missing(chunks, left), self.embedder))
-        else:
-            vectors = embedding.embed_chunks(chunks, self.embedder)
+        tables, cells = self._embed(tables, manifest, made, stale, first or not same_model)
         self._tell("graph", 91)
-        edges = graph.import_edges(disk.select("path", "content"), repo, go_module, self.normalize_dotdot)
-        per = chunks.groupBy("path").agg(F.count("*").cast("int").alias("chunk_count"))
-        listed = disk.drop("content").join(per, "path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))).withColumn("indexed_at", F.lit(time.time()))
-        figures = chunks.agg(F.count("*"), F.avg(F.size(text.index_terms(F.col("content")))), F.coalesce(F.sum("token_est"), F.lit(0))).first()
-        totals = disk.agg(F.count("*"), F.coalesce(F.sum("loc"), F.lit(0))).first()
-        languages = {r[0]: r[1] for r in disk.filter("language is not null").groupBy("language").count().orderBy(F.desc("count"), "language").limit(12).collect()}
-        stats = {"files": totals[0], "loc": totals[1], "chunks": figures[0], "chunks_done": made.count(), "languages": languages}
+        if touched or manifest.get("how") != how:
+            tables = self._link(tables, buckets, how, first)
+        chunks = self.store.frame(tables, "chunks")
+        figures = chunks.agg(F.count("*"), F.avg("terms"), F.coalesce(F.sum("token_est"), F.lit(0))).first()
+        totals = meta.agg(F.count("*"), F.coalesce(F.sum("loc"), F.lit(0))).first()
+        languages = {r[0]: r[1] for r in meta.filter("language is not null").groupBy("language").count().orderBy(F.desc("count"), "language").limit(12).collect()}
+        added = made.agg(F.count("*"), F.coalesce(F.sum("token_est"), F.lit(0))).first()
+        stats = {"files": totals[0], "loc": totals[1], "chunks": figures[0], "chunks_done": added[0], "languages": languages}
         self._tell("finalize", 97)
-        manifest = {"repo": repo, "embedder": self.embedder.name, "size": self.embedder.size, "n": figures[0], "avgdl": figures[1] or 0.0, "stats": stats, "at": time.time()}
-        self.store.commit({"files": listed, "chunks": chunks, "postings": words, "vectors": vectors, "edges": edges}, manifest, SORT)
-        tokens = made.agg(F.coalesce(F.sum("token_est"), F.lit(0))).first()[0]
-        self.record_cost("indexing", tokens, 0.0, self.embedder.name)
+        self._forget_guide(stale)
+        self.store.publish(tables, {"repo": repo, "embedder": self.embedder.name, "size": self.embedder.size, "n": figures[0], "avgdl": figures[1] or 0.0, "stats": stats, "at": time.time(), "buckets": buckets, "how": how, **cells})
+        discard(*([disk] if first else [meta, fresh]), diff, made)
+        self.record_cost("indexing", added[1], self._price(added[1]), self.embedder.name)
         self._tell("done", 100, "done")
         return {**done, **stats}
 
+    def _buckets(self, meta: DataFrame) -> int:
+        """Buckets of a new index: about ``BUCKET_BYTES`` of sources each, between two bounds."""
+        size = meta.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        return max(BUCKETS[0], min(BUCKETS[1], int(size // BUCKET_BYTES)))
+
+    def _embed(self, tables: dict, manifest: dict, made: DataFrame, stale: DataFrame, anew: bool) -> tuple[dict, dict]:
+        """Vectors of chunks that have none yet, each in the cell of its nearest centroid.  They are laid
+        out by cell; an incremental sync writes the cells that lose or get a vector.  The cells are made
+        anew when the embedder changes and when the vectors have become four times as many."""
+        n = self.store.frame(tables, "chunks").count()
+        if not anew and n > 4 * max(1, manifest.get("cells_of", 0)):
+            anew = True
+        if anew:
+            vectors = keep(embedding.embed_chunks(self.store.frame(tables, "chunks"), self.embedder))
+            centroids = vector_index.train(vectors, "chunk_id", "embedding", self.embedder.size)
+            assigned = vector_index.assign(vectors, "embedding", centroids).withColumnRenamed("cell", BUCKET)
+            tables = self.store.stage(tables, {"vectors": (assigned, None)}, SORT)
+            probes = vector_index.calibrate(self.store.frame(tables, "vectors", bucket=True).withColumnRenamed(BUCKET, "cell"), centroids, "chunk_id", "embedding", asked=16)
+            held = self.spark.createDataFrame([(k, c, 0) for k, c in enumerate(centroids)], f"cell int, centroid array<double>, {BUCKET} int")
+            tables = self.store.stage(tables, {"centroids": (held, None)})
+            discard(vectors)
+            return tables, {"probes": probes, "cells_of": n}
+        cells = {k: manifest[k] for k in ("probes", "cells_of")}
+        before = self.store.frame(tables, "vectors", bucket=True)
+        theirs = keep(before.join(stale.select("path"), "path", "left_semi"))
+        kept = theirs.join(made.select("chunk_id"), "chunk_id", "left_semi")
+        new = embedding.embed_chunks(sync.missing(made, theirs), self.embedder)
+        new = keep(vector_index.assign(new, "embedding", self.centroids(tables)).withColumnRenamed("cell", BUCKET))
+        touched = {r[0] for r in theirs.join(kept.select("chunk_id"), "chunk_id", "left_anti").select(BUCKET).union(new.select(BUCKET)).distinct().collect()}  # cells at most
+        if touched:
+            rest = sync.purge(self.store.frame(tables, "vectors", touched, bucket=True), stale).unionByName(kept.filter(F.col(BUCKET).isin(list(touched))))
+            tables = self.store.stage(tables, {"vectors": (rest.unionByName(new), touched)}, SORT)
+        discard(theirs, new)
+        return tables, cells
+
+    def centroids(self, tables: dict) -> list[list[float]]:
+        """Of the vectors' cells; ``vector_index.MOST_CELLS`` at most."""
+        return [r.centroid for r in self.store.frame(tables, "centroids").orderBy("cell").collect()]
+
+    def _link(self, tables: dict, buckets: int, how: list, first: bool) -> dict:
+        """Edges from all files' imports, since a new file may be what others mean; only buckets in which
+        they differ are written."""
+        edges = graph.resolve(self.store.frame(tables, "imports"), self.store.frame(tables, "files").select("path"), *how).withColumn(BUCKET, bucket_of(F.col("source"), buckets))
+        if first or "edges" not in tables:
+            return self.store.stage(tables, {"edges": (edges, None)}, SORT)
+        edges = keep(edges)
+        mark = lambda df: df.groupBy(BUCKET).agg(F.count("*").alias("n"), F.sum(F.xxhash64("source", "target", "kind").cast("decimal(38,0)")).alias("mark"))
+        now, before = mark(edges), mark(self.store.frame(tables, "edges", bucket=True))
+        both = now.alias("a").join(before.alias("b"), F.col(f"a.{BUCKET}") == F.col(f"b.{BUCKET}"), "full_outer")
+        other = both.filter(~(F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.mark").eqNullSafe(F.col("b.mark")))).select(F.coalesce(f"a.{BUCKET}", f"b.{BUCKET}"))
+        touched = {r[0] for r in other.collect()}
+        tables = self.store.stage(tables, {"edges": (edges.filter(F.col(BUCKET).isin(list(touched))), touched)}, SORT)
+        discard(edges)
+        return tables
+
+    def _price(self, tokens: int) -> float:
+        """What embedding so many tokens costs with the embedder's provider; nothing for a local one."""
+        if getattr(self.embedder, "provider", "local") == "local":
+            return 0.0
+        return self.spark.range(1).select(costs.indexing_cost(F.lit(int(tokens)))).first()[0]
+
+    def _forget_guide(self, stale: DataFrame) -> None:
+        """Drops the stored guide when a file that it rests on has changed or gone."""
+        rests = self.store.get("onboarding").get("files", [])
+        if rests and not stale.filter(F.col("path").isin(rests)).isEmpty():
+            self.store.put("onboarding", {})
+
     def record_cost(self, stage: str, tokens: int, usd: float, detail: str = "") -> None:
         self.store.append("costs", self.spark.createDataFrame([(stage, detail, int(tokens), float(usd), time.time())], "stage string, detail string, tokens long, cost_usd double, created double"))
 
@@ -112,22 +204,25 @@ class Engine:
         return df
 
     def views(self) -> None:
-        for name in ("files", "chunks", "postings", "vectors", "edges"):
+        for name in ("files", "chunks", "postings", "vectors", "imports", "edges"):
             self.table(name).createOrReplaceTempView(name)
 
-    def search(self, query: str, n: int = 12) -> DataFrame:
+    def search(self, query: str, n: int = 12, exact: bool = False) -> DataFrame:
         """Hybrid search: ``chunk_id, path, start_line, end_line, language, symbols, content, score,
-        sources``.  Without an index, or for a query without words, no rows."""
+        sources``.  Without an index, or for a query without words, no rows.  Vectors are looked for in
+        the cells nearest to the query, in all where ``exact`` is set."""
         n = max(1, min(int(n), 100))
         version, manifest = self.store.current(), self.store.manifest()
         if version is None:
             return self.spark.createDataFrame([], f"chunk_id string, path string, start_line int, end_line int, language string, symbols array<{chunking.SYMBOL}>, content string, score double, sources array<string>")
-        chunks = self.store.read("chunks", version)
-        legs = [("fts", retrieval.bm25_indexed(self.store.read("postings", version), (manifest["n"], manifest["avgdl"]), "chunk_id", retrieval.stemmed_phrases(query)))]
+        tables = manifest["tables"]
+        chunks = self.store.frame(tables, "chunks")
+        legs = [("fts", retrieval.bm25_indexed(self.store.frame(tables, "postings"), (manifest["n"], manifest["avgdl"]), "chunk_id", retrieval.stemmed_phrases(query)))]
         if manifest["embedder"] == self.embedder.name:
             probe = self.embedder.embed([query])[0]
             if any(probe):
-                legs.append(("vector", retrieval.nearest(self.store.read("vectors", version), "chunk_id", "embedding", probe)))
+                cells = None if exact else {*vector_index.nearest_cells(self.centroids(tables), probe, manifest["probes"])}
+                legs.append(("vector", retrieval.nearest(self.store.frame(tables, "vectors", cells), "chunk_id", "embedding", probe)))
         fused = retrieval.fuse(legs, "chunk_id")
         hits = chunks.join(F.broadcast(fused), "chunk_id")  # the legs' limits bound it
         top = retrieval.ranked(retrieval.boost_definitions(hits, F.col("symbols.name"), query), "chunk_id", n)
@@ -181,8 +276,9 @@ class Engine:
         rows = self.store.log("costs")
         return grounding.cost_summary(rows if rows is not None else self.spark.createDataFrame([], "stage string, tokens long, cost_usd double"))
 
-    def onboarding(self, answer: Callable[[list[dict[str, str]]], Iterator[str]] | None = None, system: str = "") -> dict:
-        """Facts and files for a guide; with ``answer`` the guide itself, stored by key."""
+    def onboarding(self, answer: Callable[[list[dict[str, str]]], Iterator[str]] | None = None, system: str = "", provider: str = "ollama", model: str = "") -> dict:
+        """Facts and files for a guide; with ``answer`` the guide itself, stored with the files that it
+        rests on, its tokens and what they cost with the provider."""
         found = self.repo_map()
         scored = self.table("files").join(found["top_files"].select("path", "score"), "path", "left").select("path", "loc", F.coalesce("score", F.lit(0.0)).alias("score"))
         chosen = [r.path for r in grounding.onboarding_files(scored).orderBy("place").collect()]
@@ -190,10 +286,11 @@ class Engine:
         if answer is None:
             return facts
         guide = "".join(answer([{"role": "system", "content": system}, {"role": "user", "content": json.dumps(facts)}]))
-        doc = {"key": "onboarding", "content": guide, "created": time.time()}
+        doc = {"key": "onboarding", "content": guide, "model": model, "created": time.time(), "tokens": (len(system) + len(json.dumps(facts)) + len(guide)) // 4, "files": sorted({*chosen, *facts["top_files"]})}
         self.store.put("onboarding", doc)
-        self.record_cost("docs", len(guide) // 4, 0.0)
-        return doc
+        usd = self.spark.range(1).select(costs.actual(F.lit(provider), F.lit(model), F.lit(doc["tokens"]))).first()[0]
+        self.record_cost("docs", doc["tokens"], usd, model)
+        return {**doc, "cost_usd": usd}
 
     def cached_guide(self) -> dict:
         return self.store.get("onboarding")

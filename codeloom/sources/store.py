@@ -1,15 +1,22 @@
-"""Versioned snapshots: every table of an index is Parquet in a new folder, and one small pointer
-file says which folder is current.  Readers resolve the pointer once and then see one version."""
+"""Versioned snapshots, copied on write.
+
+A table lies in buckets: ``data/<table>/run=<id>/bucket=<n>``.  A version is a manifest that names the
+folder of each bucket of each table, and one small pointer file says which version is current.  A new
+version writes the buckets that changed and names the old folders for the rest, so a sync without
+changes writes no data.  Readers resolve the pointer once and then see one version; old versions stay
+readable until ``vacuum`` deletes what no version that is left names.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-POINTER = "_CURRENT"
+POINTER, BUCKET = "_CURRENT", "bucket"
 
 
 class Store:
@@ -34,6 +41,7 @@ class Store:
         """Written aside, then renamed over what is there in one step, where the file system has it:
         a reader sees the old file or the new one, and a crash leaves one of them."""
         aside, at = self._path(f"{self.root}/.{name.replace('/', '_')}-{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
+        self._fs.mkdirs(at.getParent())
         stream = self._fs.create(aside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
@@ -51,32 +59,82 @@ class Store:
         version = self.current()
         return json.loads(self._read(f"{version}/manifest.json") or "{}") if version else {}
 
-    def read(self, name: str, version: str | None = None) -> DataFrame | None:
+    def tables(self, version: str | None = None) -> dict:
+        """Schema and bucket folders of a version's tables."""
         version = version or self.current()
-        at = f"{self.root}/{version}/{name}"
-        return self.spark.read.parquet(at) if version and self._fs.exists(self._path(at)) else None
+        return json.loads(self._read(f"{version}/manifest.json") or "{}").get("tables", {}) if version else {}
+
+    def read(self, name: str, version: str | None = None, only: set[int] | None = None, bucket: bool = False) -> DataFrame | None:
+        """A table of a version, or only some of its buckets; with ``bucket`` as a column."""
+        return self.frame(self.tables(version), name, only, bucket)
 
-    def commit(self, tables: dict[str, DataFrame], manifest: dict, sort: dict[str, list[str]] | None = None) -> str:
-        """Writes all tables, then moves the pointer; a failure leaves the old version current."""
+    def frame(self, tables: dict, name: str, only: set[int] | None = None, bucket: bool = False) -> DataFrame | None:
+        if name not in tables:
+            return None
+        schema = T.StructType.fromJson(tables[name]["schema"])
+        at = [f"{self.root}/data/{name}/{where}" for n, where in sorted(tables[name]["parts"].items()) if only is None or int(n) in only]
+        whole = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField(BUCKET, T.IntegerType())])
+        columns = [*schema.names, BUCKET] if bucket else schema.names
+        if not at:
+            return self.spark.createDataFrame([], whole).select(*columns)
+        return self.spark.read.schema(whole).option("basePath", f"{self.root}/data/{name}").parquet(*at).select(*columns)
+
+    def stage(self, tables: dict, changes: dict[str, tuple[DataFrame, set[int] | None]], sort: dict[str, list[str]] | None = None) -> dict:
+        """Writes changed buckets; the tables with them, which ``publish`` makes a version.
+
+        A change is rows with a ``bucket`` column, and the buckets that they replace: a set, all of whose
+        buckets become these rows, or None for the whole table.  Large buckets are split over tasks."""
+        out = dict(tables)
+        for name, (rows, touched) in changes.items():
+            schema = T.StructType([f for f in rows.schema.fields if f.name != BUCKET])
+            parts = {} if touched is None else {n: where for n, where in tables.get(name, {"parts": {}})["parts"].items() if int(n) not in touched}
+            if touched is None or touched:
+                run = f"run={uuid.uuid4().hex}"
+                rows.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, *(sort or {}).get(name, [])).write.partitionBy(BUCKET).parquet(f"{self.root}/data/{name}/{run}")
+                for s in self._fs.listStatus(self._path(f"{self.root}/data/{name}/{run}")):  # one for each bucket at most
+                    folder = s.getPath().getName()
+                    if folder.startswith(f"{BUCKET}="):
+                        parts[folder.partition("=")[2]] = f"{run}/{folder}"
+            out[name] = {"schema": schema.jsonValue(), "parts": parts}
+        return out
+
+    def publish(self, tables: dict, manifest: dict) -> str:
+        """Makes staged tables a version and moves the pointer; a failure before leaves the old one current."""
         version = f"v-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            keys = (sort or {}).get(name)
-            (df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df).write.parquet(f"{self.root}/{version}/{name}")
-        self._write(f"{version}/manifest.json", json.dumps(manifest))
+        self._write(f"{version}/manifest.json", json.dumps({**manifest, "tables": tables}))
         self._write(POINTER, json.dumps({"version": version}))
         return version
 
-    def vacuum(self) -> int:
-        """Deletes versions that are not current; the number of them."""
-        now, gone = self.current(), 0
+    def versions(self) -> list[str]:
+        """All versions, the newest first."""
         if not self._fs.exists(self._path(self.root)):
-            return 0
-        for s in self._fs.listStatus(self._path(self.root)):
-            name = s.getPath().getName()
-            if name.startswith("v-") and name != now:
-                self._fs.delete(s.getPath(), True)
-                gone += 1
-        return gone
+            return []
+        found = [(s.getModificationTime(), s.getPath().getName()) for s in self._fs.listStatus(self._path(self.root))]
+        now = self.current()
+        return sorted((n for _, n in sorted(found, reverse=True) if n.startswith("v-")), key=lambda n: n != now)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes all but the current version and the newest besides, ``keep`` in all, and then the
+        buckets that none of these names; the number of versions deleted."""
+        versions = self.versions()
+        for v in versions[keep:]:
+            self._fs.delete(self._path(f"{self.root}/{v}"), True)
+        named = {f"{name}/{where}" for v in versions[:keep] for name, t in self.tables(v).items() for where in t["parts"].values()}
+        for folder in self._folders("data"):
+            for run in self._folders(f"data/{folder}"):
+                held = self._folders(f"data/{folder}/{run}")
+                gone = [b for b in held if f"{folder}/{run}/{b}" not in named]
+                for b in [""] if len(gone) == len(held) else gone:
+                    self._fs.delete(self._path(f"{self.root}/data/{folder}/{run}/{b}".rstrip("/")), True)
+        return len(versions[keep:])
+
+    def _folders(self, at: str) -> list[str]:
+        where = self._path(f"{self.root}/{at}")
+        return [s.getPath().getName() for s in self._fs.listStatus(where) if s.isDirectory()] if self._fs.exists(where) else []
+
+    def data_files(self) -> int:
+        """Number of data files of all versions."""
+        return sum(s.getPath().getName().startswith("part-") for name in self._folders("data") for run in self._folders(f"data/{name}") for b in self._folders(f"data/{name}/{run}") for s in self._fs.listStatus(self._path(f"{self.root}/data/{name}/{run}/{b}")))
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Append-only tables outside versions (costs)."""
@@ -97,6 +155,10 @@ class Store:
             return default or {}
 
 
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 def rank_latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The latest row of each key."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")

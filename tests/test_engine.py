@@ -89,3 +89,66 @@ def test_failed_sync_keeps_the_old_version(spark, engine, tree):
     with pytest.raises(Exception):
         engine.sync(str(tree / "nowhere"))
     assert engine.store.current() == before and engine.status()["state"] == "error"
+
+
+def test_a_sync_writes_what_changed(spark, engine, tree):
+    """Copies on write: no data without changes, one bucket of each table for one path."""
+    engine.sync(str(tree))
+    first, files, tables = engine.store.current(), engine.store.data_files(), engine.store.tables()
+    engine.sync(str(tree))
+    assert engine.store.data_files() == files and engine.store.current() != first
+    assert engine.store.tables() == tables  # another manifest for the same files
+
+    before = {r.chunk_id for r in engine.table("chunks").filter("path = 'ember/store.py'").collect()}
+    (tree / "ember/store.py").write_text("import json\n\nfrom ember.blocks import Block\n\n\ndef quite_other_store(path):\n    return [Block(**b) for b in json.load(open(path))]\n")
+    engine.sync(str(tree))
+    now = engine.store.tables()
+    for name in ("files", "chunks", "postings", "imports", "edges", "vectors", "centroids"):
+        changed = {b for b in {**now[name]["parts"], **tables[name]["parts"]} if now[name]["parts"].get(b) != tables[name]["parts"].get(b)}
+        assert len(changed) == {"edges": 0, "centroids": 0}.get(name, 1), name  # what it imports is the same
+    assert engine.store.data_files() == files + 5
+    # the old version reads as it was
+    assert before == {r.chunk_id for r in engine.store.read("chunks", first).filter("path = 'ember/store.py'").collect()}
+    assert len(before & {r.chunk_id for r in engine.table("chunks").collect()}) == 1  # its imports stay a part as they were
+    assert engine.table("chunks").count() == engine.table("vectors").count()
+    assert engine.store.vacuum(keep=2) == 1 and engine.store.data_files() == files + 5
+    assert engine.store.vacuum() == 1 and engine.store.data_files() == files  # five folders that nothing names
+    assert engine.search("quite_other_store").first().path == "ember/store.py"
+
+
+def test_a_crash_before_publishing_leaves_the_old_version(spark, engine, tree, monkeypatch):
+    engine.sync(str(tree))
+    before, files = engine.store.current(), engine.store.data_files()
+    (tree / "ember/store.py").write_text("x = 1\n")
+    monkeypatch.setattr(engine.store, "publish", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        engine.sync(str(tree))
+    monkeypatch.undo()
+    assert engine.store.current() == before and engine.store.data_files() > files
+    engine.store.vacuum()
+    assert engine.store.data_files() == files
+    assert engine.sync(str(tree))["modified"] == 1
+
+
+def test_modules_of_go_and_guides(spark, engine, tmp_path):
+    root = tmp_path / "two"
+    made = {
+        "one/go.mod": "// a remark\nmodule example.org/one\n\ngo 1.22\n", "one/main.go": 'package main\n\nimport (\n\t"example.org/one/lib"\n\t"example.org/one/tools/deep"\n\t"fmt"\n)\n', "one/lib/a.go": "package lib\n",
+        "one/tools/go.mod": 'module "example.org/one/tools"\n', "one/tools/deep/b.go": 'package deep\n\nimport "example.org/one"\n', "lib/a.go": "package lib\n", "tools/deep/b.go": "package deep\n",
+    }
+    for path, text in made.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    engine.sync(str(root))
+    edges = {(r.source, r.target) for r in engine.table("edges").collect()}
+    assert edges == {("one/main.go", "one/lib/a.go"), ("one/main.go", "one/tools/deep/b.go"), ("one/tools/deep/b.go", "one/lib/a.go")}
+
+    doc = engine.onboarding(lambda m: iter(["a guide"]), provider="anthropic", model="large")
+    assert doc["cost_usd"] == round(doc["tokens"] / 1e6 * 9.0, 6) > 0 and "one/main.go" in doc["files"]
+    assert {r.stage: r.cost_usd for r in engine.costs().collect()}["docs"] == pytest.approx(doc["cost_usd"])
+    engine.sync(str(root))
+    assert engine.cached_guide()["content"] == "a guide"
+    (root / "one/main.go").write_text("package main\n")
+    engine.sync(str(root))
+    assert engine.cached_guide() == {}
+    assert engine.table("edges").count() == 1  # what was left by the other module's file
