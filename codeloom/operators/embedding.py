@@ -1,4 +1,5 @@
-"""Embedders: anything with ``name``, ``size`` and ``embed``; the default needs no model."""
+"""Embedders: anything with ``name``, ``size`` and ``embed``; the default needs no model, ``corpus`` learns
+from the index itself."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from codeloom.functions import text
 from codeloom.operators.chunking import hashed_vector
+from codeloom.operators.meaning import CorpusEmbedder
 
 BATCH = 32
 
@@ -33,7 +35,7 @@ class HashedEmbedder:
         return [hashed_vector(t, self.size) for t in texts]
 
 
-REGISTRY = {"hashed": HashedEmbedder}
+REGISTRY = {"hashed": HashedEmbedder, "corpus": CorpusEmbedder}
 
 
 def build_embedder(engine: str = "hashed", **options) -> Embedder:

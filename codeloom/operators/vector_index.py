@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import similarity
 from codeloom.operators import retrieval
 
-MOST_CELLS, PER_CELL, LEAST, ROUNDS, SEED = 4096, 256, 256, 10, 17
+MOST_CELLS, PER_CELL, LEAST, ROUNDS, SEED = 4096, 256, 1024, 10, 17
 TARGET, ASKED = 0.95, 64
 
 
@@ -44,7 +44,8 @@ def directed(embedding: Column, size: int) -> Column:
 
 def unit(embedding: Column) -> Column:
     norm = F.sqrt(similarity.dot(embedding, embedding))
-    return F.transform(embedding, lambda x: x.cast("double") / norm)
+    # repeated as an array: within a lambda it would be worked out for each component
+    return F.zip_with(embedding, F.array_repeat(norm, F.size(embedding)), lambda x, n: x.cast("double") / n)
 
 
 def train(vectors: DataFrame, key: str, embedding: str, size: int, cells: int | None = None) -> list[list[float]]:

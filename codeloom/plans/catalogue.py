@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import costs, similarity, text
-from codeloom.operators import chunking, graph, grounding, limiter, retrieval, sync, vector_index
+from codeloom.operators import chunking, graph, grounding, limiter, meaning, retrieval, sync, vector_index
 from codeloom.runtime import shared_folder
 
 QUERY = "worthless stupid clown of the"
@@ -115,6 +115,21 @@ def term_stats(spark, sf_dir):
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 20")
 
 
+@query(
+    r"WITH d AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tk FROM documents), "
+    "h AS (SELECT unnest(list_transform(range(1, len(tk) - g + 1), lambda i: {'a': tk[i], 'b': tk[i + g]})) AS p FROM d, (SELECT unnest([1, 2, 3, 4]) AS g) WHERE len(tk) > g), "
+    "c AS (SELECT a, b, sum(n) AS n FROM (SELECT p.a AS a, p.b AS b, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT p.b, p.a, count(*) FROM h GROUP BY ALL) GROUP BY a, b), "
+    "w AS (SELECT a, sum(n) AS m FROM c GROUP BY a), s AS (SELECT sum(n) AS every FROM c), "
+    "x AS (SELECT c.a, c.n, ln(c.n::DOUBLE * every::DOUBLE / (w.m::DOUBLE * v.m::DOUBLE)) AS ppmi FROM c JOIN w ON w.a = c.a JOIN w v ON v.a = c.b, s) "
+    "SELECT a AS term, count(*) AS company, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CAST(round(ppmi, 6) AS DECIMAL(18, 6))) AS DOUBLE) AS ppmi FROM x WHERE ppmi > 0 GROUP BY a"
+)
+def ppmi_company(spark, sf_dir):
+    """For each word those that it stands beside more often than by chance: how many, how often, and
+    the sum of their mutual information."""
+    pairs = meaning.ppmi(table(spark, sf_dir, "documents").select(text.analyze(F.col("text")).alias("tokens")))
+    return pairs.groupBy(F.col("a").alias("term")).agg(F.count("*").alias("company"), F.sum("n").alias("n"), F.sum(F.round("ppmi", 6).cast("decimal(18,6)")).cast("double").alias("ppmi"))
+
+
 def _probe(spark, sf_dir) -> list[float]:
     return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
 

@@ -16,7 +16,7 @@ from codeloom.sources import files as source_files
 from codeloom.sources.ignore import IgnoreRules
 from codeloom.sources.store import BUCKET, Store, bucket_of
 
-SORT = {"postings": ["term"], "chunks": ["path"], "files": ["path"], "edges": ["source"], "imports": ["path"], "vectors": ["chunk_id"]}
+SORT = {"postings": ["term"], "chunks": ["path"], "files": ["path"], "edges": ["source"], "imports": ["path"], "vectors": ["chunk_id"], "terms": ["term"]}
 BUCKETS, BUCKET_BYTES = (16, 4096), 64 << 20
 EMPTY_FILES = "path string, hash string, size long, loc long, language string, content string"
 
@@ -138,7 +138,11 @@ class Engine:
         if not anew and n > 4 * max(1, manifest.get("cells_of", 0)):
             anew = True
         if anew:
-            vectors = keep(embedding.embed_chunks(self.store.frame(tables, "chunks"), self.embedder))
+            if self._trained:
+                learned = self.embedder.fit(self.store.frame(tables, "chunks"))
+                tables = self.store.stage(tables, {"terms": (learned.withColumn(BUCKET, bucket_of(F.col("term"), BUCKETS[0])), None)}, SORT)
+                discard(learned)
+            vectors = keep(self._vectors(tables, self.store.frame(tables, "chunks")))
             centroids = vector_index.train(vectors, "chunk_id", "embedding", self.embedder.size)
             assigned = vector_index.assign(vectors, "embedding", centroids).withColumnRenamed("cell", BUCKET)
             tables = self.store.stage(tables, {"vectors": (assigned, None)}, SORT)
@@ -151,7 +155,7 @@ class Engine:
         before = self.store.frame(tables, "vectors", bucket=True)
         theirs = keep(before.join(stale.select("path"), "path", "left_semi"))
         kept = theirs.join(made.select("chunk_id"), "chunk_id", "left_semi")
-        new = embedding.embed_chunks(sync.missing(made, theirs), self.embedder)
+        new = self._vectors(tables, sync.missing(made, theirs))
         new = keep(vector_index.assign(new, "embedding", self.centroids(tables)).withColumnRenamed("cell", BUCKET))
         touched = {r[0] for r in theirs.join(kept.select("chunk_id"), "chunk_id", "left_anti").select(BUCKET).union(new.select(BUCKET)).distinct().collect()}  # cells at most
         if touched:
@@ -160,6 +164,13 @@ class Engine:
         discard(theirs, new)
         return tables, cells
 
+    @property
+    def _trained(self) -> bool:
+        return getattr(self.embedder, "trained", False)
+
+    def _vectors(self, tables: dict, chunks: DataFrame) -> DataFrame:
+        return self.embedder.embed_chunks(chunks, self.store.frame(tables, "terms")) if self._trained else embedding.embed_chunks(chunks, self.embedder)
+
     def centroids(self, tables: dict) -> list[list[float]]:
         """Of the vectors' cells; ``vector_index.MOST_CELLS`` at most."""
         return [r.centroid for r in self.store.frame(tables, "centroids").orderBy("cell").collect()]
@@ -219,7 +230,7 @@ class Engine:
         chunks = self.store.frame(tables, "chunks")
         legs = [("fts", retrieval.bm25_indexed(self.store.frame(tables, "postings"), (manifest["n"], manifest["avgdl"]), "chunk_id", retrieval.stemmed_phrases(query)))]
         if manifest["embedder"] == self.embedder.name:
-            probe = self.embedder.embed([query])[0]
+            probe = self.embedder.embed_query(self.store.frame(tables, "terms"), query) if self._trained else self.embedder.embed([query])[0]
             if any(probe):
                 cells = None if exact else {*vector_index.nearest_cells(self.centroids(tables), probe, manifest["probes"])}
                 legs.append(("vector", retrieval.nearest(self.store.frame(tables, "vectors", cells), "chunk_id", "embedding", probe)))

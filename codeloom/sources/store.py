@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,19 +86,20 @@ class Store:
 
         A change is rows with a ``bucket`` column, and the buckets that they replace: a set, all of whose
         buckets become these rows, or None for the whole table.  Large buckets are split over tasks."""
-        out = dict(tables)
-        for name, (rows, touched) in changes.items():
+        def one(name: str, rows: DataFrame, touched: set[int] | None) -> dict:
             schema = T.StructType([f for f in rows.schema.fields if f.name != BUCKET])
             parts = {} if touched is None else {n: where for n, where in tables.get(name, {"parts": {}})["parts"].items() if int(n) not in touched}
             if touched is None or touched:
                 run = f"run={uuid.uuid4().hex}"
                 rows.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, *(sort or {}).get(name, [])).write.partitionBy(BUCKET).parquet(f"{self.root}/data/{name}/{run}")
-                for s in self._fs.listStatus(self._path(f"{self.root}/data/{name}/{run}")):  # one for each bucket at most
-                    folder = s.getPath().getName()
+                for folder in self._folders(f"data/{name}/{run}"):  # one for each bucket at most
                     if folder.startswith(f"{BUCKET}="):
                         parts[folder.partition("=")[2]] = f"{run}/{folder}"
-            out[name] = {"schema": schema.jsonValue(), "parts": parts}
-        return out
+            return {"schema": schema.jsonValue(), "parts": parts}
+
+        with ThreadPoolExecutor(max(1, len(changes))) as pool:  # the tables' jobs run beside each other
+            begun = {name: pool.submit(inheritable_thread_target(self.spark)(one), name, rows, touched) for name, (rows, touched) in changes.items()}
+            return {**tables, **{name: job.result() for name, job in begun.items()}}
 
     def publish(self, tables: dict, manifest: dict) -> str:
         """Makes staged tables a version and moves the pointer; a failure before leaves the old one current."""
