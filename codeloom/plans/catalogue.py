@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions import costs, similarity, text
+from codeloom.functions import costs, similarity, tables, text
 from codeloom.operators import chunking, graph, grounding, limiter, meaning, retrieval, sync, vector_index
 from codeloom.runtime import shared_folder
 
@@ -572,10 +572,16 @@ def rate_limiter(spark, sf_dir):
     return got.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "allowed", "remaining")
 
 
-@query("SELECT provider, model, CAST(CASE WHEN provider = 'anthropic' THEN 0.0345 WHEN provider = 'ollama' THEN 0.0 WHEN model LIKE '%4o%' AND model NOT LIKE '%mini%' THEN 0.0265 ELSE 0.0016 END AS DOUBLE) AS estimate FROM (SELECT unnest(['openai', 'anthropic', 'ollama', 'custom']) AS provider) CROSS JOIN (SELECT unnest(['gpt-4o-mini', 'gpt-4o', 'other']) AS model)")
+@query(
+    "WITH d AS (SELECT doc_id, ['openai', 'anthropic', 'ollama', 'custom'][1 + doc_id % 4] AS provider, ['gpt-4o-mini', 'gpt-4o', 'other'][1 + doc_id % 3] AS model, greatest(1, length(text) // 4) AS tokens FROM documents) "
+    "SELECT doc_id, provider, model, tokens, CAST(CASE WHEN provider = 'anthropic' THEN 0.0345 WHEN provider = 'ollama' THEN 0.0 WHEN model LIKE '%4o%' AND model NOT LIKE '%mini%' THEN 0.0265 ELSE 0.0016 END AS DOUBLE) AS estimate, "
+    "CAST(round(tokens / 1e6::DOUBLE * CASE WHEN provider = 'ollama' THEN 0.0 WHEN provider = 'anthropic' THEN 9.0 WHEN model LIKE '%mini%' THEN 0.4 ELSE 2.0 END::DOUBLE, 6) AS DOUBLE) AS actual FROM d"
+)
 def cost_estimates(spark, sf_dir):
-    rows = spark.createDataFrame([(p, m) for p in ("openai", "anthropic", "ollama", "custom") for m in ("gpt-4o-mini", "gpt-4o", "other")], "provider string, model string")
-    return rows.withColumn("estimate", costs.estimate(F.col("provider"), F.col("model")))
+    """What a guide would cost by estimate, and what each document's tokens would cost in fact."""
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", pick(["openai", "anthropic", "ollama", "custom"]).alias("provider"), pick(["gpt-4o-mini", "gpt-4o", "other"]).alias("model"), text.token_estimate(F.col("text")).cast("long").alias("tokens"))
+    return rows.select("*", costs.estimate(F.col("provider"), F.col("model")).alias("estimate"), costs.actual(F.col("provider"), F.col("model"), F.col("tokens")).alias("actual"))
 
 
 @query("SELECT vec_id, round(CASE WHEN max(x) OVER () - min(x) OVER () < 1e-9 THEN 0.5 ELSE (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) END, 6) AS norm FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)")
@@ -672,11 +678,22 @@ def _lexed_sql() -> str:
 @query(_lexed_sql())
 def lexed_chunks(spark, sf_dir):
     """Parts and symbols of seven languages by their tokens, in files made of each document."""
+    return chunking.chunk_files(_lexed_files(spark, sf_dir)).select("path", "start_line", "end_line", _shown_symbols())
+
+
+@query(SQL["lexed_chunks"])
+def lateral_chunks(spark, sf_dir):
+    """The same by a table function that SQL calls for each file."""
+    tables.register(spark)
+    shown = "array_join(transform(c.symbols, s -> concat_ws(':', s.kind, s.name, s.line)), ',')"
+    return spark.sql(f"SELECT f.path, c.start_line, c.end_line, {shown} AS symbols FROM {{files}} AS f, LATERAL chunk_file(f.language, f.content) AS c", files=_lexed_files(spark, sf_dir))
+
+
+def _lexed_files(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 8).alias("h"), F.pmod(F.col("doc_id"), F.lit(5)).cast("int").alias("m"))
     content = lambda before, again, after: F.concat(F.lit("\n".join([*before, ""])), F.expr(f"repeat({_quoted(again)} || chr(10), m)"), F.lit("\n".join(after)))
     made = [F.struct(F.concat(F.lit("src/"), "doc_id", F.lit(f".{ext}")).alias("path"), F.lit(language).alias("language"), content(before, again, after).alias("content")) for ext, language, before, again, after, _ in LEXED]
-    named = docs.select("h", F.explode(F.array(*made)).alias("f")).select("f.path", "f.language", F.regexp_replace("f.content", F.lit("H"), F.col("h")).alias("content"))
-    return chunking.chunk_files(named).select("path", "start_line", "end_line", _shown_symbols())
+    return docs.select("h", F.explode(F.array(*made)).alias("f")).select("f.path", "f.language", F.regexp_replace("f.content", F.lit("H"), F.col("h")).alias("content"))
 
 
 def _quoted(value: str) -> str:

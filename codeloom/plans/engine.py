@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import costs, porter, text
+from codeloom.functions import tables as table_functions
 from codeloom.operators import chunking, embedding, graph, grounding, retrieval, sync, vector_index
 from codeloom.runtime import discard, keep, ship
 from codeloom.sources import files as source_files
@@ -311,8 +312,9 @@ class Engine:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions ``detect_language`` and ``loc_of``, which are expanded into plans, and
-    ``porter_stem`` for vocabularies."""
+    """SQL functions ``detect_language`` and ``loc_of``, which are expanded into plans, ``porter_stem``
+    for vocabularies, and the table functions of ``functions.tables``."""
+    table_functions.register(spark)
     spark.udf.register("porter_stem", porter.porter_stem)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION loc_of(t STRING) RETURNS BIGINT RETURN length(t) - length(replace(t, '\n', '')) + 1")
     entry = lambda kv: ", ".join(f"'{k}', '{v}'" for k, v in kv.items())
