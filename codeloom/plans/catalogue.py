@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import costs, similarity, tables, text
 from codeloom.operators import chunking, graph, grounding, limiter, meaning, retrieval, sync, vector_index
+from codeloom.plans import tools
 from codeloom.runtime import shared_folder
 
 QUERY = "worthless stupid clown of the"
@@ -259,6 +260,19 @@ def symbol_range_join(spark, sf_dir):
     return rows.filter(F.size("own") > 0).select("doc_id", "start_line", "end_line", F.size("own").cast("long").alias("symbols"), F.array_min("own.line").alias("first_line"))
 
 
+RAW_SYMBOLS = ["[{{\"kind\": \"class\", \"name\": \"A{0}\", \"line\": 1}}, {{\"name\": \"b{0}\"}}]", "[\"a{0}\", \"b\"]", "[{{\"name\": \"cut{0}\"", "{{\"name\": \"no list{0}\"}}", ""]
+
+
+@query(
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'class:A' || doc_id || ':1,-:b' || doc_id || ':-' WHEN 1 THEN '-:a' || doc_id || ':-,-:b:-' ELSE '' END AS symbols FROM documents"
+)
+def symbols_of_json(spark, sf_dir):
+    """Symbols of stored JSON of five kinds, broken ones among them, and of none."""
+    raw = F.element_at(F.array(*(F.concat(F.lit(r.split("{0}")[0].format()), *(x for part in r.split("{0}")[1:] for x in (F.col("doc_id").cast("string"), F.lit(part.format())))) for r in RAW_SYMBOLS), F.lit(None)), (F.col("doc_id") % 6 + 1).cast("int"))
+    shown = F.transform(tools.symbols_of(raw), lambda s: F.concat_ws(":", F.coalesce(s["kind"], F.lit("-")), s["name"], F.coalesce(s["line"].cast("string"), F.lit("-"))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(shown, ",").alias("symbols"))
+
+
 # ---- files --------------------------------------------------------------------------------------
 
 
