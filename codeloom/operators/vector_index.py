@@ -122,7 +122,7 @@ def search(index: DataFrame, centroids: list[list[float]], key: str, embedding:
 
 def search_many(index: DataFrame, centroids: list[list[float]], queries: DataFrame, key: str, embedding: str, limit: int = retrieval.VECTOR, probes: int | None = None) -> DataFrame:
     """``query_id, key, cell, score, rank`` for a bounded set of ``query_id, query``, which meets the cells
-    that it probes by an equi-join; a query does not find its own key."""
+    that it probes by an equi-join; a query does not find its own key, nor vectors without direction."""
     held = np.array(centroids, np.float64)
     every = len(centroids) if probes is None else probes
 
@@ -130,8 +130,10 @@ def search_many(index: DataFrame, centroids: list[list[float]], queries: DataFra
     def cells(rows: pd.Series) -> pd.Series:
         return pd.Series([np.argsort(-(held @ np.array(r, np.float64)), kind="stable")[:every].astype("int32").tolist() for r in rows])
 
-    asked = queries.withColumn("cell", F.explode(cells(F.col("query").cast("array<double>"))))
-    met = index.join(F.broadcast(asked), "cell").filter(F.col(key) != F.col("query_id"))  # a stated query set
-    scored = met.select("query_id", key, "cell", similarity.cosine(F.col(embedding), F.col("query")).alias("score"))
+    # at length 1 before they meet, so that a pair costs one product
+    asked = queries.withColumn("cell", F.explode(cells(F.col("query").cast("array<double>")))).withColumn("query", unit(F.col("query")))
+    held_at = index.filter(directed(F.col(embedding), held.shape[1] if len(centroids) else 0)).select(key, "cell", unit(F.col(embedding)).alias("unit__"))
+    met = held_at.join(F.broadcast(asked), "cell").filter(F.col(key) != F.col("query_id"))  # a stated query set
+    scored = met.select("query_id", key, "cell", similarity.dot(F.col("unit__"), F.col("query")).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", place).filter(F.col("rank") <= limit)
