@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from codeloom.functions import costs, porter, text
 from codeloom.functions import tables as table_functions
 from codeloom.operators import chunking, embedding, graph, grounding, retrieval, sync, vector_index
-from codeloom.runtime import discard, keep, ship
+from codeloom.plans.progress import Progress, Subscription
+from codeloom.runtime import discard, keep, keep_counted, ship
 from codeloom.sources import files as source_files
 from codeloom.sources.ignore import IgnoreRules
 from codeloom.sources.store import BUCKET, Store, bucket_of
 
 SORT = {"postings": ["term"], "chunks": ["path"], "files": ["path"], "edges": ["source"], "imports": ["path"], "vectors": ["chunk_id"], "terms": ["term"]}
 BUCKETS, BUCKET_BYTES = (16, 4096), 64 << 20
-EMPTY_FILES = "path string, hash string, size long, loc long, language string, content string"
+STATES = ("new", "modified", "unchanged", "deleted")
 
 
 class NoIndex(LookupError):
@@ -33,20 +34,30 @@ class Engine:
         self.embedder = embedder or embedding.build_embedder()
         self.normalize_dotdot = normalize_dotdot
         self.listeners: list[Callable[[dict], None]] = []
+        self.progress, self._running = Progress(), False
         register(spark)
 
     # ---- writing --------------------------------------------------------------------------------
 
-    def _tell(self, phase: str, percent: float, state: str = "running", error: str = "") -> None:
-        status = {"state": state, "phase": phase, "percent": percent, "error": error, "at": time.time()}
-        self.store.put("status", status)
+    def _tell(self, phase: str, percent: float, state: str = "running", error: str = "", **counts: int) -> None:
+        """Counts stay in the statuses of a run once they are known."""
+        self._counts = {**({} if phase == "scan" else getattr(self, "_counts", {})), **counts}
+        status = {"state": state, "phase": phase, "percent": percent, "error": error, "at": time.time(), **self._counts}
+        with self.progress.news:  # a new subscriber sees it as the first or as an update
+            self.store.put("status", status)
+            self.progress.publish(status)
         for f in self.listeners:
             f(status)
 
+    def subscribe(self, idle: float = 1.5) -> Subscription:
+        """The status now, then each that follows; ends with a run, or after ``idle`` seconds without
+        news while none is under way."""
+        return self.progress.subscribe(self.status, lambda: self._running, idle)
+
     def status(self) -> dict:
         """A run that has not come to its end and is not ours counts as interrupted."""
         now = self.store.get("status", {"state": "idle"})
-        if now.get("state") == "running" and not getattr(self, "_running", False):
+        if now.get("state") == "running" and not self._running:
             return {**now, "state": "error", "error": "interrupted"}
         return now
 
@@ -70,32 +81,30 @@ class Engine:
         disk = disk.select("path", "hash", "size", "loc", "language", "content")
         old, manifest = self.store.tables(), self.store.manifest()
         first = "files" not in old
-        if first:
-            disk = keep(disk)
-        meta = disk.drop("content") if first else keep(disk.drop("content"))
+        held, totals = keep_counted(disk if first else disk.drop("content"), files=F.count(F.lit(1)), loc=F.coalesce(F.sum("loc"), F.lit(0)), size=F.coalesce(F.sum("size"), F.lit(0)))
+        disk, meta = (held, held.drop("content")) if first else (disk, held)
         known = self.spark.createDataFrame([], "path string, hash string") if first else self.store.frame(old, "files")
-        diff = keep(sync.changes(meta, known))
-        counts = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
-        done = {k: counts.get(k, 0) for k in ("new", "modified", "unchanged", "deleted")}
+        diff, done = keep_counted(sync.changes(meta, known), **{k: F.count_if(F.col("status") == k) for k in STATES})
+        told = {"files_total": totals["files"], "files_changed": done["new"] + done["modified"]}
         same_model = manifest.get("embedder") == self.embedder.name
         # how the edges are found beside the files' own imports
         how = [repo, go_module, self.normalize_dotdot]
         if not first and same_model and manifest.get("how") == how and done["unchanged"] == sum(done.values()):
             stats = {**manifest["stats"], "chunks_done": 0}
             self.store.publish(old, {**manifest, "stats": stats, "at": time.time()})
-            discard(meta, diff)
+            discard(held, diff)
             self.record_cost("indexing", 0, 0.0, self.embedder.name)
-            self._tell("done", 100, "done")
+            self._tell("done", 100, "done", **told)
             return {**done, **stats}
-        buckets = manifest.get("buckets") or self._buckets(meta)
-        self._tell("parse", 45)
+        buckets = manifest.get("buckets") or max(BUCKETS[0], min(BUCKETS[1], totals["size"] // BUCKET_BYTES))
+        self._tell("parse", 45, **told)
         at = bucket_of(F.col("path"), buckets)
         stale = diff.filter("status <> 'unchanged'")
         touched = {r[0] for r in stale.select(at).distinct().collect()}  # ``buckets`` at most
         fresh = disk.join(diff.filter("status in ('new', 'modified')").select("path"), "path", "left_semi")
         fresh = fresh if first else keep(fresh)
         terms = F.size(text.index_terms(F.col("content")))
-        made = keep(chunking.chunk_files(fresh).dropDuplicates(["chunk_id"]).withColumn("terms", terms))
+        made, added = keep_counted(chunking.chunk_files(fresh).dropDuplicates(["chunk_id"]).withColumn("terms", terms), chunks=F.count(F.lit(1)), tokens=F.coalesce(F.sum("token_est"), F.lit(0)))
 
         def change(name: str, rows: DataFrame) -> tuple[DataFrame, set[int] | None]:
             if first:
@@ -107,30 +116,23 @@ class Engine:
         listed = fresh.drop("content").join(per, "path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))).withColumn("indexed_at", F.lit(time.time()))
         changes = {"files": change("files", listed), "chunks": change("chunks", made), "postings": change("postings", words), "imports": change("imports", graph.imports(fresh.select("path", "content")))}
         tables = self.store.stage(old, changes, SORT)
-        self._tell("embed", 90)
+        self._tell("embed", 90, chunks_done=added["chunks"])
         tables, cells = self._embed(tables, manifest, made, stale, first or not same_model)
         self._tell("graph", 91)
         if touched or manifest.get("how") != how:
             tables = self._link(tables, buckets, how, first)
         chunks = self.store.frame(tables, "chunks")
-        figures = chunks.agg(F.count("*"), F.avg("terms"), F.coalesce(F.sum("token_est"), F.lit(0))).first()
-        totals = meta.agg(F.count("*"), F.coalesce(F.sum("loc"), F.lit(0))).first()
+        figures = chunks.agg(F.count("*"), F.avg("terms")).first()
         languages = {r[0]: r[1] for r in meta.filter("language is not null").groupBy("language").count().orderBy(F.desc("count"), "language").limit(12).collect()}
-        added = made.agg(F.count("*"), F.coalesce(F.sum("token_est"), F.lit(0))).first()
-        stats = {"files": totals[0], "loc": totals[1], "chunks": figures[0], "chunks_done": added[0], "languages": languages}
+        stats = {"files": totals["files"], "loc": totals["loc"], "chunks": figures[0], "chunks_done": added["chunks"], "languages": languages}
         self._tell("finalize", 97)
         self._forget_guide(stale)
         self.store.publish(tables, {"repo": repo, "embedder": self.embedder.name, "size": self.embedder.size, "n": figures[0], "avgdl": figures[1] or 0.0, "stats": stats, "at": time.time(), "buckets": buckets, "how": how, **cells})
-        discard(*([disk] if first else [meta, fresh]), diff, made)
-        self.record_cost("indexing", added[1], self._price(added[1]), self.embedder.name)
+        discard(*([held] if first else [held, fresh]), diff, made)
+        self.record_cost("indexing", added["tokens"], self._price(added["tokens"]), self.embedder.name)
         self._tell("done", 100, "done")
         return {**done, **stats}
 
-    def _buckets(self, meta: DataFrame) -> int:
-        """Buckets of a new index: about ``BUCKET_BYTES`` of sources each, between two bounds."""
-        size = meta.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        return max(BUCKETS[0], min(BUCKETS[1], int(size // BUCKET_BYTES)))
-
     def _embed(self, tables: dict, manifest: dict, made: DataFrame, stale: DataFrame, anew: bool) -> tuple[dict, dict]:
         """Vectors of chunks that have none yet, each in the cell of its nearest centroid.  They are laid
         out by cell; an incremental sync writes the cells that lose or get a vector.  The cells are made

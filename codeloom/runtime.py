@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _shipped: set[str] = set()
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -65,6 +65,16 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
+def keep_counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """``keep``, and aggregates of the rows taken while they are written.
+
+    They are observed in the stage that writes, whose tasks count once however often they are tried,
+    so that lost executors do not count rows twice.  Aggregates of no rows are as Spark defines them."""
+    seen = Observation()
+    kept = keep(df.observe(seen, *[c.alias(name) for name, c in figures.items()]))
+    return kept, dict(seen.get)
+
+
 def discard(*kept: DataFrame) -> None:
     """Deletes steps that ``keep`` returned and that no later result reads."""
     for df in kept:

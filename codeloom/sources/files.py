@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
-from codeloom.runtime import keep
-from codeloom.sources.ignore import EXTENSIONS, FOLDERS, IGNORE_FILES, IgnoreRules
+from codeloom.runtime import keep, ship
+from codeloom.sources.ignore import ANYWHERE, EXTENSIONS, FOLDERS, IGNORE_FILES, IgnoreRules
+from codeloom.sources.walk import opener, walk
 
 MAX_KB = 512
 
@@ -42,16 +43,16 @@ class Tree:
         finally:
             stream.close()
 
-    def hidden(self, rules: IgnoreRules, folder: str = "", below: bool = False) -> Iterator[tuple[str, int]]:
+    def hidden(self, ignores: Callable[[str, bool], bool], folder: str = "", below: bool = False) -> Iterator[tuple[str, int]]:
         """Path and size of files that Spark's sources pass over: those that have, or lie in a
         folder that has, a name starting with a dot or an underscore.  Ignored folders are pruned."""
         for s in self._fs.listStatus(self._path(f"{self.root}/{folder}" if folder else self.root)):
             name = s.getPath().getName()
             path, secret = f"{folder}/{name}" if folder else name, below or name[0] in "._"
             if s.isDirectory():
-                if not rules.ignores(path) and not rules.ignores(path + "/"):
-                    yield from self.hidden(rules, path, secret)
-            elif secret and not rules.ignores(path):
+                if not ignores(path, True):
+                    yield from self.hidden(ignores, path, secret)
+            elif secret and not ignores(path, False):
                 yield path, s.getLen()
 
 
@@ -64,7 +65,7 @@ def read_rules(tree: Tree, folders: list[str]) -> IgnoreRules:
 def _hidden_rows(spark: SparkSession, tree: Tree, rules: IgnoreRules, most: int) -> list[DataFrame]:
     """Contents of hidden files of bounded size, a table for each batch of bounded bytes."""
     out, rows, held = [], [], 0
-    for path, size in tree.hidden(rules):
+    for path, size in tree.hidden(rules.matcher()):
         if size <= most:
             rows.append((path, size, bytearray(tree.read(path) or b"")))
             held += size
@@ -74,23 +75,16 @@ def _hidden_rows(spark: SparkSession, tree: Tree, rules: IgnoreRules, most: int)
     return [*out, spark.createDataFrame(rows, RAW)] if rows else out
 
 
-def scan(spark: SparkSession, root: str, folders: list[str] | None = None, extensions: list[str] | None = None, max_kb: int = MAX_KB, rules: IgnoreRules | None = None) -> DataFrame:
-    """``path, hash, size, loc, language, content`` of the text files below ``root``.
-
-    Paths, sizes and endings are decided on a listing of its own, which has no content; only the files
-    that it leaves are opened, ``TOGETHER`` paths in a read.  Then files with a NUL or invalid UTF-8 near
-    their start are left out as binary."""
-    tree = Tree(spark, root)
-    rules = rules or read_rules(tree, FOLDERS if folders is None else folders)
-    ends = [e.lstrip(".").lower() for e in (EXTENSIONS if extensions is None else extensions)]
-    plain = F.regexp_replace("path", r"^[a-z0-9+.-]+:(?://[^/]*)?", "")
-    start = len(re.sub(r"^[a-z0-9+.-]+:(?://[^/]*)?", "", tree.root)) + 2
-    inside = F.substring(plain, start, 1 << 20).alias("path")
-    name = F.lower(text.basename(F.col("path")))
-    ended = text.extension(F.col("path")).isin(ends) & ~name.isin(*IGNORE_FILES)
-    wanted = ~ended & ~rules.ignored(F.col("path"))
+def _through_spark(spark: SparkSession, tree: Tree, root: str, rules: IgnoreRules, most: int, wanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """For a store that only Spark's readers reach: a listing of all its files, then the picked ones,
+    ``TOGETHER`` paths in a read, and the hidden ones through the driver, ``BATCH`` bytes at a time.
+    Rules meet whole paths here, so one may take back what lies in an ignored folder."""
+    address = r"^[a-z0-9+.-]+:(?://[^/]*)?"
+    start = len(re.sub(address, "", tree.root)) + 2
+    inside = F.substring(F.regexp_replace("path", address, ""), start, 1 << 20).alias("path")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    chosen = keep(listed.filter(F.col("length") <= max_kb * 1024).select(F.col("path").alias("at"), inside).filter(wanted).select("at"))
+    nested = F.col("path").rlike("(?:^|/)(?:" + "|".join(map(re.escape, ANYWHERE)) + ")/")
+    chosen = keep(wanted(listed.select(F.col("path").alias("at"), inside, "length").filter(~rules.ignored(F.col("path")) & ~nested)).select("at"))
     rows, held = spark.createDataFrame([], RAW), []
 
     def opened(paths: list[str]) -> DataFrame:
@@ -102,8 +96,30 @@ def scan(spark: SparkSession, root: str, folders: list[str] | None = None, exten
             rows, held = rows.unionByName(opened(held)), []
     if held:
         rows = rows.unionByName(opened(held))
-    for part in _hidden_rows(spark, tree, rules, max_kb * 1024):
-        rows = rows.unionByName(part.filter(wanted))
+    for part in _hidden_rows(spark, tree, rules, most):
+        rows = rows.unionByName(wanted(part))
+    return rows
+
+
+def scan(spark: SparkSession, root: str, folders: list[str] | None = None, extensions: list[str] | None = None, max_kb: int = MAX_KB, rules: IgnoreRules | None = None) -> DataFrame:
+    """``path, hash, size, loc, language, content`` of the text files below ``root``.
+
+    Tasks walk the tree and enter no ignored folder; sizes and endings are decided on the listing, and
+    only the files that it leaves are opened, by tasks too.  Then files with a NUL or invalid UTF-8 near
+    their start are left out as binary.  An ignored folder is not entered, so no rule takes back what
+    lies in it.  An empty tree gives no rows."""
+    ship(spark)
+    tree = Tree(spark, root)
+    rules = rules or read_rules(tree, FOLDERS if folders is None else folders)
+    ends = [e.lstrip(".").lower() for e in (EXTENSIONS if extensions is None else extensions)]
+    name = F.lower(text.basename(F.col("path")))
+    ended = text.extension(F.col("path")).isin(ends) & ~name.isin(*IGNORE_FILES)
+
+    def wanted(listed: DataFrame) -> DataFrame:
+        return listed.filter(~ended & (F.col("length") <= max_kb * 1024))
+
+    opened = opener(tree.root)
+    rows = _through_spark(spark, tree, root, rules, max_kb * 1024, wanted) if opened is None else walk(spark, opened, rules, wanted)
     rows = rows.filter(~text.looks_binary(F.col("content")))
     rows = rows.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return rows.select("path", "hash", "size", text.lines_of_code(F.col("content")).alias("loc"), text.language(F.col("path")).alias("language"), "content")

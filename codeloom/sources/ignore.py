@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Ignore files that are read at the root, and what is left out unless configured.
 IGNORE_FILES = (".gitignore", ".loomignore")
+ANYWHERE = ("__pycache__", ".git")  # folders that are passed over at any depth
 FOLDERS = ["node_modules", ".venv", "venv", "dist", "build", "target", "__pycache__", ".git"]
 EXTENSIONS = [".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".tar", ".gz", ".so", ".dll", ".exe", ".bin", ".woff", ".woff2", ".ttf", ".mp4", ".mp3", ".lock"]
 
@@ -80,11 +82,27 @@ class IgnoreRules:
         return out
 
     def ignores(self, path: str) -> bool:
+        return self.matcher()(path, False)
+
+    def matcher(self) -> Callable[[str, bool], bool]:
+        """Whether a path below the root is passed over, for walks that do not enter a folder of which
+        this holds.  The second argument says that the path is a folder's: rules that end in a slash
+        only hold for those, and ``ANYWHERE`` does."""
+        files = []
         for lines in self.files:
-            hit = False
-            for ignores, pattern in filter(None, map(compile_rule, lines)):
-                if re.match(pattern, path):
-                    hit = ignores
-            if hit:
+            compiled = filter(None, map(compile_rule, lines))
+            files.append([(ignores, re.compile(pattern), pattern.endswith("/.*$")) for ignores, pattern in compiled][::-1])
+        roots = {f.strip("/") for f in self.folders if f.strip("/")}
+
+        def passed_over(path: str, folder: bool) -> bool:
+            if folder and path.rsplit("/", 1)[-1] in ANYWHERE or path in roots or any(path.startswith(f + "/") for f in roots):
                 return True
-        return any(path == f.strip("/") or path.startswith(f.strip("/") + "/") for f in self.folders if f.strip("/"))
+            for rules in files:
+                for ignores, pattern, folders_only in rules:
+                    if pattern.match(path + "/" if folder and folders_only else path):
+                        if ignores:
+                            return True
+                        break
+            return False
+
+        return passed_over
