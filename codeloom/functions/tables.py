@@ -1,6 +1,7 @@
 """Table functions for SQL: ``SELECT ... FROM files, LATERAL chunk_file(path, language, content)``.
 
-Rows travel in Arrow batches; a null language or content gives no rows."""
+Rows travel pickled, many at a time: with Arrow each call would make a batch of its own, since a
+lateral call's rows belong to one file.  A null language or content gives no rows."""
 
 from __future__ import annotations
 
@@ -10,15 +11,15 @@ from pyspark.sql.functions import udtf
 from codeloom.operators import chunking
 
 
-@udtf(returnType=f"ordinal int, start_line int, end_line int, symbols array<{chunking.SYMBOL}>, content string", useArrow=True)
+@udtf(returnType=f"ordinal int, start_line int, end_line int, symbols array<{chunking.SYMBOL}>, content string", useArrow=False)
 class ChunkFile:
     def eval(self, language: str, content: str):
         if language is not None and content is not None:
             for k, (a, b, text, symbols) in enumerate(chunking.chunk_file(content, language)):
-                yield k, a, b, [{"kind": s[0], "name": s[1], "line": s[2]} for s in symbols], text
+                yield k, a, b, [tuple(s) for s in symbols], text
 
 
-@udtf(returnType="kind string, name string, line int", useArrow=True)
+@udtf(returnType="kind string, name string, line int", useArrow=False)
 class FileSymbols:
     def eval(self, language: str, content: str):
         if language is not None and content is not None:
