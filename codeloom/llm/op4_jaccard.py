@@ -12,23 +12,26 @@
 3. Leaves: sets are dealt to groups of bounded size by the least of their prefix codes under
    ``ROUNDS`` hashes, and a signature tree is traversed in each; near copies nearly always meet here,
    and each set is sent ``ROUNDS`` times at most.
-4. What is left: codes whose documents are not all linked by now.  Their sets are cut by the
-   component they stand beside, size and hash into blocks; each pair of blocks that share such a code, have sizes that may match
-   and are not one component yet is a task, in which two signature trees (nodes with OR-combined
-   bitmaps and size ranges) are traversed against each other.
-   Node pairs are pruned when their sizes or their largest possible overlap cannot reach the
-   threshold, or when all their documents are linked already; pairs that are left are compared
-   exactly, by whole sets.
+4. What is left: codes whose documents are not all linked by now.  Sets that share such a code are a
+   group.  A small group is one signature tree.  In a large one, whose sets may all be like one another
+   without being linked, each set is replaced by its differences from the group's base (the shingles of
+   over half of a few sampled sets; any base gives the same links).  Sets near to the base are linked
+   outright; any other two that link have shared differences, so a prefix filter on these, the rarest
+   first, deals them to trees.  Each set goes to one tree for each shared code in its prefix (and to
+   ``many / 512`` parts of one where more than 512 sets share the code), not to every block of its group.
+   In a tree (nodes with OR-combined bitmaps and size ranges), pairs of nodes are pruned when their
+   sizes or their largest possible overlap cannot reach the threshold, or when all their documents
+   are linked already; pairs that are left are compared exactly, by whole sets.
 5. The links' connected components are the classes.
 
 Null or empty texts have an empty set and no links; texts with fewer words than a shingle have one
 shingle, the whole sequence.  Repeated rows and copies get the class of their set.  Null ids are
-kept, link to nothing and are nobody's smallest id.  Extra columns are ignored.
+kept, link to nothing and are nobody's smallest id.  Very long texts are cut into shingles by
+stretches and held as one set each.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -455,31 +458,147 @@ def leaf_deals(least: DataFrame, members: DataFrame, block: int) -> DataFrame:
     return deals
 
 
-def block_deals(members: DataFrame, left: DataFrame, threshold: int, block: int) -> DataFrame:
-    """Deals ``sid, doc_id, h, h2, n, key, comp`` to pairs of blocks that share a code of ``left``
-    (``code, sid``) and may hold a new link."""
-    # blocks: by key and size class, so that classes further apart never meet; a component of half a
-    # block or more has blocks of its own, the others of a key share blocks by a hash
-    step = math.log(100 / threshold)
-    classed = members.withColumn("level", F.floor(F.log(F.col("n")) / step + 1e-9))
-    parts = classed.groupBy("key", "level", "comp").agg(F.count("*").alias("own"))
-    many = parts.groupBy("key", "level").agg(F.sum(F.when(F.col("own") * 2 < block, F.col("own")).otherwise(0)).alias("many"))
-    sized = common.keep(parts.join(many, ["key", "level"]))
-    placed = join_hot(classed, sized, ["key", "level", "comp"], "own")
-    split = F.xxhash64("comp", F.pmod(F.xxhash64("sid"), F.ceil(F.col("own") / block)))
-    part = F.when(F.col("own") * 2 >= block, split).otherwise(F.pmod(F.xxhash64("comp"), F.greatest(F.ceil(F.col("many") / block), F.lit(1))))
-    placed = common.keep(placed.select("sid", "doc_id", "h", "h2", "comp", "level", F.xxhash64("key", "level", part).alias("node")))
-    nodes = placed.groupBy("node").agg(F.first("level").alias("level"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    posts = common.keep(left.select("code", "sid").join(placed.select("sid", "node"), "sid").select("code", "node").distinct())
-    met = posts.join(posts.select("code", F.col("node").alias("node2")), "code").filter("node <= node2").select("node", "node2").distinct()
-    near = F.abs(F.col("level2") - F.col("level")) <= 1
-    done = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
-    both = met.join(nodes, "node").join(nodes.select(*(F.col(c).alias(f"{c}2") for c in nodes.columns)), "node2")
-    tasks = common.keep(both.filter(near & ~done).select("node", "node2", F.xxhash64("node", "node2").alias("task")))
-    sides = tasks.select("task", "node", F.lit(0).alias("side")).union(tasks.filter("node <> node2").select("task", F.col("node2").alias("node"), F.lit(1).alias("side")))
-    deals = common.keep(placed.join(sides, "node").groupBy("doc_id", "sid", "h", "h2", "comp").agg(F.collect_list(F.struct("task", "side")).alias("deals")))
-    common.discard(sized, placed, posts, tasks)
-    return deals
+def sampled_bases(picked: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``key, size, codes, counts``: of the ``size`` sets picked from a group, the codes that at least two
+    hold, and how many do.  ``picked``: ``doc_id, sid, h, h2, key``."""
+    texts = may_hold(docs, picked, ["doc_id"]).join(picked, "doc_id").select("text", "sid", "h", "h2", "key")
+
+    def send(batches):
+        for batch in batches:
+            sid, h, h2, key = (batch.column(k).to_pylist() for k in range(1, 5))
+            for k, tokens in shingle_sets(batch.column(0), width):
+                if tokens.size and set_hashes(tokens) == (h[k], h2[k]):
+                    yield pa.RecordBatch.from_arrays([pa.array([key[k]], pa.int64()), pa.array([sid[k]], pa.int64()), pa.array([tokens.tobytes()], pa.binary())], ["key", "sid", "blob"])
+
+    def add(key, group):
+        _, one = np.unique(group.column("sid").to_numpy(), return_index=True)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.take(pa.array(one)).column("blob")]
+        codes, count = np.unique(np.concatenate(sets), return_counts=True)
+        codes, count = codes[count > 1], count[count > 1].astype(np.int32)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([len(sets)], pa.int32()), pa.array([codes.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], names=["key", "size", "codes", "counts"])
+
+    return texts.mapInArrow(send, "key long, sid long, blob binary").groupBy("key").applyInArrow(add, "key long, size int, codes binary, counts binary")
+
+
+def difference(tokens: np.ndarray, size: int, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The codes in which a set and the base (codes that over half of the sampled sets hold) differ,
+    those first that the fewest sampled sets have in theirs; an order that all sets of a group share."""
+    base = codes[2 * counts > size]
+    own, gone = np.setdiff1d(tokens, base, assume_unique=True), np.setdiff1d(base, tokens, assume_unique=True)
+    both, often = np.concatenate([own, gone]), np.zeros(own.size + gone.size, np.int64)
+    if codes.size:
+        at = np.minimum(np.searchsorted(codes, both), codes.size - 1)
+        often = np.where(codes[at] == both, counts[at], 0)
+        often[own.size :] = size - often[own.size :]
+    return both[np.lexsort([both, often])]
+
+
+def differences(large: DataFrame, bases: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """``key, sid, n, d, slack, codes``: for each set of a large group the number of codes in which it
+    differs from its group's base, and as many of them as a prefix may take.
+
+    With ``D`` for these differences, two sets differ in ``|D(x) ^ D(y)|`` codes, and they link when
+    ``(100 + t) |D(x) ^ D(y)| <= (100 - t) (n(x) + n(y))``.  ``slack = (100 - t) n - (100 + t) d``."""
+    parts = F.greatest(F.ceil(F.col("many") / 1024), F.lit(1))
+    rows = may_hold(docs, large, ["doc_id"]).join(large, "doc_id").withColumn("part", F.pmod(F.xxhash64("sid"), parts))
+    # one copy of a base for each 1,024 sets, so that no group gathers in one task of the join
+    spread = bases.join(large.select("key", "many").distinct(), "key").select("key", "size", "codes", "counts", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    dealt = rows.join(spread, ["key", "part"], "left").select("text", "h", "h2", "key", "sid", "size", "codes", "counts")
+
+    def run(batches):
+        at, base = None, None
+        for batch in batches:
+            h, h2, key, sid = (batch.column(k).to_pylist() for k in range(1, 5))
+            out = []
+            for k, tokens in shingle_sets(batch.column(0), width):
+                if not tokens.size or set_hashes(tokens) != (h[k], h2[k]):
+                    continue
+                if at != key[k]:
+                    blobs = [b"" if (x := batch.column(c)[k].as_py()) is None else x for c in (6, 7)]
+                    at, base = key[k], (batch.column(5)[k].as_py() or 0, np.frombuffer(blobs[0], np.uint64), np.frombuffer(blobs[1], np.int32))
+                d = difference(tokens, *base)
+                most = (100 - threshold) * tokens.size // threshold + 1
+                out.append((key[k], sid[k], tokens.size, d.size, (100 - threshold) * tokens.size - (100 + threshold) * d.size, d[:most].astype(np.int64)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (*[pa.int64()] * 5, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["key", "sid", "n", "d", "slack", "codes"])
+
+    # a set may come from several rows of an id and from other partitions: one is enough
+    return dealt.mapInArrow(run, "key long, sid long, n long, d long, slack long, codes array<long>").dropDuplicates(["key", "sid"])
+
+
+def open_groups(left: DataFrame, members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Sets that share a code of ``left`` (``code, sid, comp, most``) share a group, that of the code's
+    ``most``.  Returns the sets of groups of up to ``4 * block`` (and of 2^21 codes), and of others."""
+    groups = left.select(F.col("most").alias("key"), "sid", "comp").distinct().join(members, "sid")
+    groups = common.keep(groups)
+    sized = groups.groupBy("key").agg(F.count("*").alias("many"), F.sum("n").alias("weight"))
+    tagged = common.keep(join_hot(groups, common.keep(sized), ["key"], "many"))
+    is_small = (F.col("many") <= 4 * block) & (F.col("weight") <= 1 << 21)
+    return tagged.filter(is_small), tagged.filter(~is_small)
+
+
+def certain_links(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, top, star, many`` of each group, and links ``a, b`` to the set of most slack.
+
+    Two sets whose slacks add up to no less than 0 link whatever their differences are; then both
+    link to the set of most slack, so these links join all that such pairs join."""
+    stars = common.keep(diffs.groupBy("key").agg(F.max("slack").alias("top"), F.max_by("sid", F.struct("slack", "sid")).alias("star"), F.count("*").alias("many")))
+    sure = join_hot(diffs.select("key", "sid", "slack"), stars, ["key"], "many").filter("slack + top >= 0 and sid <> star")
+    return stars, common.keep(sure.select(F.col("sid").alias("a"), F.col("star").alias("b")).distinct())
+
+
+def difference_deals(diffs: DataFrame, stars: DataFrame, comps: DataFrame, threshold: int, part: int = 512) -> DataFrame:
+    """``sid, task, side``: deals sets of large groups to tasks, by codes of their differences.
+
+    Slacks of any other pair add up to less than 0, so it can only link if its differences share a code.
+    The first shared code in the common order has in front of it, in each set, only codes that the
+    other set's differences lack: at most ``(100 - t) n / (100 + t)`` in the set of more slack, and in
+    the other ``((100 - t) n + (100 + t) d + top) / 2 (100 + t)``, and ``(100 - t) n / t`` in any."""
+    t = threshold
+    high = F.floor((100 - t) * F.col("n") / (100 + t)) + 1
+    low = F.least(F.floor((100 - t) * F.col("n") / t), F.floor(((100 - t) * F.col("n") + (100 + t) * F.col("d") + F.col("top")) / (2 * (100 + t)))) + 1
+    cut = join_hot(diffs, stars, ["key"], "many").filter(low > 0)
+    each = cut.select("key", "sid", high.alias("high"), F.posexplode(F.slice("codes", F.lit(1), low.cast("int"))).alias("pos", "code"))
+    posts = common.keep(each.select("key", "sid", "code", (F.col("pos") < F.col("high")).alias("high")).join(comps, "sid"))
+    lists = posts.groupBy("key", "code").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("sid")).alias("sids"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("high").alias("any"))
+    lists = common.keep(lists.filter("least < most and any").select("key", "code", "many", "sids"))
+    # codes with the same sets are one task
+    placed = join_hot(posts.select("key", "code", "sid"), lists, ["key", "code"], "many").select("sid", F.xxhash64("key", "many", "sids").alias("list"), F.ceil(F.col("many") / part).alias("parts")).distinct()
+    own = F.pmod(F.xxhash64("sid"), F.col("parts"))
+    pairs = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    out = common.keep(pairs.select("sid", F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side")))
+    common.discard(posts, lists)
+    return out
+
+
+def open_links(left: DataFrame, members: DataFrame, docs: DataFrame, threshold: int, width: int, block: int) -> DataFrame:
+    """Links ``a, b`` between sets of unlike components that share a code of ``left``."""
+    small, large = open_groups(left, members, block)
+    # each code of a set may name another group; their number is that of its open codes at most
+    deals = small.select("sid", F.xxhash64("key").alias("task"), F.lit(0).alias("side"))
+    known = small.select("sid", "doc_id", "h", "h2", "comp").distinct()
+    if large.isEmpty():
+        return verified(_listed(deals, known), docs, threshold, width)
+    picked = common.keep(large.filter(F.pmod(F.xxhash64(F.lit(1), "sid"), F.greatest(F.ceil(F.col("many") / block), F.lit(1))) == 0).select("doc_id", "sid", "h", "h2", "key"))
+    bases = common.keep(sampled_bases(picked, docs, width))
+    diffs = common.keep(differences(large.select("doc_id", "sid", "h", "h2", "key", "many"), bases, docs, threshold, width))
+    stars, sure = certain_links(diffs)
+    known = common.keep(known.unionByName(large.select("sid", "doc_id", "h", "h2", "comp")).distinct())
+    # components that the certain links join are one from here on
+    named = known.select("sid", "comp")
+    ends = sure.join(named.select(F.col("sid").alias("a"), F.col("comp").alias("x")), "a").join(named.select(F.col("sid").alias("b"), F.col("comp").alias("y")), "b")
+    joined = common.keep(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("comp"), "component"))
+    known = common.keep(known.join(joined, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component"))
+    more = difference_deals(diffs, stars, known.select("sid", "comp"), threshold)
+    found = verified(_listed(deals.unionByName(more), known), docs, threshold, width)
+    return found.unionByName(sure)
+
+
+def _listed(deals: DataFrame, known: DataFrame) -> DataFrame:
+    """Deals of each set as one array, beside what ``verified`` needs."""
+    lists = deals.groupBy("sid").agg(F.collect_set(F.struct("task", "side")).alias("deals"))
+    return common.keep(lists.join(known, "sid").select("doc_id", "sid", "h", "h2", "comp", "deals"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block: int = BLOCK) -> DataFrame:
@@ -514,12 +633,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block:
     most = F.max_by("comp", F.struct("many", "comp")).alias("most")  # the component with most sets
     still = per.groupBy("code").agg(F.count("*").alias("comps"), most).filter("comps > 1")
     left = common.keep(named.join(still.select("code", "most"), "code"))
-    # sets go with the component that most of their open codes mostly belong to
-    beside = left.groupBy("sid", "comp", "most").agg(F.count("*").alias("many")).groupBy("sid", "comp").agg(F.max_by("most", F.struct("many", "most")).alias("key"))
-    some = members.join(beside, "sid")
-    deals = block_deals(some, left, threshold, block)
-    last = common.keep(verified(deals, docs, threshold, width))
-    common.discard(posts, least, left, deals)
+    last = common.keep(open_links(left, members, docs, threshold, width, block))
+    common.discard(posts, least, left)
     # the second round's links, between the first one's components
     to = comps.select(F.col("sid").alias("a"), F.col("comp").alias("x"))
     both = last.join(to, "a", "left").join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")

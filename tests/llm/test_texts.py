@@ -211,6 +211,53 @@ def test_near_duplicates_chains(spark):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in op4_jaccard.near_duplicates(df, block=block).collect()) == brute_classes(docs)
 
 
+def edited_copies(many, seed=5, edits=2):
+    """Copies of one text of 100 words with edits at random places: few of their pairs link."""
+    rng = np.random.default_rng(seed)
+    docs = []
+    for i in range(1, many + 1):
+        text = [f"base{k}" for k in range(100)]
+        for _ in range(edits):
+            text[rng.integers(100)] = f"edit{rng.integers(1 << 30)}"
+        docs.append((i, " ".join(text)))
+    return docs
+
+
+@pytest.mark.parametrize(("many", "block", "edits"), [(420, 64, 2), (90, 3, 3)])
+def test_near_duplicates_of_one_group(spark, many, block, edits):
+    docs = edited_copies(many, edits=edits)
+    docs += [(1000 + k, " ".join(f"base{j}" for j in range(40, 70)) + f" other{k} " + " ".join(f"own{k}x{j}" for j in range(k % 9))) for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op4_jaccard.near_duplicates(df, block=block).collect())
+    assert got == brute_classes(docs)
+
+
+def test_rows_sent_grow_with_the_group(spark, monkeypatch):
+    sent, before = [], op4_jaccard.verified
+
+    def counting(deals, *more):
+        sent.append(deals.agg(F.sum(F.size("deals"))).first()[0] or 0)
+        return before(deals, *more)
+
+    monkeypatch.setattr(op4_jaccard, "verified", counting)
+    totals = []
+    for many in (400, 1600):
+        sent.clear()
+        op4_jaccard.near_duplicates(spark.createDataFrame(edited_copies(many), "doc_id long, text string")).count()
+        totals.append(sum(sent))
+    assert totals[1] < 5 * totals[0], totals
+
+
+def test_difference_prefixes():
+    rng = np.random.default_rng(1)
+    tokens = np.unique(rng.integers(0, 1 << 60, 50).astype(np.uint64))
+    codes, counts = tokens[:30], np.full(30, 8, np.int32)
+    got = op4_jaccard.difference(tokens[5:], 10, codes, counts)
+    assert sorted(got.tolist()) == sorted({*tokens[5:].tolist()} ^ {*codes.tolist()})
+    assert got[-1] in tokens[:5]  # missing in few sampled sets, so behind what none of them holds
+    assert op4_jaccard.difference(tokens, 0, codes[:0], counts[:0]).tolist() == tokens.tolist()
+
+
 def test_long_text_in_stretches(monkeypatch):
     import pyarrow as pa
 
