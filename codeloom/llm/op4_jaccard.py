@@ -631,10 +631,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, block:
     named = posts.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     per = named.groupBy("code", "comp").agg(F.count("*").alias("many"))
     most = F.max_by("comp", F.struct("many", "comp")).alias("most")  # the component with most sets
-    still = per.groupBy("code").agg(F.count("*").alias("comps"), most).filter("comps > 1")
-    left = common.keep(named.join(still.select("code", "most"), "code"))
+    still = per.groupBy("code").agg(F.count("*").alias("comps"), most, F.sum("many").alias("total")).filter("comps > 1")
+    still = common.keep(still.select("code", "most", "total"))
+    left = common.keep(join_hot(named, still, ["code"], "total").select("code", "sid", "comp", "most"))
     last = common.keep(open_links(left, members, docs, threshold, width, block))
-    common.discard(posts, least, left)
+    common.discard(posts, least, still, left)
     # the second round's links, between the first one's components
     to = comps.select(F.col("sid").alias("a"), F.col("comp").alias("x"))
     both = last.join(to, "a", "left").join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")
