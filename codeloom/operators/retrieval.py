@@ -52,17 +52,27 @@ def bm25(docs: DataFrame, key: str, content: str, phrases: list[list[str]], limi
     return hit.orderBy(F.desc("score"), key).limit(limit) if limit else hit
 
 
-def postings(docs: DataFrame, key: str, content: str, stemmed: bool = False) -> DataFrame:
+def postings(docs: DataFrame, key: str, content: str, stemmed: bool = False, terms: list[str] | None = None) -> DataFrame:
     """``term, key, tf, positions, dl``: the inverted index; sort by term when it is written.
 
     ``stemmed``: of folded terms' Porter stems.  Words are grouped before they are stemmed, and only
-    the vocabulary is: each distinct word once for a task's batch, not running text."""
-    words = text.index_terms(F.col(content)) if stemmed else text.analyze(F.col(content))
-    tokens = docs.select(key, words.alias("tokens"))
+    the vocabulary is: each distinct word once for a task's batch, not running text.
+    ``terms``: the rows of these terms alone.  Their spellings are looked up in the vocabulary of
+    their first letters, so that no other word of a text is grouped or sent."""
+    tokens = docs.select(key, text.analyze(F.col(content)).alias("tokens"))
     each = tokens.select(key, F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-    if not stemmed:
+    stem = porter.porter_stem(text.folded(F.col("term")))  # folding moves no end of a term, so it can wait for the vocabulary
+    if stemmed and terms is not None:
+        # no step of the stemmer or of folding changes a term's first letter but for its diacritics
+        first = {t[:1] for t in terms} | {k for k, plain in zip(*text.FOLDED, strict=True) if plain in {t[:1] for t in terms}}
+        each = keep(each.filter(F.substring("term", 1, 1).isin(sorted(first))))
+        wanted = keep(each.select("term").distinct().withColumn("stem", stem).filter(F.col("stem").isin(terms)))
+        each = each.join(F.broadcast(wanted), "term").select(F.col("stem").alias("term"), key, "dl", "pos")  # few: suffixes are a fixed list
+    elif terms is not None:
+        each = each.filter(F.col("term").isin(terms))
+    if not stemmed or terms is not None:
         return each.groupBy("term", key, "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    spelled = each.groupBy("term", key, "dl").agg(F.collect_list("pos").alias("positions")).withColumn("term", porter.porter_stem("term"))
+    spelled = each.groupBy("term", key, "dl").agg(F.collect_list("pos").alias("positions")).withColumn("term", stem)
     joined = spelled.groupBy("term", key, "dl").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return joined.select("term", key, "dl", F.size("positions").alias("tf"), "positions")
 

@@ -180,3 +180,14 @@ def test_registry(spark, tmp_path):
 def test_costs(spark):
     assert one(spark, costs.actual(F.lit("openai"), F.lit("gpt-4o-mini"), F.lit(1_000_000))) == 0.4
     assert one(spark, costs.model_route(F.lit("anthropic"), F.lit("x"))) == "anthropic/x" and one(spark, costs.model_route(F.lit("openai"), F.lit("gpt-4o"))) == "gpt-4o"
+
+
+def test_stemmed_postings_of_a_search_group_its_own_words_only(spark):
+    docs = spark.createDataFrame([(1, "Parsing parsed the élément parses"), (2, "other words only"), (3, None), (4, "parse ELEMENTS")], "k int, t string")
+    whole = retrieval.postings(docs, "k", "t", stemmed=True).filter("term in ('pars', 'element')").collect()
+    own = retrieval.postings(docs, "k", "t", stemmed=True, terms=["element", "pars"])
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, whole)) and len(whole) == 4
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")  # texts' words meet the spellings below the grouping
+    plain = retrieval.postings(docs, "k", "t", terms=["the"]).collect()
+    assert [(r.term, r.k, r.tf, r.positions) for r in plain] == [("the", 1, 1, [2])]
