@@ -19,16 +19,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.functions import similarity
 from codeloom.operators import retrieval
 
 MOST_CELLS, PER_CELL, LEAST, ROUNDS, SEED = 4096, 256, 1024, 10, 17
 TARGET, ASKED = 0.95, 64
+#: Vectors of a block, queries that meet one at a time, and how far a matrix product may be off.
+BLOCK, SLICE, MARGIN = 16_384, 64, 1e-9
 
 
 def cells_for(n: int) -> int:
@@ -121,19 +125,101 @@ def search(index: DataFrame, centroids: list[list[float]], key: str, embedding:
 
 
 def search_many(index: DataFrame, centroids: list[list[float]], queries: DataFrame, key: str, embedding: str, limit: int = retrieval.VECTOR, probes: int | None = None) -> DataFrame:
-    """``query_id, key, cell, score, rank`` for a bounded set of ``query_id, query``, which meets the cells
-    that it probes by an equi-join; a query does not find its own key, nor vectors without direction."""
+    """``query_id, key, cell, score, rank`` for a set of ``query_id, query``; a query does not find its
+    own key, nor vectors without direction, and one without direction finds nothing.
+
+    The vectors of a cell (of all cells, where every one is probed) are dealt into blocks of about
+    ``BLOCK``; the queries travel to the blocks that they probe and leave each with ``limit`` rows, so
+    that no pair is ever a row.  A task holds one block and a slice of the queries."""
+    size = len(centroids[0]) if len(centroids) else 0
     held = np.array(centroids, np.float64)
-    every = len(centroids) if probes is None else probes
+    usable = index.filter(directed(F.col(embedding), size))
+    place = F.lit(0) if probes is None else F.col("cell")
+    counts = {r.place__: r.n for r in usable.groupBy(place.alias("place__")).agg(F.count("*").alias("n")).collect()}  # MOST_CELLS rows at most
+    first, blocks = {}, 0
+    for c in sorted(counts):
+        first[c], blocks = blocks, blocks + -(-counts[c] // BLOCK)
+    ends = {c: first[c] + -(-counts[c] // BLOCK) for c in counts}
 
     @F.pandas_udf("array<int>")
-    def cells(rows: pd.Series) -> pd.Series:
-        return pd.Series([np.argsort(-(held @ np.array(r, np.float64)), kind="stable")[:every].astype("int32").tolist() for r in rows])
-
-    # at length 1 before they meet, so that a pair costs one product
-    asked = queries.withColumn("cell", F.explode(cells(F.col("query").cast("array<double>")))).withColumn("query", unit(F.col("query")))
-    held_at = index.filter(directed(F.col(embedding), held.shape[1] if len(centroids) else 0)).select(key, "cell", unit(F.col(embedding)).alias("unit__"))
-    met = held_at.join(F.broadcast(asked), "cell").filter(F.col(key) != F.col("query_id"))  # a stated query set
-    scored = met.select("query_id", key, "cell", similarity.dot(F.col("unit__"), F.col("query")).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", place).filter(F.col("rank") <= limit)
+    def asks(rows: pd.Series) -> pd.Series:
+        near = [[0] if probes is None else np.argsort(-(held @ np.array(r, np.float64)), kind="stable")[:probes].tolist() for r in rows]
+        return pd.Series([[b for c in cells if c in first for b in range(first[c], ends[c])] for cells in near])
+
+    dealt = index.sparkSession.createDataFrame([(c, first[c], ends[c] - first[c]) for c in first], "place__ int, first__ int, parts__ int")
+    stored = usable.withColumn("place__", place).join(F.broadcast(dealt), "place__")
+    block = (F.col("first__") + F.pmod(F.xxhash64(F.col(key).cast("string")), F.col("parts__"))).cast("int").alias("block")
+    types = index.schema[key].dataType, queries.schema["query_id"].dataType
+    # floats travel as floats: half the bytes, and the same doubles
+    floats = all(df.schema[c].dataType == T.ArrayType(T.FloatType(), df.schema[c].dataType.containsNull) for df, c in ((index, embedding), (queries, "query")))
+    numbers = "array<float>" if floats else "array<double>"
+    rows = stored.select(block, F.lit(0).alias("side"), F.col(key).alias("id"), F.lit(None).cast(types[1]).alias("query_id"), F.col("cell").cast("int").alias("cell"), F.col(embedding).cast(numbers).alias("x"))
+    asked = queries.filter(directed(F.col("query"), size)).select(F.explode(asks(F.col("query").cast("array<double>"))).alias("block"), F.lit(1), F.lit(None).cast(types[0]), "query_id", F.lit(None).cast("int"), F.col("query").cast(numbers))
+    met = rows.union(asked).repartition(max(1, min(blocks, MOST_CELLS)), "block").sortWithinPartitions("block", "side")
+    schema = T.StructType([T.StructField("query_id", types[1]), T.StructField(key, types[0]), T.StructField("cell", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    scored = met.mapInArrow(_nearest_in_block(size, limit, key), schema)
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", order).filter(F.col("rank") <= limit)
+
+
+def _units(x: pa.Array, size: int) -> np.ndarray:
+    """Rows at length 1, by the same additions in the same order as ``unit``."""
+    rows = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return rows / np.sqrt(_dots(rows, rows))[:, None]
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, by the same additions in the same order as ``similarity.dot``."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total
+
+
+def _best(x: np.ndarray, order: np.ndarray, q: np.ndarray, own: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``q``, of ``x`` and scores of the ``limit`` nearest; ``order``: the keys' order, ``own``: the
+    place of a query's own key in it.  A matrix product names candidates, which are scored exactly."""
+    near = q @ x.T
+    most = min(limit + 1, len(x))
+    least = np.partition(near, len(x) - most, axis=1)[:, len(x) - most]
+    asks, found = np.nonzero(near >= least[:, None] - MARGIN)
+    other = order[found] != own[asks]
+    asks, found = asks[other], found[other]
+    score = _dots(x[found], q[asks])
+    at = np.lexsort((order[found], -score, asks))
+    asks, found, score = asks[at], found[at], score[at]
+    within = np.arange(len(asks)) - np.searchsorted(asks, asks)
+    return asks[within < limit], found[within < limit], score[within < limit]
+
+
+def _nearest_in_block(size: int, limit: int, key: str):
+    """Over rows sorted by block, its vectors before its queries."""
+
+    def run(batches):
+        block, parts, x = None, [], None
+        for batch in batches:
+            blocks, sides = (np.asarray(batch.column(k)) for k in (0, 1))
+            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(sides) != 0)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                if blocks[a] != block:
+                    block, parts, x = blocks[a], [], None
+                if sides[a] == 0:
+                    parts.append((piece.column(2), piece.column(4), _units(piece.column(5), size)))
+                    continue
+                if not parts:
+                    continue
+                if x is None:
+                    ids, cells = (pa.concat_arrays([p[k] for p in parts]) for k in (0, 1))
+                    x = np.concatenate([p[2] for p in parts])
+                    names, order = np.unique(np.array(ids.to_pylist()), return_inverse=True)
+                    places = {n: i for i, n in enumerate(names.tolist())}
+                q, asking = _units(piece.column(5), size), piece.column(3)
+                own = np.array([places.get(n, -1) for n in asking.to_pylist()])
+                for k in range(0, len(q), SLICE):
+                    asks, found, score = _best(x, order, q[k : k + SLICE], own[k : k + SLICE], limit)
+                    yield pa.RecordBatch.from_arrays([asking.take(pa.array(asks + k)), ids.take(pa.array(found)), cells.take(pa.array(found)), pa.array(score)], names=["query_id", key, "cell", "score"])
+
+    return run

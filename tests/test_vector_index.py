@@ -61,3 +61,27 @@ def test_same_cells_at_every_run_and_small_tables(spark, index):
     hot = rows.filter("vec_id >= 0").unionByName(spark.range(1000).select((F.col("id") + 10_000).alias("vec_id"), F.lit(rows.filter("vec_id = 3").first().embedding).alias("embedding")))
     centroids = vector_index.train(hot, "vec_id", "embedding", 64, 8)
     assert vector_index.assign(hot, "embedding", centroids).filter("vec_id >= 10000 or vec_id = 3").select("cell").distinct().count() == 1
+
+
+def test_many_queries_meet_blocks_and_make_no_pairs(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vector_index, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 8)).astype("float32")
+    x[100:160] = x[7]  # copies: ties go to the smaller key
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(300, [0.0] * 8), (301, [float("nan")] * 8), (302, [1.0])]
+    vectors = spark.createDataFrame(rows, "k long, e array<float>")
+    centroids = vector_index.build(vectors, "k", "e", 8, str(tmp_path / "ivf"), cells=3)
+    queries = vectors.filter("k % 10 = 7").selectExpr("k as query_id", "e as query")
+    found = vector_index.search_many(spark.read.parquet(str(tmp_path / "ivf")), centroids, queries, "k", "e", 5)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    got = {(r.query_id, r["rank"]): r.k for r in found.collect()}
+    u = x.astype("float64")
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    for q in range(7, 300, 10):
+        s = np.round(u @ u[q], 12)
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert [got[q, k] for k in range(1, 6)] == want
+    some = vector_index.search_many(spark.read.parquet(str(tmp_path / "ivf")), centroids, queries, "k", "e", 5, probes=1)
+    assert all(r.cell == vector_index.nearest_cells(centroids, rows[r.query_id][1], 1)[0] for r in some.collect())
