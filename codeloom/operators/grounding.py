@@ -6,18 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
+from codeloom.runtime import keep
 
-CONTEXT_CHARS, HISTORY = 24_000, 6
+CONTEXT_CHARS, HISTORY, PARTS = 24_000, 6, 256
 STAGES = ["indexing", "docs"]
 PROBES = ["main", "app", "index", "cli", "server", "setup", "readme"]
 
 
 def context_rows(ranked: DataFrame, most: int = CONTEXT_CHARS, by: str = "rank", group: list[str] = ()) -> DataFrame:
-    """Ranked chunks within a budget of characters, the crossing one cut; blank ones count nothing."""
-    blank = F.trim(F.regexp_replace("content", r"(?U)\s+", " ")) == ""
-    used = F.coalesce(F.sum(F.when(blank, 0).otherwise(F.length("content"))).over(Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = ranked.withColumn("used__", used).filter((F.col("used__") < most) & ~blank)
-    return rows.withColumn("content", F.expr(f"substring(content, 1, cast(greatest({most} - used__, 0) as int))")).drop("used__").filter(F.trim(F.regexp_replace("content", r"(?U)\s+", " ")) != "")
+    """Ranked chunks within a budget of characters, the crossing one cut; blank ones count nothing.
+
+    Where there are groups, lengths alone are added up first, in parts of a group and then over what
+    no part shows to lie beyond the budget; only rows up to the last one within it meet as texts."""
+    shown = ranked.filter(F.trim(F.regexp_replace("content", r"(?U)\s+", " ")) != "").withColumn("size__", F.length("content"))
+    if group:
+        small = _within(shown.select(*group, by, "size__"), most, by, [*group, F.pmod(F.xxhash64(by), F.lit(PARTS))])
+        last = keep(_within(small.drop("used__"), most, by, group).groupBy(*(F.col(g).alias(f"{g}__") for g in group)).agg(F.max(by).alias("last__")))
+        same = [F.col(g).eqNullSafe(F.col(f"{g}__")) for g in group]
+        cut = shown.withColumn("content", F.substring("content", 1, most))
+        shown = cut.join(last, [*same, F.col(by).isNull() | (F.col(by) <= F.col("last__"))]).drop("last__", *(f"{g}__" for g in group))
+    rows = _within(shown, most, by, group)
+    return rows.withColumn("content", F.expr(f"substring(content, 1, cast(greatest({most} - used__, 0) as int))")).drop("used__", "size__").filter(F.trim(F.regexp_replace("content", r"(?U)\s+", " ")) != "")
+
+
+def _within(rows: DataFrame, most: int, by: str, group: list) -> DataFrame:
+    """Rows before which less than ``most`` is used: ``used__``."""
+    before = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("used__", F.coalesce(F.sum("size__").over(before), F.lit(0))).filter(F.col("used__") < most)
 
 
 def render_context(rows: DataFrame, by: str = "rank") -> DataFrame:

@@ -191,3 +191,17 @@ def test_stemmed_postings_of_a_search_group_its_own_words_only(spark):
     assert plan.index("Aggregate") < plan.index("Join")  # texts' words meet the spellings below the grouping
     plain = retrieval.postings(docs, "k", "t", terms=["the"]).collect()
     assert [(r.term, r.k, r.tf, r.positions) for r in plain] == [("the", 1, 1, [2])]
+
+
+def test_budgets_of_groups_join_no_texts_beyond_them(spark):
+    rows = [("a" if k % 3 else None, k, "x" * (k % 7) + " " * (k % 2)) for k in range(3_000)] + [("b", 1, " " * 60 + "y"), ("b", 2, "z"), ("b", None, "n"), ("c", 1, None), ("c", 2, "  ")]
+    docs = spark.createDataFrame(rows, "g string, k int, content string").repartition(5)
+    rows_of = grounding.context_rows(docs, 50, "k", ["g"])
+    got = {(r.g, r.k): r.content for r in rows_of.collect()}
+    want, used = {}, {}
+    for g, k, content in sorted((r for r in rows if (r[2] or "").strip()), key=lambda r: (r[1] is not None, r[1] or 0)):
+        if used.get(g, 0) < 50 and content[: 50 - used.get(g, 0)].strip():
+            want[g, k] = content[: 50 - used.get(g, 0)]
+        used[g] = used.get(g, 0) + len(content)
+    assert got == want
+    assert "last__" in rows_of._jdf.queryExecution().optimizedPlan().toString()  # texts are joined to the last row within the budget
