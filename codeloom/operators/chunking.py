@@ -89,7 +89,7 @@ def symbols_in(symbols: Column, start: Column, end: Column) -> Column:
 
 # ---- syntax -------------------------------------------------------------------------------------
 
-def python_symbols(code: str) -> list[tuple[str, str, int]]:
+def python_symbols(code: str | ast.Module) -> list[tuple[str, str, int]]:
     found = set()
 
     def walk(node: ast.AST, inside: bool) -> None:
@@ -100,15 +100,16 @@ def python_symbols(code: str) -> list[tuple[str, str, int]]:
             elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
                 found.add(("method" if inside else "function", child.name, child.lineno))
                 walk(child, False)
-            else:
+            elif not isinstance(child, ast.expr):  # no statement stands below an expression
                 walk(child, inside)
 
-    walk(ast.parse(code), False)
+    walk(ast.parse(code) if isinstance(code, str) else code, False)
     return sorted(found, key=lambda s: (s[2], s[1]))
 
 
-def python_starts(code: str) -> list[int]:
-    return [min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) for n in ast.parse(code).body]
+def python_starts(code: str | ast.Module) -> list[int]:
+    body = (ast.parse(code) if isinstance(code, str) else code).body
+    return [min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) for n in body]
 
 
 #: Languages without a family whose declarations are lines of their own.
@@ -123,7 +124,8 @@ def structure(code: str, language: str) -> tuple[list[int] | None, list[tuple[st
     if language == "python":
         try:
             remarks = {i for i, line in enumerate(code.split("\n"), 1) if line.lstrip().startswith("#")}
-            return python_starts(code), python_symbols(code), remarks
+            tree = ast.parse(code)
+            return python_starts(tree), python_symbols(tree), remarks
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             pass  # another version's syntax; its tokens and indentation will do
     if language in lexing.LANGUAGES:

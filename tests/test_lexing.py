@@ -76,3 +76,16 @@ def test_parts_keep_remarks_and_small_neighbours():
     assert got == [(1, 7, ["hello"]), (8, 13, ["Bye", "say"])]
     assert [c[:2] for c in chunking.chunk_file("// nothing but a remark\n", "go")] == [(1, 2)]
     assert chunking.chunk_file("a: 1\n", "yaml")[0][:2] == (1, 2) and chunking.chunk_file("a", None) == []
+
+
+def test_python_is_parsed_once_for_parts_and_symbols(monkeypatch):
+    import ast
+
+    from codeloom.operators import chunking
+
+    parsed, parse = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda code: parsed.append(code) or parse(code))
+    code = "import os\nx = [a for a in (lambda: 1, 2)]\n\n\nclass A:\n    def f(self):\n        try:\n            pass\n        except ValueError:\n            def g(): pass\n        match 1:\n            case 1:\n                class B: pass\n"
+    found = chunking.structure(code, "python")
+    assert parsed == [code]
+    assert found[:2] == ([1, 2, 5], [("class", "A", 5), ("method", "f", 6), ("function", "g", 10), ("class", "B", 13)])
