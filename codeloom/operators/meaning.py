@@ -17,33 +17,28 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
 from codeloom.operators import retrieval
+from codeloom.operators.pairs import Pairs
 from codeloom.runtime import discard, keep
 
 WINDOW, SIZE, OVER, ROUNDS = 4, 64, 8, 2
 
 
-def beside(tokens: Column, window: int = WINDOW) -> Column:
-    """``a, b`` for each two tokens at most ``window`` places from each other, once."""
-    shifted = lambda d: F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - d, F.lit(0))), F.slice(tokens, d + 1, F.greatest(F.size(tokens) - d, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.flatten(F.array(*(shifted(d) for d in range(1, window + 1))))
-
-
 def ppmi(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     """``a, b, n, ppmi`` in both directions, where that is above 0; ``tokens``: one array a text.
 
     ``n`` counts how often the two stand near each other over all texts; null and empty texts add none."""
-    half = tokens.select(F.inline(beside(F.col("tokens"), window))).groupBy("a", "b").agg(F.count("*").alias("n"))
-    both = keep(half.union(half.select("b", "a", "n")).groupBy("a", "b").agg(F.sum("n").alias("n")))
-    whole = both.groupBy("a").agg(F.sum("n").alias("m"))
-    every = both.agg(F.sum("n")).first()[0] or 0
-    met = both.join(whole.withColumnRenamed("m", "na"), "a").join(whole.select(F.col("a").alias("b"), F.col("m").alias("nb")), "b")
-    score = F.log(F.col("n").cast("double") * F.lit(float(every)) / (F.col("na").cast("double") * F.col("nb").cast("double")))
-    return met.select("a", "b", "n", score.alias("ppmi")).filter("ppmi > 0")
+    return Pairs(tokens, window).rows()
+
+
+def company(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``term, company, n, ppmi``: over the rows of ``ppmi`` with this ``a`` their number, and the sums
+    of ``n`` and of ``ppmi`` at six places; no row is made for them."""
+    return Pairs(tokens, window).sums()
 
 
 def _numbers(x: pd.Series, k: int) -> np.ndarray:
@@ -131,7 +126,7 @@ class CorpusEmbedder:
     def fit(self, chunks: DataFrame) -> DataFrame:
         """``term, idf, vector`` of the chunks' words."""
         tokens = keep(chunks.select("chunk_id", text.index_terms(F.col("content")).alias("tokens")))
-        entries = keep(ppmi(tokens, self.window).select("a", "b", "ppmi"))
+        entries = keep(ppmi(tokens.select("tokens"), self.window).select("a", "b", "ppmi"))
         n = tokens.count()
         df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         padded = F.concat("x", F.array_repeat(F.lit(0.0), F.lit(self.size) - F.size("x")))

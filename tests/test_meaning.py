@@ -84,3 +84,36 @@ def test_a_query_finds_what_shares_no_word_with_it(spark, tmp_path):
     assert engine.table("vectors").filter("path = 'docs/seven.md'").count() == 1
     assert engine.search("automobile").filter("path = 'docs/seven.md'").count() == 1
     assert engine.search("zzz").count() == 0
+
+
+def lists(spark, texts):
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(r"(?U)(\w+)")).alias("tokens"))
+
+
+@pytest.mark.parametrize(("chunk", "block"), [(1 << 20, 6_000_000), (7, 40), (1, 3)])
+def test_pairs_by_chunks_and_blocks(spark, monkeypatch, chunk, block):
+    from codeloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "CHUNK", chunk)
+    texts = [*TEXTS, "a b a a c d a b b e f g a " * 9, "ß ä 漢字 a"]
+    want = plain_ppmi(texts, meaning.WINDOW)
+    held = pairs.Pairs(lists(spark, texts), meaning.WINDOW, block)
+    assert held.ranges > 1 or block > 1000
+    got = held.rows().collect()
+    assert len(got) == len({(r.a, r.b) for r in got})
+    assert {(r.a, r.b): pytest.approx(r.ppmi) for r in got if r.ppmi > 1e-12} == want
+    by = {}
+    for r in got:
+        company, n, ppmi = by.get(r.a, (0, 0, 0.0))
+        by[r.a] = company + 1, n + r.n, ppmi + round(r.ppmi, 6)
+    sums = held.sums().collect()
+    assert {r.term: (r.company, r.n) for r in sums} == {k: v[:2] for k, v in by.items()}
+    assert all(r.ppmi == pytest.approx(by[r.term][2], abs=1e-9) for r in sums)
+
+
+def test_no_pair_is_sent_as_a_row(spark):
+    plan = meaning.company(lists(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" not in plan and "hashpartitioning(b#" not in plan
+    assert meaning.company(lists(spark, TEXTS).limit(0)).count() == 0 == meaning.ppmi(lists(spark, ["", None])).count()
