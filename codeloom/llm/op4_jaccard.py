@@ -181,19 +181,26 @@ class Filter:
     def __init__(self, wanted: DataFrame, keys: list[str]):
         self.keys = keys
         parts = wanted.select(self.place().alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
-        bits = np.zeros((1 << self.BITS - 15, 1 << 12), np.uint8)
-        for row in parts.collect():  # 8 MB at most
-            bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
-        self.shared = wanted.sparkSession.sparkContext.broadcast(bits)
+        self.parts = common.keep(parts)
 
-    def place(self):
-        return F.pmod(F.xxhash64(*self.keys), F.lit(1 << self.BITS))
+    def place(self, *keys: str):
+        return F.pmod(F.xxhash64(*(keys or self.keys)), F.lit(1 << self.BITS))
 
     def holds(self):
         """For Python workers: whether places are in the bitmap."""
-        shared = self.shared
+        bits = np.zeros((1 << self.BITS - 15, 1 << 12), np.uint8)
+        for row in self.parts.collect():  # 8 MB at most
+            bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
+        shared = self.parts.sparkSession.sparkContext.broadcast(bits)
         return lambda at: (shared.value[at >> 15, (at & 32767) >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
+    def marked(self, rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        """Adds whether rows may be among those wanted, without a Python worker beside the task's own."""
+        bits = F.broadcast(self.parts.select(F.col("bucket").alias("bucket__"), F.col("bits").alias("bits__")))  # 8 MB at most
+        placed = rows.withColumn("at__", self.place(*keys)).withColumn("bucket__", F.expr("at__ div 32768 + 1")).join(bits, "bucket__", "left")
+        byte = "cast(conv(hex(substring(bits__, cast((at__ & 32767) div 8 as int) + 1, 1)), 16, 10) as int)"
+        return placed.withColumn(name, F.coalesce(F.expr(f"shiftright({byte}, cast(at__ & 7 as int)) & 1 = 1"), F.lit(False))).drop("at__", "bucket__", "bits__")
+
 
 def copies(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key`` of rows that repeat the text of a row with a smaller id; texts are told
@@ -387,15 +394,8 @@ class SignatureTree:
 def may_hold(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """``doc_id, text_key, text`` of all rows whose keys are in ``wanted``, and of few others: it
     spares the texts of most other rows the shuffle of the join that follows."""
-    known = Filter(wanted, keys)
-    holds = known.holds()
-
-    def run(batches):
-        for batch in batches:
-            yield batch.select([0, 1, 2]).filter(pa.array(holds(batch.column(3).to_numpy())))
-
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), common.texts().alias("text"))
-    return rows.withColumn("at", known.place()).mapInArrow(run, "doc_id long, text_key long, text string")
+    return Filter(wanted, keys).marked(rows, "may").filter("may").select("doc_id", "text_key", "text")
 
 
 def verified(deals: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:

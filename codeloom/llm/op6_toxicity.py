@@ -46,6 +46,7 @@ from codeloom.llm import common
 
 DECAY, WIDEST, ALPHABET = 0.6, 16, 64
 PER_CLASS, LANDMARKS, MIN_DOCS, MIN_SHARE, MIN_RATIO, SIGNATURE, ROUNDS, HARD = 2500, 800, 3, 0.012, 8.0, 24, 4, 3000
+STEP, MEMO = 1 << 10, 150_000  # words whose triples, and whose margins, a worker holds at once
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]?\s+){2,}[^\W\d_](?![^\W_])")
 _ENDS = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 # Characters that stand for letters inside words.
@@ -174,15 +175,15 @@ class Machine:
         out = np.full(len(words), -1.0)
         for n, (at, rows) in by_length(words).items():
             places = np.array(at)
-            for s in range(0, places.size, 1 << 12):
-                f, w = features(rows[s : s + (1 << 12)])
+            for s in range(0, places.size, STEP):
+                f, w = features(rows[s : s + STEP])
                 raw = self.weight[f] @ w.astype(np.float32)
                 least = np.sqrt((triples(n)[3] ** 2).sum())
                 value = raw / least + self.bias  # no smaller norm is possible
                 close = np.flatnonzero(value > -0.5)
                 if close.size:
                     value[close] = raw[close] / np.sqrt(squared_norms(f[close], w)) + self.bias
-                np.maximum.at(out, places[s : s + (1 << 12)], value)
+                np.maximum.at(out, places[s : s + STEP], value)
         return out
 
     def document_features(self, texts: list[str], step: int = 64) -> np.ndarray:
@@ -192,7 +193,7 @@ class Machine:
     def _features(self, texts: list[str]) -> np.ndarray:
         split = [words_of(t) for t in texts]
         new = list({w for words in split for w in words if w not in self.memo})
-        if len(self.memo) + len(new) > 300_000:
+        if len(self.memo) + len(new) > MEMO:
             self.memo = {}
             new = list({w for words in split for w in words})
         plain = [bare(w) for w in new]

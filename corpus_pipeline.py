@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import common
 from codeloom.llm.components import join_hot
-from codeloom.llm.op4_jaccard import near_duplicates
+from codeloom.llm.op4_jaccard import Filter, near_duplicates
 from codeloom.llm.op6_toxicity import learned, score_texts
 from codeloom.llm.op7_pii import sanitise
 from codeloom.llm.op9_packing import pack_documents
@@ -38,10 +38,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     twice = classes.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_key")
     keyed = docs.withColumns({"doc_key__": F.col("doc_id").cast("long"), "text_key__": F.xxhash64("text")})
     keys = [F.col("doc_id").alias("doc_key__"), F.col("text_key").alias("text_key__")]
-    left = keyed.join(go.select(*keys), ["doc_key__", "text_key__"], "left_anti")
+    # most rows neither go nor repeat: only the texts of the others are sent
+    keyed = Filter(go.unionByName(twice), ["doc_id", "text_key"]).marked(keyed, "some__", "doc_key__", "text_key__")
+    left = common.keep(keyed.filter("some__").join(go.select(*keys), ["doc_key__", "text_key__"], "left_anti").select(*keyed.columns))
     # rows that repeat both id and text: the least by all columns
     again = left.join(twice.select(*keys), ["doc_key__", "text_key__"], "left_semi").groupBy("doc_key__", "text_key__").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return left.join(twice.select(*keys), ["doc_key__", "text_key__"], "left_anti").select(*docs.columns).unionByName(again.select("row.*"))
+    once = left.join(twice.select(*keys), ["doc_key__", "text_key__"], "left_anti")
+    return keyed.filter("not some__").unionByName(once).select(*docs.columns).unionByName(again.select("row.*"))
 
 
 def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -624,3 +624,19 @@ def test_audio_rows(spark, rows):
     assert sorted(len(r.pcm) if r.pcm is not None else -1 for r in op10_audio.decode_audio(media).collect()) == [-1, 512, 512, 968]
     with pytest.raises(ValueError):
         op10_audio.read_wav(b"RIFFxxxxWAVE")
+
+
+def test_filter_without_a_worker(spark):
+    """The bitmap is read by joins, not by a second Python worker in each task, and misses no row."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(3000)] + [(None, "text 0"), (3, None)], "doc_id long, text string")
+    wanted = docs.filter("doc_id % 7 = 3").select("doc_id", op4_jaccard.text_key())
+    found = op4_jaccard.may_hold(docs, wanted, ["doc_id", "text_key"])
+    assert "InArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r.text) for r in found.collect())
+    want = sorted((r.doc_id, r.text or "") for r in docs.filter("doc_id % 7 = 3").collect())
+    assert set(want) <= set(got) and len(got) < len(want) + 5
+    known = op4_jaccard.Filter(wanted, ["doc_id", "text_key"])
+    holds, keyed = known.holds(), docs.withColumn("text_key", op4_jaccard.text_key())
+    rows = known.marked(keyed, "may").withColumn("at", known.place()).select("at", "may").collect()
+    assert [r.may for r in rows] == [bool(x) for x in holds(np.array([r.at for r in rows]))] and len(rows) == docs.count()
+    assert op4_jaccard.may_hold(docs, wanted.limit(0), ["doc_id"]).count() == 0
