@@ -12,7 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,15 +202,18 @@ def chunk_file(code: str, language: str | None) -> list[tuple[int, int, str, lis
 def chunk_files(files: DataFrame) -> DataFrame:
     """Chunks of ``path, language, content`` with deterministic ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    text, symbol = pa.string(), pa.struct([("kind", pa.string()), ("name", pa.string()), ("line", pa.int32())])
+    kinds = {"path": text, "ordinal": pa.int32(), "start_line": pa.int32(), "end_line": pa.int32(), "language": text, "symbols": pa.list_(symbol), "content": text}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
-                for k, (a, b, text, symbols) in enumerate(chunk_file(content or "", language if isinstance(language, str) else None)):
-                    rows.append((path, k, a, b, language, [{"kind": s[0], "name": s[1], "line": s[2]} for s in symbols], text))
-            yield pd.DataFrame(rows, columns=["path", "ordinal", "start_line", "end_line", "language", "symbols", "content"])
+            for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(path, k, a, b, language, symbols, part) for k, (a, b, part, symbols) in enumerate(chunk_file(content or "", language))]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    chunks = files.select("path", "language", "content").mapInPandas(run, CHUNK_SCHEMA)
+    chunks = files.select("path", "language", "content").mapInArrow(run, CHUNK_SCHEMA)
     key = chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("ordinal"), F.col("content"))
     return chunks.withColumn("chunk_id", key).withColumn("token_est", F.greatest(F.lit(1), F.floor(F.length("content") / 4)).cast("int"))
 

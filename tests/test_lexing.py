@@ -89,3 +89,18 @@ def test_python_is_parsed_once_for_parts_and_symbols(monkeypatch):
     found = chunking.structure(code, "python")
     assert parsed == [code]
     assert found[:2] == ([1, 2, 5], [("class", "A", 5), ("method", "f", 6), ("function", "g", 10), ("class", "B", 13)])
+
+
+def test_spaces_are_stepped_over(monkeypatch):
+    """The pattern is tried once for each token, not for the spaces between them too."""
+    real, tried = lexing._pattern("go"), []
+
+    class Counting:
+        def match(self, code, at):
+            tried.append(at)
+            return real.match(code, at)
+
+    monkeypatch.setattr(lexing, "_pattern", lambda language: Counting())
+    read = list(lexing.tokens("func a ( b int )   {\n  return   b\n}\n", "go"))
+    assert [t[1] for t in read] == ["func", "a", "(", "b", "int", ")", "{", "\n", "return", "b", "\n", "}", "\n"]
+    assert len(tried) == len(read) and read[8][3] == 2
